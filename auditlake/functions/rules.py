@@ -22,6 +22,7 @@ class PromptRule:
     rule_id: str
     severity: str
     patterns: tuple[str, ...]
+    needles: tuple[str, ...]
     unless: str | None
     component: str
     description: str
@@ -60,7 +61,7 @@ class SecretRule:
 PROMPT_RULES = (
     PromptRule(
         "PR-1", CRITICAL,
-        (r"\b(raw sql|execute\(|cursor\.execute|f\"select|f'select)\b",), None,
+        (r"\b(raw sql|execute\(|cursor\.execute|f\"select|f'select)\b",), ("sql", "execute", "select"), None,
         "database layer",
         "Prompt references raw SQL execution. Risk of SQL Injection (OWASP A03:2021).",
         "Use an ORM (SQLAlchemy) or parameterized queries instead of string-interpolated SQL.",
@@ -70,28 +71,28 @@ PROMPT_RULES = (
         (
             r"skip\w* auth", r"no auth", r"bypass.*auth", r"unauthenticated", r"public.*admin",
             r"admin.*endpoint.*bypass", r"bypass.*for.*internal",
-        ), None,
+        ), ("auth", "admin", "bypass"), None,
         "auth middleware",
         "Prompt matches pattern '{pattern}' — potential auth bypass (OWASP A01:2021).",
         "Ensure all sensitive endpoints are protected by JWT/OAuth2 dependency injection.",
     ),
     PromptRule(
         "PR-3", HIGH,
-        (r"api[_-]?key\s*=\s*\S+", r"password\s*=\s*\S+", r"secret\s*=\s*\S+"), None,
+        (r"api[_-]?key\s*=\s*\S+", r"password\s*=\s*\S+", r"secret\s*=\s*\S+"), ("=",), None,
         "prompt payload",
         "Potential secret/credential detected in prompt text.",
         "Remove credentials from prompts; use environment variables or AWS Secrets Manager.",
     ),
     PromptRule(
         "PR-4", HIGH,
-        (r"webhook",), r"(signature|hmac|verify|secret|x-hub-signature)",
+        (r"webhook",), ("webhook",), r"(signature|hmac|verify|secret|x-hub-signature)",
         "webhook handler",
         "Webhook route detected but no mention of signature verification.",
         "Always validate incoming webhook payloads using HMAC-SHA256 signature verification against a shared secret.",
     ),
     PromptRule(
         "PR-5", MEDIUM,
-        (r"\b(route|endpoint|api)\b",), r"rate.?limit",
+        (r"\b(route|endpoint|api)\b",), ("route", "endpoint", "api"), r"rate.?limit",
         "API gateway",
         "New endpoint added without mention of rate limiting.",
         "Add slowapi or AWS WAF rate limiting to prevent abuse.",

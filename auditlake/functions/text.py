@@ -6,6 +6,9 @@ the classes out, because the JVM reads them as ASCII, and ends ``.`` at a line f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +28,14 @@ WORD_RUN = rf"[{_WORD}]+"
 SPACE_RUN = rf"[{_SPACE}]+"
 
 
+def _meets_word(rest: str) -> bool:
+    """Whether what follows in a pattern is sure to start with a word character."""
+    if rest[:1] == "(":
+        group = rest[1:rest.find(")")]
+        return all(alternative[:1].isalnum() for alternative in group.split("|"))
+    return rest[:1].isalnum() or rest[:1] == "_"
+
+
 def regex(pattern: str) -> str:
     """Spell a rule pattern for the JVM."""
     out, in_class, i = [], False, 0
@@ -36,8 +47,8 @@ def regex(pattern: str) -> str:
                 out.append(_CLASSES[nxt] if in_class else f"[{_CLASSES[nxt]}]")
             elif nxt == "S" and not in_class:
                 out.append(f"[^{_SPACE}]")
-            elif nxt == "b" and not in_class:
-                out.append(_EDGE)
+            elif nxt == "b" and not in_class:  # looking to one side is enough before a word character
+                out.append(f"(?<![{_WORD}])" if _meets_word(pattern[i + 2:]) else _EDGE)
             else:
                 out.append(ch + nxt)
             i += 2
@@ -55,17 +66,25 @@ def matches(col: Column, pattern: str) -> Column:
     return col.rlike(regex(pattern))
 
 
+def contains_any(col: Column, needles: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
+
+
 def find_all(col: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col, F.lit(regex(pattern)), F.lit(group))
 
 
+# The characters that case-insensitive matching equates to the ASCII letters s, i, i and k.
+_FOLD_FROM, _FOLD_TO = "\u017f\u0131\u0130\u212a", "siik"
+
+
 def fold(col: Column) -> Column:
-    """Lower case, with the four characters that case-insensitive matching equates to ASCII letters.
+    """Lower case, with the four characters above replaced.
 
     A lower-case ASCII pattern on the folded text hits exactly where the case-insensitive pattern hits
     the raw text, and needs no case folding inside the regex.
     """
-    return F.lower(F.translate(col, "\u017f\u0131\u0130\u212a", "siik"))
+    return F.lower(F.when(contains_any(col, _FOLD_FROM), F.translate(col, _FOLD_FROM, _FOLD_TO)).otherwise(col))
 
 
 def strip(col: Column) -> Column:

@@ -29,21 +29,20 @@ def file_lines(files: DataFrame) -> DataFrame:
     ).select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def has_needle(raw: Column, folded: Column, needles: Sequence[str], ignore_case: bool) -> Column:
-    where = folded if ignore_case else raw
-    return reduce(lambda a, b: a | b, [where.contains(n) for n in needles])
+def has_needle(raw: Column, folded: Column, rule: LineRule) -> Column:
+    return text.contains_any(folded if rule.ignore_case else raw, rule.needles)
 
 
 def _may_hit(content: Column, rule_rows: Sequence[LineRule]) -> Column:
     folded = text.fold(content)
-    return reduce(lambda a, b: a | b, [has_needle(content, folded, r.needles, r.ignore_case) for r in rule_rows])
+    return reduce(lambda a, b: a | b, [has_needle(content, folded, r) for r in rule_rows])
 
 
 def _hit(line: Column, folded: Column, rule: LineRule) -> Column:
     pattern = text.regex(rule.pattern)
     if rule.ignore_case:
         pattern = "(?iu)" + pattern
-    return has_needle(line, folded, rule.needles, rule.ignore_case) & line.rlike(pattern)
+    return has_needle(line, folded, rule) & line.rlike(pattern)
 
 
 def hit_mask(line: Column, rule_rows: Sequence[LineRule]) -> Column:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
@@ -26,25 +25,40 @@ def conflict(severity: str, category: str, description: Column, component: Colum
 def first_hit(folded: Column, rule: PromptRule) -> Column:
     """The first pattern of the rule that hits the folded prompt, or null."""
     hit = F.coalesce(*[F.when(text.matches(folded, p), F.lit(p)) for p in rule.patterns])
-    if rule.unless is None:
-        return hit
-    return F.when(~text.matches(folded, rule.unless), hit)
+    fires = text.contains_any(folded, rule.needles)
+    if rule.unless is not None:
+        fires = fires & ~text.matches(folded, rule.unless)
+    return F.when(fires, hit)
 
 
-def rule_conflict(prompt: Column, rule: PromptRule) -> Column:
-    """The rule's conflict, or null when it does not fire."""
-    hit = first_hit(text.fold(prompt), rule)
+def _found(rule: PromptRule, hit: Column) -> Column:
     if "{pattern}" in rule.description:
         head, tail = rule.description.split("{pattern}")
         description = F.concat(F.lit(head), hit, F.lit(tail))
     else:
         description = F.lit(rule.description)
-    found = conflict(rule.severity, "security", description, F.lit(rule.component), F.lit(rule.remediation))
-    return F.when(hit.isNotNull(), found)
+    return conflict(rule.severity, "security", description, F.lit(rule.component), F.lit(rule.remediation))
 
 
-def security_conflicts(prompt: Column, rules: Sequence[PromptRule] = PROMPT_RULES) -> Column:
-    """Array of conflicts, in rule order."""
+def rule_conflict(prompts: DataFrame, rule: PromptRule, name: str = "conflict") -> DataFrame:
+    """``prompts`` plus the rule's conflict, null where it does not fire."""
+    hits = prompts.withColumn("_hit", first_hit(text.fold(F.col("prompt")), rule))
+    return hits.withColumn(name, F.when(F.col("_hit").isNotNull(), _found(rule, F.col("_hit")))).drop("_hit")
+
+
+def security_conflicts(
+    prompts: DataFrame, rules: Sequence[PromptRule] = PROMPT_RULES, name: str = "conflicts"
+) -> DataFrame:
+    """``prompts`` plus the array of all text rule conflicts, in rule order.
+
+    The prompt is folded once and every pattern run once: hits are columns of their own.
+    """
+    hits = prompts.withColumn("_folded", text.fold(F.col("prompt"))).withColumns(
+        {f"_hit{i}": first_hit(F.col("_folded"), rule) for i, rule in enumerate(rules)}
+    )
     none = F.array().cast(f"array<{CONFLICT.simpleString()}>")
-    one_each = [F.when(c.isNotNull(), F.array(c)).otherwise(none) for c in (rule_conflict(prompt, r) for r in rules)]
-    return reduce(lambda a, b: F.concat(a, b), one_each) if one_each else none
+    one_each = [
+        F.when(F.col(f"_hit{i}").isNotNull(), F.array(_found(rule, F.col(f"_hit{i}")))).otherwise(none)
+        for i, rule in enumerate(rules)
+    ]
+    return hits.withColumn(name, F.concat(none, *one_each)).drop("_folded", *[f"_hit{i}" for i in range(len(rules))])

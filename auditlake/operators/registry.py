@@ -7,6 +7,7 @@ which also bounds every folded row. *Joined*: mentions are exploded and equi-joi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from auditlake.operators.prompt_rules import conflict
 from auditlake.schemas import CONFLICT
 
 CONFLICTS = f"array<{CONFLICT.simpleString()}>"
-MAX_FOLDED_FACTS_PER_PROJECT = 2_000
+MAX_FOLDED_FACTS_PER_PROJECT = 10_000
 
 
 @dataclass(frozen=True)
@@ -126,58 +127,90 @@ def keyed_models(models: DataFrame) -> DataFrame:
 
 
 # ---- folded shape ----------------------------------------------------------------------------------
+# A folded table is an array of small maps: a lookup reads one of them, however large the project.
 
+FOLD_BUCKETS = 16
 
-def fold_registry(registry: Registry) -> DataFrame:
-    """One row per project: routes and pins as maps, models in order. Call only after ``can_fold``."""
-    routes = latest_endpoints(registry.endpoints).groupBy("project_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("path", "method"))).alias("routes")
-    )
-    models = keyed_models(registry.models).groupBy("project_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "name", "key", "pattern"))).alias("models")
-    )
-    pins = registry.dependencies.groupBy("project_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "version"))).alias("pins")
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FOLD_BUCKETS)).cast("int")
+
+
+def _fold(facts: DataFrame, key: str, value: Column) -> DataFrame:
+    """(project_id, folded): key -> value; keys are unique per project."""
+    entry = F.struct(F.col(key).alias("k"), value.alias("v"))
+    buckets = facts.groupBy("project_id", _bucket(F.col(key)).alias("b")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("m")
     )
-    joined = routes.join(models, "project_id", "full").join(pins, "project_id", "full")
-    return joined.withColumn("model_keys", F.array_distinct(F.transform("models", lambda m: m["key"])))
+    by_bucket = buckets.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(FOLD_BUCKETS - 1))
+    return by_bucket.select("project_id", F.transform(places, lambda i: F.try_element_at("m", i)).alias("folded"))
+
 
+def _look_up(folded: Column, key: Column) -> Column:
+    return F.try_element_at(F.get(folded, _bucket(key)), key)
 
-def folded_conflicts(prompt: Column) -> Column:
-    """Drift, then collisions, then pins, from the folded registry columns of the same row."""
-    none = F.array().cast(CONFLICTS)
-    routes, models, pins = F.col("routes"), F.col("models"), F.col("pins")
 
-    known = F.filter(paths_in(prompt), lambda p: F.map_contains_key(routes, p))
-    verbs = verbs_in(prompt)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not once per element of what ``body`` loops over."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def drifts(path: Column) -> Column:
-        method = F.try_element_at(routes, path)
-        return F.transform(F.filter(verbs, lambda v: v != method), lambda v: drift_conflict(path, method, v))
 
-    drift = F.when(routes.isNotNull() & prompt.contains("/"), F.flatten(F.transform(known, drifts)))
+def _with_folded(prompts: DataFrame, folded: DataFrame, needed: Column, found: Column, name: str) -> DataFrame:
+    """Adds the conflicts that one folded table gives; prompts that cannot need it do not fetch their row."""
+    keyed = prompts.withColumn("_key", F.when(needed, F.col("project_id")))
+    joined = keyed.join(F.broadcast(folded.withColumnRenamed("project_id", "_key")), "_key", "left")
+    hits = F.when(F.col("folded").isNotNull(), found.cast(CONFLICTS))
+    return joined.withColumn(name, F.coalesce(hits, F.array().cast(CONFLICTS))).drop("_key", "folded")
 
-    hit_keys = F.array_intersect(F.col("model_keys"), F.array_append(tokens_in(prompt), F.lit("")))
-    folded = text.fold(prompt)
 
-    def named(m: Column) -> Column:
-        return F.array_contains(hit_keys, m["key"]) & F.coalesce(F.rlike(folded, m["pattern"]), F.lit(True))
+def _folded_drift(prompts: DataFrame, registry: Registry, name: str) -> DataFrame:
+    prompt, routes = F.col("prompt"), F.col("folded")
+    known = F.filter(
+        F.transform(paths_in(prompt), lambda p: F.struct(p.alias("path"), _look_up(routes, p).alias("method"))),
+        lambda r: r["method"].isNotNull(),
+    )
+
+    def drifts(verbs: Column, route: Column) -> Column:
+        other = F.filter(verbs, lambda v: v != route["method"])
+        return F.transform(other, lambda v: drift_conflict(route["path"], route["method"], v))
+
+    found = _let(verbs_in(prompt), lambda verbs: F.flatten(F.transform(known, lambda r: drifts(verbs, r))))
+    folded = _fold(latest_endpoints(registry.endpoints), "path", F.col("method"))
+    return _with_folded(prompts, folded, prompt.contains("/"), found, name)
 
-    collisions = F.when(
-        models.isNotNull() & (F.size(hit_keys) > 0),
-        F.transform(F.filter(models, named), lambda m: collision_conflict(m["name"])),
+
+def _folded_collisions(prompts: DataFrame, registry: Registry, name: str) -> DataFrame:
+    prompt, models = F.col("prompt"), F.col("folded")
+    looked_up = F.transform(F.array_append(tokens_in(prompt), F.lit("")), lambda t: _look_up(models, t))
+    named = F.flatten(F.filter(looked_up, lambda names: names.isNotNull()))
+    text_ = text.fold(prompt)
+    hit = F.filter(named, lambda m: m["pattern"].isNull() | F.rlike(text_, m["pattern"]))
+    found = F.transform(F.array_sort(hit), lambda m: collision_conflict(m["name"]))
+    names = keyed_models(registry.models).groupBy("project_id", "key").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "name", "pattern"))).alias("names")
     )
+    return _with_folded(prompts, _fold(names, "key", F.col("names")), F.lit(True), found, name)
 
-    def mismatched(m: Column) -> Column:
-        pin = F.try_element_at(pins, m["name"])
-        return F.coalesce((pin != "") & (pin != m["version"]), F.lit(False))
 
-    conflicting = F.transform(
-        F.filter(versions_in(prompt), mismatched),
-        lambda m: pin_conflict(m["name"], m["version"], F.try_element_at(pins, m["name"])),
+def _folded_pins(prompts: DataFrame, registry: Registry, name: str) -> DataFrame:
+    prompt, pins = F.col("prompt"), F.col("folded")
+    asked = F.transform(
+        versions_in(prompt),
+        lambda m: F.struct(m["name"].alias("name"), m["version"].alias("version"), _look_up(pins, m["name"]).alias("pin")),
     )
-    pinned = F.when(pins.isNotNull(), conflicting)
-    return F.concat(*[F.coalesce(part.cast(CONFLICTS), none) for part in (drift, collisions, pinned)])
+    differing = F.filter(asked, lambda m: (m["pin"] != "") & (m["pin"] != m["version"]))
+    found = F.transform(differing, lambda m: pin_conflict(m["name"], m["version"], m["pin"]))
+    folded = _fold(registry.dependencies, "name", F.col("version"))
+    return _with_folded(prompts, folded, prompt.rlike("[=><~!]"), found, name)
+
+
+def folded_conflicts(prompts: DataFrame, registry: Registry, name: str = "registry_conflicts") -> DataFrame:
+    """``prompts`` plus drift, then collisions, then pin conflicts. Call only after ``can_fold``."""
+    parts = {f"_{check.__name__}": check for check in (_folded_drift, _folded_collisions, _folded_pins)}
+    for part, check in parts.items():
+        prompts = check(prompts, registry, part)
+    return prompts.withColumn(name, F.concat(*parts)).drop(*parts)
 
 
 # ---- joined shape ----------------------------------------------------------------------------------
@@ -223,7 +256,7 @@ def check_schema_collision(prompts: DataFrame, models: DataFrame) -> DataFrame:
 
 def check_dependency_conflict(prompts: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Versions asked for that differ, as text, from a non-empty pin of the same name."""
-    asked = prompts.select(
+    asked = prompts.filter(F.col("prompt").rlike("[=><~!]")).select(
         "prompt_id", "project_id", F.posexplode(versions_in(F.col("prompt"))).alias("seq", "m")
     ).select("prompt_id", "project_id", "seq", "m.*")
     pins = dependencies.filter("version <> ''").select("project_id", "name", F.col("version").alias("pin"))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
 from auditlake.functions.rules import BARE_SUFFIXES, CONFIG_SUFFIXES, SECRET_RULES, SecretRule
-from auditlake.operators.code_scan import file_lines, has_needle
+from auditlake.operators.code_scan import file_lines
 from auditlake.sources.files import ends_with_any
 
 
@@ -19,7 +18,7 @@ def _pattern(rule: SecretRule) -> str:
 
 
 def _any_needle(folded: Column, rule_rows: Sequence[SecretRule]) -> Column:
-    return reduce(lambda a, b: a | b, [has_needle(folded, folded, r.needles, True) for r in rule_rows])
+    return text.contains_any(folded, sorted({n for r in rule_rows for n in r.needles}))
 
 
 def secret_findings(
@@ -33,7 +32,7 @@ def secret_findings(
     bare_file = ends_with_any(F.col("path"), BARE_SUFFIXES)
 
     def hit(rule: SecretRule) -> Column:
-        fires = has_needle(folded, folded, rule.needles, True) & F.col("line").rlike(_pattern(rule))
+        fires = text.contains_any(folded, rule.needles) & F.col("line").rlike(_pattern(rule))
         return fires & bare_file if rule.bare else fires
 
     def name(rule: SecretRule) -> Column:
@@ -52,6 +51,6 @@ def secret_findings(
     each = close.select("path", "line_no", F.inline(found)).filter("variable is not null")
     variable = F.when(F.col("variable") == "", F.lit("an unnamed value")).otherwise(F.col("variable"))
     return each.select(
-        F.col("path").alias("file"), F.col("line_no").alias("line"), "type", "variable",
+        F.col("path").alias("file"), F.col("line_no").alias("line"), "type", variable.alias("variable"),
         F.concat(F.lit("Hardcoded "), F.col("type"), F.lit(" found in "), variable).alias("description"),
     )

@@ -28,12 +28,15 @@ def reject(prompts: DataFrame) -> DataFrame:
     return prompts.withColumn("missing_field", missing).filter(F.col("missing_field").isNotNull())
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of ``{label, request}``, one row per element."""
-    raw = spark.read.schema(schemas.LABELLED_PROMPT).json(path, multiLine=True)
+def read_labelled(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+    """Labelled requests ``{label, request}``: files that hold one array each, or one object per line.
+
+    A file with an array is read by one task; use lines for anything large.
+    """
+    raw = spark.read.schema(schemas.LABELLED_PROMPT).json(path, multiLine=not json_lines)
     return raw.select("label", "request.*")
 
 
 def write_labelled(labelled: DataFrame, path: str) -> None:
-    """The counterpart of ``read_labelled``: one JSON object per line."""
+    """One JSON object per line."""
     labelled.select("label", F.struct("prompt", "project_id", "author", "branch").alias("request")).write.json(path)
