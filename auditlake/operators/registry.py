@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import rules, text
-from auditlake.functions.sizing import fits, sized_join
+from auditlake.functions.sizing import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, sized_join
 from auditlake.operators.prompt_rules import conflict
 from auditlake.schemas import CONFLICT
 
@@ -37,11 +37,16 @@ class Registry:
         )
 
     def can_fold(self) -> bool:
-        facts = self.facts()
-        if not fits(facts):
-            return False
-        largest = facts.groupBy("project_id").count().agg(F.max("count").alias("n")).first()["n"]
-        return (largest or 0) <= MAX_FOLDED_FACTS_PER_PROJECT
+        """Whether the whole registry, and the largest project's share, were measured to be small."""
+        sizes = self.facts().limit(MAX_BROADCAST_ROWS + 1).groupBy("project_id").agg(
+            F.count("*").alias("rows"), F.sum(F.octet_length("fact")).alias("bytes")
+        )
+        most = sizes.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max("rows").alias("largest")).first()
+        return (
+            (most["rows"] or 0) <= MAX_BROADCAST_ROWS
+            and (most["bytes"] or 0) <= MAX_BROADCAST_BYTES
+            and (most["largest"] or 0) <= MAX_FOLDED_FACTS_PER_PROJECT
+        )
 
 
 def fill(template: str, **parts: Column) -> Column:

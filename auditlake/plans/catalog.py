@@ -90,8 +90,7 @@ def audit_log_dedupe(spark, d):
     """Stored: the conversations' audits. Arriving: all audits, and all of them again an hour later."""
     path = shared_dir(spark)
     rules_registry = derive.registry(spark, d)
-    stored = derive.table(spark, d, "conversations").selectExpr(*derive.TURN_COLUMNS)
-    audit_log.append(verdict.audit_prompts(stored, rules_registry), path)
+    audit_log.append(verdict.audit_prompts(derive.turns(spark, d), rules_registry), path)
     audits = _audits(spark, d)
     again = audits.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR"))
     return _flat(audit_log.new_only(audits.unionByName(again), audit_log.read(spark, path)))
@@ -305,8 +304,7 @@ def prompt_context_topk(spark, d):
 def audit_lookup(spark, d):
     """Every purchase asks for the audit of its own prompt."""
     log = audit_log.log_rows(_audits(spark, d))
-    bought = derive.table(spark, d, "events").filter("event_type = 'purchase'").selectExpr(*derive.INTAKE_COLUMNS)
-    wanted = prompt_source.accept(bought).select(verdict.audit_id_of().alias("audit_id"))
+    wanted = prompt_source.accept(derive.purchases(spark, d)).select(verdict.audit_id_of().alias("audit_id"))
     return _flat(audit_log.from_json_columns(audit_log.to_json_columns(audit_log.get_audits(log, wanted))))
 
 
