@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters str.isspace() accepts, and the line ends str.splitlines() accepts.
@@ -62,6 +62,14 @@ def regex(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
+def worked_out(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` plus a column that is computed once per row, however many filters and projections read it.
+
+    Going through a generator keeps the optimizer from copying the expression into each of them.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def matches(col: Column, pattern: str) -> Column:
     return col.rlike(regex(pattern))
 

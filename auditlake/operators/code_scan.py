@@ -33,8 +33,7 @@ def has_needle(raw: Column, folded: Column, rule: LineRule) -> Column:
     return text.contains_any(folded if rule.ignore_case else raw, rule.needles)
 
 
-def _may_hit(content: Column, rule_rows: Sequence[LineRule]) -> Column:
-    folded = text.fold(content)
+def _may_hit(content: Column, folded: Column, rule_rows: Sequence[LineRule]) -> Column:
     return reduce(lambda a, b: a | b, [has_needle(content, folded, r) for r in rule_rows])
 
 
@@ -45,9 +44,8 @@ def _hit(line: Column, folded: Column, rule: LineRule) -> Column:
     return has_needle(line, folded, rule) & line.rlike(pattern)
 
 
-def hit_mask(line: Column, rule_rows: Sequence[LineRule]) -> Column:
+def hit_mask(line: Column, folded: Column, rule_rows: Sequence[LineRule]) -> Column:
     """Bit i is set when rule i hits the line."""
-    folded = text.fold(line)
     bits = [
         F.when(_hit(line, folded, rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
         for i, rule in enumerate(rule_rows)
@@ -72,8 +70,10 @@ def line_findings(files: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES)
     """Files (path, content) to findings, at most one per line and rule; col is always 1."""
     if not 0 < len(rule_rows) <= 63:
         raise ValueError("a line scan takes 1 to 63 rules; scan in several passes beyond that")
-    lines = file_lines(files.filter(_may_hit(F.col("content"), rule_rows)))
-    hits = lines.withColumn("mask", hit_mask(F.col("line"), rule_rows)).filter("mask <> 0")
+    content, line, folded = F.col("content"), F.col("line"), F.col("folded")
+    named = text.worked_out(files.select("path", "content"), text.fold(content), "folded")
+    lines = text.worked_out(file_lines(named.filter(_may_hit(content, folded, rule_rows))), text.fold(line), "folded")
+    hits = lines.withColumn("mask", hit_mask(line, folded, rule_rows)).filter("mask <> 0")
     each = hits.select("path", "line_no", "line", "mask", F.inline(_rule_table(rule_rows))).filter(
         "(shiftright(mask, rule_ord) & 1) = 1"
     )

@@ -42,7 +42,8 @@ def _found(rule: PromptRule, hit: Column) -> Column:
 
 def rule_conflict(prompts: DataFrame, rule: PromptRule, name: str = "conflict") -> DataFrame:
     """``prompts`` plus the rule's conflict, null where it does not fire."""
-    hits = prompts.withColumn("_hit", first_hit(text.fold(F.col("prompt")), rule))
+    folded = text.worked_out(prompts, text.fold(F.col("prompt")), "_folded")
+    hits = text.worked_out(folded, first_hit(F.col("_folded"), rule), "_hit").drop("_folded")
     return hits.withColumn(name, F.when(F.col("_hit").isNotNull(), _found(rule, F.col("_hit")))).drop("_hit")
 
 

@@ -25,10 +25,10 @@ def secret_findings(
     files: DataFrame, rule_rows: Sequence[SecretRule] = SECRET_RULES, suffixes: Sequence[str] = CONFIG_SUFFIXES
 ) -> DataFrame:
     """Files (path, content) to (file, line, type, variable, description); one per line and kind."""
-    chosen = files.filter(ends_with_any(F.col("path"), suffixes))
-    lines = file_lines(chosen.filter(_any_needle(text.fold(F.col("content")), rule_rows)))
-    folded = text.fold(F.col("line"))
-    close = lines.filter(_any_needle(folded, rule_rows))
+    folded = F.col("folded")
+    chosen = files.filter(ends_with_any(F.col("path"), suffixes)).select("path", "content")
+    named = text.worked_out(chosen, text.fold(F.col("content")), "folded").filter(_any_needle(folded, rule_rows))
+    close = text.worked_out(file_lines(named), text.fold(F.col("line")), "folded").filter(_any_needle(folded, rule_rows))
     bare_file = ends_with_any(F.col("path"), BARE_SUFFIXES)
 
     def hit(rule: SecretRule) -> Column:

@@ -332,7 +332,7 @@ def stream_dedupe(spark, d):
     path, checkpoint = shared_dir(spark), shared_dir(spark)
     once = derive.event_stream(spark, d)
     prompts = prompt_source.accept(once.unionByName(derive.event_stream(spark, d)))
-    audits = verdict.verdict(verdict.with_security(prompts))
+    audits = verdict.verdict(verdict.with_security(verdict.describe(prompts)))
     _run(prompt_stream.append_to_log(prompt_stream.one_per_id(audits), path, checkpoint))
     return _flat(prompt_stream.read_log(spark, path))
 

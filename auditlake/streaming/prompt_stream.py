@@ -10,8 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from auditlake.functions.rules import PROMPT_RULES, PromptRule
 from auditlake.operators import audit_log
 from auditlake.operators.registry import Registry
-from auditlake.operators.verdict import verdict, with_conflicts
-from auditlake.sources.prompts import accept
+from auditlake.operators.verdict import audit_prompts
 
 BATCH = "batch_id"
 
@@ -22,7 +21,7 @@ def audit_stream(
     """A stream of audits. Stateless: the registry is a static broadcast side, so it must be small enough to fold."""
     if not registry.can_fold():
         raise ValueError("this registry is too large to be sent to a stream's tasks; use audit_each_batch")
-    return verdict(with_conflicts(accept(prompts), registry, rule_rows, fold=True))
+    return audit_prompts(prompts, registry, rule_rows, fold=True)
 
 
 def one_per_id(audits: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -45,7 +44,7 @@ def audit_each_batch(
     """As ``append_to_log(audit_stream(...))`` for registries of any size: the joins run per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        audits = verdict(with_conflicts(accept(batch), registry, rule_rows))
+        audits = audit_prompts(batch, registry, rule_rows)
         audit_log.append(audits, f"{path}/{BATCH}={batch_id}", mode="overwrite")
 
     return prompts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
