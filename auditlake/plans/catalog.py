@@ -11,6 +11,7 @@ from auditlake.functions import rules, text
 from auditlake.operators import (
     audit_log, code_scan, ignore_audit, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, verdict,
 )
+from auditlake.operators.scan import scan
 from auditlake.plans import derive
 from auditlake.session import shared_dir
 from auditlake.sources import files as tree
@@ -68,7 +69,7 @@ def prompt_bulk_load(spark, d):
 def source_tree_scan(spark, d):
     root = shared_dir(spark)
     tree.write_tree(derive.files(spark, d), root)
-    return _flat_findings(code_scan.line_findings(tree.read_tree(spark, root)))
+    return _flat_findings(scan(tree.read_tree(spark, root)))
 
 
 def snippet_scan(spark, d):
@@ -182,7 +183,7 @@ def code_findings(spark, d):
 
 
 def scan_summary(spark, d):
-    return code_scan.severity_summary(code_scan.line_findings(derive.files(spark, d)))
+    return code_scan.severity_summary(scan(derive.files(spark, d)))
 
 
 def scan_rollup(spark, d):
@@ -190,7 +191,7 @@ def scan_rollup(spark, d):
         return F.substring_index(path, "/", 1).alias("project_id")
 
     source = derive.files(spark, d)
-    findings = code_scan.line_findings(source)
+    findings = scan(source)
     return code_scan.scan_totals(
         source.select(project("path"), "content"), findings.select(project("file"), "severity"), ["project_id"]
     )

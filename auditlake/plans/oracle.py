@@ -199,7 +199,6 @@ SCANNED = {
     "scanned": "SELECT * FROM files WHERE path LIKE '%.py' AND len(list_intersect(string_split(path, '/'), "
     "['.git', '__pycache__', 'venv', 'env', '.venv', 'node_modules', 'dist', 'build'])) = 0"
 }
-TREE = FILES | SCANNED | _lines("scanned") | {"findings": _findings()}
 SNIPPETS = {"snippets": "SELECT CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents"} | _lines("snippets") | {
     "findings": _findings()
 }
@@ -218,8 +217,9 @@ def _ast_row(rule: tuple, condition: str) -> str:
     )
 
 
-AST = PARSED | _lines("whole") | {
-    "following": "SELECT *, lead(trim(line)) OVER (PARTITION BY path ORDER BY line_no) AS next_line FROM lines"
+AST = PARSED | _lines("files") | {
+    "following": "SELECT *, lead(trim(line)) OVER (PARTITION BY path ORDER BY line_no) AS next_line FROM lines "
+    "WHERE path IN (SELECT path FROM whole)"
 }
 AST_FINDINGS = (
     _ast_row(rules.SWALLOWED_ERROR, "trim(line) = 'except:' AND next_line = 'pass'")
@@ -227,6 +227,9 @@ AST_FINDINGS = (
     + _ast_row(rules.ASSERTED_ACCESS, "regexp_matches(line, '(?i)^ *assert .*(?:auth|permission|role|admin|token|user)')")
 )
 
+# line and syntax-tree findings together, of all files and of the scanned ones
+SCAN = AST | {"line_findings": _findings(), "findings": f"SELECT * FROM line_findings UNION ALL {AST_FINDINGS}"}
+TREE_SCAN = SCAN | SCANNED | _lines("scanned")
 ROUTE = r"'@[a-z]+\.(get|post|put|patch|delete|options|head)\(\"([^\"]*)\"\)\n *(?:async )?def ([A-Za-z_0-9]+)\(([^)]*)\)'".replace('\\"', '"')
 MODEL = r"'\nclass ([A-Za-z_0-9]+)\((?:[^)]*[ .,])?(?:BaseModel|Base|DeclarativeBase)[,)]'"
 INVENTORY = PARSED | {
@@ -340,7 +343,7 @@ ORACLE: dict[str, str] = {
     "prompt_bulk_load": with_(
         INTAKE | ACCEPTED, "SELECT upper(project_id) AS label, prompt, project_id, author, branch FROM prompts"
     ),
-    "source_tree_scan": with_(TREE, FINDINGS),
+    "source_tree_scan": with_(FILES | SCANNED | _lines("scanned") | TREE_SCAN, FINDINGS),
     "snippet_scan": with_(SNIPPETS, FINDINGS),
     "requirements_parse": with_(REQUIREMENTS, "SELECT * FROM parsed"),
     "audit_log_roundtrip": with_(AUDIT, FLAT),
@@ -368,9 +371,9 @@ ORACLE: dict[str, str] = {
     "prompt_summary": with_(AUDIT, "SELECT * FROM summaries"),
     "file_lines": with_(FILES | _lines("files"), "SELECT path, line_no, line FROM lines"),
     "code_findings": with_(CODE, FINDINGS),
-    "scan_summary": with_(CODE, "SELECT severity, count(*) AS n FROM findings GROUP BY severity"),
+    "scan_summary": with_(SCAN, "SELECT severity, count(*) AS n FROM findings GROUP BY severity"),
     "scan_rollup": with_(
-        CODE, "SELECT f.*, s.total_lines, coalesce(n.total_findings, 0) AS total_findings, "
+        SCAN, "SELECT f.*, s.total_lines, coalesce(n.total_findings, 0) AS total_findings, "
         + ", ".join(f"coalesce(n.{s}, 0) AS {s}" for s in rules.SEVERITIES)
         + " FROM (SELECT split_part(path, '/', 1) AS project_id, count(*) AS scanned_files FROM files GROUP BY 1) f "
         "JOIN (SELECT split_part(path, '/', 1) AS project_id, count(*) AS total_lines FROM lines GROUP BY 1) s USING (project_id) "

@@ -118,6 +118,27 @@ def read_tree(
     return read_files(source_files(list_tree(spark, root, skip_dirs), extensions, skip_dirs), root)
 
 
+def read_one(spark: SparkSession, path: str, extensions: Sequence[str] = (".py",)) -> DataFrame:
+    """One file under its full path; a missing one, or one of another kind, gives no row."""
+    folder, _, name = path.rpartition("/")
+    schema = pa.schema([("path", pa.string()), ("is_dir", pa.bool_())])
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        filesystem, base = _open(folder or "/")
+        for batch in batches:
+            rows = [
+                {"path": p, "is_dir": False} for p in batch.column("path").to_pylist()
+                if filesystem.get_file_info(f"{base}/{p}").type == fs.FileType.File
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    named = spark.createDataFrame([(name, False)], "path string, is_dir boolean")
+    found = named.filter(has_extension(F.col("path"), extensions)).mapInArrow(present, "path string, is_dir boolean")
+    return read_files(found, folder or "/").select(F.lit(path).alias("path"), "content")
+
+
 def read_config_tree(spark: SparkSession, root: str, suffixes: Sequence[str], skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
     """The files below ``root`` whose name ends with one of ``suffixes``, ``.env`` itself included."""
     listed = list_tree(spark, root, skip_dirs)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.rules import LINE_RULES, LineRule
 from auditlake.operators import code_scan, syntax
+from auditlake.operators.scan import scan_source
 from auditlake.sources import files as tree
 
 # rule -> (lines that hit, lines that do not)
@@ -46,6 +47,7 @@ def test_every_rule_hit_and_near_miss(spark):
 
 
 def test_golden_snippets(spark):
+    # Snippets with hand-traced findings.
     one = (
         "password = 'supersecret123'\napi_key = 'sk-abcdef1234567890abcdef'\n"
         "cursor.execute(f\"SELECT * FROM users WHERE id={user_id}\")\n"
@@ -170,3 +172,21 @@ def test_syntax_findings(files_of):
 def test_long_snippet_is_not_cut_and_columns_count_bytes(files_of):
     row = syntax.ast_findings(files_of(a="x = 'é'; assert user_" + "y" * 200)).first()
     assert len(row["snippet"]) > 200 and row["col"] == 11
+
+
+def test_scan_source(spark, tmp_path):
+    (tmp_path / "a.py").write_text("DEBUG = True\ntry:\n    x\nexcept:\n    pass\n")
+    (tmp_path / "a.txt").write_text("DEBUG = True\n")
+    both = ["CFG-001", "CFG-004"]
+
+    def rules_of(**source):
+        return sorted(r["rule_id"] for r in scan_source(spark, **source).collect())
+
+    assert rules_of(path=str(tmp_path)) == both
+    assert rules_of(path=str(tmp_path / "a.py"), is_file=True) == both
+    assert rules_of(path=str(tmp_path / "a.txt"), is_file=True) == []
+    assert rules_of(path=str(tmp_path / "missing.py"), is_file=True) == []
+    assert rules_of(code="md5(x)", path=str(tmp_path)) == ["CRYPTO-001"]
+    assert scan_source(spark, code="md5(x)").first()["file"] == "<snippet>"
+    with pytest.raises(ValueError):
+        scan_source(spark)
