@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from auditlake.functions import text
 from auditlake.functions.sizing import measure
 from auditlake.session import shared_dir
+from auditlake.sources.files import open_folder
 
 MAX_SIDE_BYTES = 16 << 20
 MAX_SIDE_ROWS = 4_096
@@ -203,9 +204,7 @@ def _scan_blocks(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int) -
     folders = _write_blocks(queries)
 
     def load(folder: str) -> Index:
-        from pyarrow import fs
-
-        filesystem, path = fs.FileSystem.from_uri(folder) if ":" in folder else (None, folder)
+        filesystem, path = open_folder(folder)
         return make(pq.read_table(path, filesystem=filesystem, partitioning=None))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:

@@ -42,10 +42,14 @@ def source_files(files: DataFrame, extensions: Sequence[str] = (".py",), skip_di
     return files.filter(not_skipped(path, skip_dirs) & has_extension(path, extensions))
 
 
-def _open(root: str):
+def open_folder(root: str):
+    """(file system, path) of a folder given as a local path or a URI such as ``hdfs://`` or ``file:/``."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else os.path.abspath(root))
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    filesystem, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    return filesystem, base.rstrip("/")
 
 
 def _lister(root: str, skip: frozenset[str], recursive: bool):
@@ -65,7 +69,7 @@ def _lister(root: str, skip: frozenset[str], recursive: bool):
                 yield {"path": path, "is_dir": is_dir}
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _open(root)
+        filesystem, base = open_folder(root)
         for batch in batches:
             for path, is_dir in zip(batch.column("path").to_pylist(), batch.column("is_dir").to_pylist(), strict=True):
                 rows = list(children(filesystem, base, path)) if is_dir else [{"path": path, "is_dir": False}]
@@ -88,7 +92,7 @@ def _reader(root: str):
     schema = pa.schema([("path", pa.string()), ("bytes", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _open(root)
+        filesystem, base = open_folder(root)
         rows, held = [], 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
@@ -126,7 +130,7 @@ def read_one(spark: SparkSession, path: str, extensions: Sequence[str] = (".py",
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        filesystem, base = _open(folder or "/")
+        filesystem, base = open_folder(folder or "/")
         for batch in batches:
             rows = [
                 {"path": p, "is_dir": False} for p in batch.column("path").to_pylist()
@@ -149,7 +153,7 @@ def write_tree(files: DataFrame, root: str) -> None:
     """Write (path, content) as files below ``root``; a repeated task writes the same bytes again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _open(root)
+        filesystem, base = open_folder(root)
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 target = f"{base}/{path}"

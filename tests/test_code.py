@@ -110,7 +110,7 @@ def test_tree(spark, tmp_path):
     assert {r["file"] for r in code_scan.line_findings(files).collect()} == set(contents) - {"latin.py"}
     assert [(r["path"], r["error"]) for r in syntax.parse_errors(files).collect()] == [("latin.py", "UnicodeDecodeError")]
     assert [r["path"] for r in tree.read_config_tree(spark, str(tmp_path), (".env",)).collect()] == [".env"]
-    assert {r["path"] for r in tree.read_tree(spark, str(tmp_path), (".txt",)).collect()} == {"notes.txt"}
+    assert {r["path"] for r in tree.read_tree(spark, f"file:{tmp_path}", (".txt",)).collect()} == {"notes.txt"}
 
 
 def test_scan_is_one_narrow_codegen_stage(spark, files_of):
