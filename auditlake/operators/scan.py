@@ -16,7 +16,7 @@ SNIPPET = "<snippet>"
 
 
 def scan(files: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES) -> DataFrame:
-    """All findings of files (path, content)."""
+    """All findings of files (path, content). Each kind of rule reads the files once: store a tree that is slow to read."""
     return line_findings(files, rule_rows).unionByName(ast_findings(files))
 
 

@@ -52,6 +52,11 @@ def open_folder(root: str):
     return filesystem, base.rstrip("/")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work on files: a fixed number, because paths are too few bytes for Spark to judge it by."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _lister(root: str, skip: frozenset[str], recursive: bool):
     from pyarrow import fs
 
@@ -84,7 +89,8 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DI
     level = spark.createDataFrame([("", True)], "path string, is_dir boolean")
     for i in range(_LIST_ROUNDS):
         last = i == _LIST_ROUNDS - 1
-        level = level.repartition("path").mapInArrow(_lister(root, frozenset(skip_dirs), last), "path string, is_dir boolean")
+        spread = level if i == 0 else level.repartition(spark.sparkContext.defaultParallelism, "path")
+        level = spread.mapInArrow(_lister(root, frozenset(skip_dirs), last), "path string, is_dir boolean")
     return level.select("path")
 
 
@@ -109,9 +115,13 @@ def _reader(root: str):
     return read
 
 
-def read_files(paths: DataFrame, root: str) -> DataFrame:
-    """(path, content) of listed files; bytes that are not UTF-8 give a null content, not a failed job."""
-    raw = paths.select("path").repartition("path").mapInArrow(_reader(root), "path string, bytes binary")
+def read_files(paths: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """(path, content) of listed files; bytes that are not UTF-8 give a null content, not a failed job.
+
+    A task hands on its files in small batches, so few tasks cost time, not memory.
+    """
+    spread = paths.select("path").repartition(tasks or _tasks(paths.sparkSession), "path")
+    raw = spread.mapInArrow(_reader(root), "path string, bytes binary")
     return raw.select("path", F.try_validate_utf8(F.col("bytes").cast("string")).alias("content"))
 
 
