@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.common import table
+from auditlake.llm.decontaminate import contamination
 from auditlake.llm.quality_rules import quality
+from auditlake.llm.shards import shards
 from auditlake.llm.token_counts import token_counts
 from auditlake.llm.token_files import token_files
 
@@ -17,6 +19,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -25,5 +35,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_quality_rules, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op6_shards, op7_quality_rules, op9_token_files)}
 ORACLE: dict[str, str] = {}
