@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.llm.common import table
 from auditlake.llm.decontaminate import contamination
+from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.shards import shards
 from auditlake.llm.token_counts import token_counts
 from auditlake.llm.token_files import token_files
+from auditlake.llm.warc import responses_of, warc_derivatives
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -31,9 +34,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op6_shards, op7_quality_rules, op9_token_files)}
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_derivatives(responses_of(table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("key").cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type",
+        "content_length", "block_digest", "source_payload_digest", F.crc32("block").alias("block_crc32"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
 ORACLE: dict[str, str] = {}
