@@ -14,6 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +61,13 @@ def count_in_chunks(path: str, text: str, chunk: int = CHUNK_CHARS, overlap: int
 
 
 def _counts(columns: dict, path: str, chunk: int, overlap: int) -> dict:
-    texts = [t or "" for t in columns["text"].to_pylist()]
-    short = [t if len(t) <= chunk else "" for t in texts]
-    counts = [sum(units) for units in unit_cache(path, len).batch(short)]
-    for i, t in enumerate(texts):
-        if len(t) > chunk:
-            counts[i] = count_in_chunks(path, t, chunk, overlap)
-    return {"doc_id": columns["doc_id"], "n_bytes": columns["n_bytes"], "n_tokens": np.array(counts, np.int64)}
+    texts = columns["text"]
+    huge = np.flatnonzero(pc.greater(pc.utf8_length(texts).fill_null(0), chunk).to_numpy(zero_copy_only=False))
+    results, places, bounds = unit_cache(path, len).batch(pc.if_else(pc.greater(pc.utf8_length(texts), chunk), "", texts))
+    counts = np.diff(np.concatenate([[0], np.cumsum(np.array(results, np.int64)[places])])[bounds])
+    for i in huge.tolist():
+        counts[i] = count_in_chunks(path, texts[i].as_py(), chunk, overlap)
+    return {"doc_id": columns["doc_id"], "n_bytes": columns["n_bytes"], "n_tokens": counts}
 
 
 def token_counts(docs: DataFrame, path: str, doc_id: Column | None = None, text: Column | None = None, limit: int = 1024, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

@@ -11,6 +11,7 @@ i64 row ids[D] and a null flag u8[D]; u32 ids per row[D]; control bytes; data by
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,36 +23,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import small_batches
-from auditlake.llm.units import tokenizer, unit_cache
+from auditlake.llm.units import ids_of, tokenizer, unit_cache
 from auditlake.session import shared_dir
 
 MAGIC = b"RANKVB01"
 TEXT_BYTES_PER_FILE = 24 << 20
-MAX_IDS_PER_FILE = 16 << 20
+MAX_IDS_PER_FILE = 1 << 24
+
+
+SLICE = 1 << 20
+
+
+def ranks_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids by rank, rank by id): by falling count, ties by id."""
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    used = np.flatnonzero(counts)
+    by_rank = used[np.argsort(-counts[used], kind="stable")]
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    return by_rank.astype("<u4"), rank_of
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, int, bytes, bytes]:
     """(ids by rank, bits per length, control bytes, data bytes)."""
-    values, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[where]
-    bits = 2 if len(values) > 1 << 16 else 1
-    code = (ranks > 0xFF).astype(np.uint8) + 2 * (ranks > 0xFFFF).astype(np.uint8)  # 0, 1, 3: bytes less one
-    widths = code.astype(np.int64) + 1
-    if bits == 1:
-        control = np.packbits(code, bitorder="little").tobytes()
-    else:
-        padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
-        padded[: len(code)] = code
-        control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
-    starts = np.cumsum(widths) - widths
-    data = np.zeros(int(widths.sum()), np.uint8)
-    for k in range(4 if bits == 2 else 2):
-        wide = widths > k
-        data[starts[wide] + k] = (ranks[wide] >> np.uint32(8 * k)).astype(np.uint8)
-    return values[order].astype("<u4"), bits, control, data.tobytes()
+    by_rank, rank_of = ranks_of(ids)
+    bits = 2 if len(by_rank) > 1 << 16 else 1
+    controls, datas = [], []
+    for at in range(0, len(ids), SLICE):  # a multiple of 8, so control bytes of slices follow each other
+        ranks = rank_of[ids[at : at + SLICE]]
+        code = (ranks > 0xFF).astype(np.uint8)
+        if bits == 2:
+            code += 2 * (ranks > 0xFFFF).astype(np.uint8)
+            padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
+            padded[: len(code)] = code
+            controls.append((padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes())
+        else:
+            controls.append(np.packbits(code, bitorder="little").tobytes())
+        starts = np.cumsum(code, dtype=np.int64) + np.arange(len(code)) - code
+        data = np.zeros(int(starts[-1]) + int(code[-1]) + 1, np.uint8)
+        data[starts] = ranks.astype(np.uint8)
+        for k in range(1, 4 if bits == 2 else 2):
+            wide = np.flatnonzero(code >= k)
+            data[starts[wide] + k] = (ranks[wide] >> np.uint32(8 * k)).astype(np.uint8)
+        datas.append(data.tobytes())
+    return by_rank, bits, b"".join(controls), b"".join(datas)
 
 
 @lru_cache(maxsize=2)
@@ -61,18 +76,22 @@ def lengths_table(bits: int) -> np.ndarray:
 
 
 def decode_ids(by_rank: np.ndarray, bits: int, n: int, control: np.ndarray, data: np.ndarray) -> np.ndarray:
-    widths = lengths_table(bits)[control].reshape(-1)[:n]
-    starts = np.cumsum(widths, dtype=np.int64) - widths
-    ranks = data[starts].astype(np.uint32)
-    for k in range(1, 4 if bits == 2 else 2):
-        wide = np.flatnonzero(widths > k)
-        ranks[wide] |= data[starts[wide] + k].astype(np.uint32) << np.uint32(8 * k)
-    return by_rank[ranks]
+    ids, begin, each = np.empty(n, "<u4"), 0, SLICE * bits // 8
+    for at in range(0, n, SLICE):
+        widths = lengths_table(bits)[control[at // SLICE * each : at // SLICE * each + each]].reshape(-1)[: n - at]
+        starts = np.cumsum(widths, dtype=np.int64) - widths + begin
+        ranks = data[starts].astype(np.uint32)
+        for k in range(1, 4 if bits == 2 else 2):
+            wide = np.flatnonzero(widths > k)
+            ranks[wide] |= data[starts[wide] + k].astype(np.uint32) << np.uint32(8 * k)
+        ids[at : at + SLICE] = by_rank[ranks]
+        begin = int(starts[-1]) + int(widths[-1])
+    return ids
 
 
 def pack(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     """The bytes of one file."""
-    every = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    every = np.concatenate(ids)
     by_rank, bits, control, data = encode_ids(every)
     head = np.array([bits, len(by_rank), len(doc_ids)], "<u4").tobytes() + np.array([len(every), len(data)], "<u8").tobytes()
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes()
@@ -97,11 +116,11 @@ def unpack(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def _ids_bytes(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").astype("<u2").tobytes()
+    return struct.pack(f"<{len(encoding)}H", *encoding.ids)
 
 
 def _wide_ids_bytes(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
+    return struct.pack(f"<{len(encoding)}I", *encoding.ids)
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -127,15 +146,14 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: in
         return pa.RecordBatch.from_pydict({"name": [name], "part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [held]}, schema=MANIFEST)
 
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc_id, units in zip(batch.column(0).to_pylist(), cache.batch(texts)):
-            got = np.concatenate([np.frombuffer(b"".join(units), kind), end])
-            if ids and held + len(got) > MAX_IDS_PER_FILE:
+        got, at = ids_of(*cache.batch(batch.column(1)), kind)
+        for doc_id, s, e in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            if ids and held + e - s + 1 > MAX_IDS_PER_FILE:
                 yield flush()
                 doc_ids, ids, held, seq = [], [], 0, seq + 1
             doc_ids.append(doc_id)
-            ids.append(got)
-            held += len(got)
+            ids.append(np.append(got[s:e], end))
+            held += e - s + 1
     if ids:
         yield flush()
 
@@ -156,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, files
     if files is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
         files = max(spark.sparkContext.defaultParallelism, -(-size // TEXT_BYTES_PER_FILE))
-    small_batches(spark)
+    small_batches(spark, rows=8192)
     ordered = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     written = ordered.mapInArrow(partial(_write, path=path, folder=f"{folder}/files", end_id=end_id), "name string, part int, seq int, n_docs long, n_ids long")
     written.write.parquet(f"{folder}/manifest")
@@ -169,7 +187,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, sizes, ids = unpack(content.as_py())
             ends = np.cumsum(sizes, dtype=np.int64)
             starts = ends - sizes
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids).cast("B")
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "start": base + starts, "n_tokens": sizes.astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
 

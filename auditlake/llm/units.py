@@ -5,7 +5,7 @@ joins what stands before a single space between two other characters with what s
 but the two for white space runs over a space, those need white space on both sides, and a token begun after such a
 space depends on nothing before it. So a text may be cut before each such space, the cuts (units) encoded one
 by one, and their ids joined: the result is that of the whole text. Added tokens hold no space, so their strings
-are found within units as in the whole text. Texts with other white space beside a space are cut only at the safe ones.
+are found within units as in the whole text.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
-UNSAFE = re.compile(r" \s|\s ")
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-MAX_CACHED = 500_000
-MAX_UNIT = 256
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Letters, other marks but the apostrophe, and the same once more behind a line end: each of these ends a token of the
+#: pattern, whatever stands beside it, so such a unit is the sum of its pieces.
+PIECES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16})(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16}))?")
+MAX_CACHED = 400_000
+MAX_UNIT = 64
 
 
 @lru_cache(maxsize=4)
@@ -34,38 +38,93 @@ def tokenizer(path: str):
     return loaded
 
 
-def cut(text: str) -> list[str]:
-    """The units of a text, without the space before each but the first."""
-    return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
+def clean(unit: str) -> bool:
+    """Whether a space before and behind the unit is a safe cut."""
+    return unit != "" and not unit[0].isspace() and not unit[-1].isspace()
 
 
 class UnitCache:
-    """What ``of(encoding)`` makes of every unit met lately: at most twice MAX_CACHED results between batches."""
+    """What ``of(encoding)`` makes of every unit met lately: at most twice MAX_CACHED results between batches.
+
+    ``of`` must turn an encoding into something that ``+`` joins as encodings are joined; ``none`` is that of no text.
+    """
 
     def __init__(self, path: str, of: Callable):
         self.encode = tokenizer(path).encode_batch_fast
         self.of = of
+        self.none = of(tokenizer(path).encode("", add_special_tokens=False))
         self.known: dict = {}
         self.older: dict = {}
-
-    def batch(self, texts: list[str]) -> list:
-        """For each text an iterator over the results of its units, in order."""
+        self.bare: dict = {}  # without a space before
+
+    def batch(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """(results, places, bounds): text i is results[places[bounds[i]]], ... up to bounds[i + 1], in order.
+
+        Arrow cuts the texts and finds the distinct units, so Python sees each once. A text with other white space at a cut
+        is taken as one unit.
+        """
+        texts = texts.fill_null("")
+        cuts = pc.split_pattern(texts, " ")
+        bounds = cuts.offsets.to_numpy().astype(np.int64)
+        units = cuts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds -= bounds[0]
+        places = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = units.dictionary.to_pylist()
+        unsafe = np.array([not w.isalpha() and not clean(w) for w in words], bool)
+        before = np.array([w == "" or w[-1].isspace() for w in words], bool)
+        first = bounds[:-1]
+        bad = unsafe[places]
+        bad[first] = before[places[first]] & (np.diff(bounds) > 1)
+        whole = np.logical_or.reduceat(bad, first)
+        heads = [words[i] for i in places[first].tolist()]
+        for i in np.flatnonzero(whole).tolist():
+            heads[i] = texts[i].as_py()
+        encoded = self._encoded(set(heads), "")
+        places[np.repeat(whole, np.diff(bounds))] = len(words)  # nothing
+        places[first] = len(words) + 1 + np.arange(len(heads))
+        return [*self._results(words, unsafe), self.none, *(encoded[h] for h in heads)], places, bounds
+
+    def _results(self, words: list[str], unsafe: np.ndarray) -> list:
+        """What the units are, each behind a space; nothing for unsafe ones."""
         if len(self.known) > MAX_CACHED:
             self.older, self.known = self.known, {}
-        parts = [cut(text) for text in texts]
-        heads = self._learn({}, list({p[0] for p in parts}), "")
-        new = list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.known))
-        if self.older:
-            self.known.update((u, self.older[u]) for u in new if u in self.older)
-            new = [u for u in new if u not in self.known]
-        self._learn(self.known, new, " ")
-        found = [chain((heads[p[0]],), [self.known[u] for u in p[1:]]) for p in parts]
-        for u in new:
-            if len(u) > MAX_UNIT:
-                del self.known[u]
+        if len(self.bare) > MAX_CACHED // 4:
+            self.bare = {}
+        known, older, bare = self.known, self.older, self.bare
+        found = list(map(known.get, words))
+        for i in np.flatnonzero(unsafe).tolist():
+            found[i] = self.none
+        letters, long, pieces, holes = set(), [], [], []
+        for i, (u, r) in enumerate(zip(words, found)):
+            if r is not None:
+                continue
+            old = older.get(u)
+            if old is not None:
+                found[i] = known[u] = old
+                continue
+            holes.append(i)
+            if u.isalpha() and len(u) <= MAX_UNIT:
+                letters.add(u)
+            elif len(u) > MAX_UNIT:
+                long.append(u)
+            elif m := PIECES.fullmatch(u):
+                pieces.append((u, m.groups("")))
+                if m[1] not in known:
+                    letters.add(m[1])
+            else:
+                letters.add(u)
+        known.update(self._encoded(letters, " "))
+        bare.update(self._encoded({x for _, m in pieces for x in m[1:]}.difference(bare), ""))
+        for u, (a, b, c, d, e) in pieces:
+            known[u] = known[a] + bare[b] + bare[c] + bare[d] + bare[e] if c else known[a] + bare[b]
+        passing = self._encoded(long, " ")
+        for i in holes:
+            u = words[i]
+            found[i] = passing[u] if len(u) > MAX_UNIT else known[u]
         return found
 
-    def _learn(self, known: dict, units: list[str], before: str, step: int = 4096) -> dict:
+    def _encoded(self, units, before: str, step: int = 4096) -> dict:
+        known, units = {}, list(units)
         for at in range(0, len(units), step):
             some = units[at : at + step]
             known.update(zip(some, map(self.of, self.encode([before + u for u in some], add_special_tokens=False))))
@@ -76,3 +135,15 @@ class UnitCache:
 def unit_cache(path: str, of: Callable) -> UnitCache:
     """The cache that all tasks of a reused worker share."""
     return UnitCache(path, of)
+
+
+def ids_of(results: list[bytes], places: np.ndarray, bounds: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, the texts' bounds in them) of a batch whose results are the bytes of ids of ``kind``."""
+    table = np.frombuffer(b"".join(results), kind)
+    sizes = np.fromiter(map(len, results), np.int64, len(results)) // np.dtype(kind).itemsize
+    starts = np.cumsum(sizes) - sizes
+    each = sizes[places]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = table[np.arange(total) + np.repeat(starts[places] - (ends - each), each)]
+    return ids, np.concatenate([[0], ends])[bounds]
