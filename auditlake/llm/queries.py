@@ -11,6 +11,7 @@ from auditlake.llm.decontaminate import contamination
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.shards import shards
+from auditlake.llm.suffix_dedup import remove_repeats
 from auditlake.llm.token_counts import token_counts
 from auditlake.llm.token_files import token_files
 from auditlake.llm.warc import responses_of, warc_derivatives
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,5 +56,5 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_decontamination, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
 ORACLE: dict[str, str] = {}

@@ -103,7 +103,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
     for batch in batches:
         for row in zip(*(column.to_pylist() for column in batch.columns)):
-            members = [gzip.compress(r, 6, mtime=0) for r in derivatives(*row)]
+            members = [gzip.compress(r, 1, mtime=0) for r in derivatives(*row)]
             held += members
             size += sum(map(len, members))
             if size >= FILE_BYTES:
