@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import table
 from auditlake.llm.decontaminate import contamination
 from auditlake.llm.near_duplicates import near_duplicates
+from auditlake.llm.piece_sampling import sampled_pieces
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.shards import shards
 from auditlake.llm.suffix_dedup import remove_repeats
@@ -17,6 +18,7 @@ from auditlake.llm.token_files import token_files
 from auditlake.llm.warc import responses_of, warc_derivatives
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_ids=False).drop("ids")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
@@ -56,5 +62,5 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_decontamination, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
 ORACLE: dict[str, str] = {}
