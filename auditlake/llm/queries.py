@@ -12,6 +12,7 @@ from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.piece_sampling import sampled_pieces
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.shards import shards
+from auditlake.llm.site_quality import site_quality
 from auditlake.llm.suffix_dedup import remove_repeats
 from auditlake.llm.token_counts import token_counts
 from auditlake.llm.token_files import token_files
@@ -29,6 +30,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return site_quality(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,5 +68,5 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_site_quality, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
 ORACLE: dict[str, str] = {}

@@ -21,22 +21,31 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words without ASCII white space, A-Z in lower case; for each text and the end the words before it)."""
+OTHERS = np.ones(256, bool)  # all bytes but those of letters
+OTHERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def word_hashes(texts: list[bytes], apart: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hashes of all words, A-Z in lower case; for each text and the end the words before it).
+
+    Words are runs without the bytes ``apart``, ASCII white space if not given. For each number in ``heads`` an array
+    follows with the hashes of the words' first so many bytes.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    word = ~_SPACE[data]
+    word = ~apart[data]
     edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, stops = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.uint64) for _ in heads)
     sizes = stops - starts
     power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _MIX | np.uint64(1))]))
     inside = np.flatnonzero(word)
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(inside)) - np.repeat(first, sizes)
-    sums = np.add.reduceat(_OF_BYTE[data[inside]] * power[place], first)
-    return mix(sums + sizes.astype(np.uint64)), np.concatenate([[0], np.searchsorted(starts, ends)])
+    each = _OF_BYTE[data[inside]] * power[place]
+    of_heads = [mix(np.add.reduceat(np.where(place < n, each, np.uint64(0)), first) + np.uint64(n)) for n in heads]
+    return mix(np.add.reduceat(each, first) + sizes.astype(np.uint64)), np.concatenate([[0], np.searchsorted(starts, ends)]), *of_heads
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
