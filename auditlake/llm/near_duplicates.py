@@ -4,11 +4,15 @@ A text's set of shingles is a node; rows with equal sets share one. One hash of
 and its value, so the sorted set holds all bin minima; an empty bin copies the bin that a universal hash of (bin,
 attempt) names first among those filled. Bands of bins are buckets.
 
-In a bucket no pairs are listed. A centre is compared with the others (a star), which settles all its pairs; then
-it leaves the bucket. Members of one component need no comparison, so a bucket is done when only one component is left in
-it. Centres come from the bucket's smallest component, four times as many in each round, so a bucket that stays
-mixed ends after few rounds, and no pair of different components that share a bucket is left out. All links
-are confirmed on the whole sets. With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with probability 5e-8.
+In a bucket no pairs are listed. Its members are compared with one centre (a star), first the least node, then STARS times
+one drawn anew; members of one component need no more comparison. What is then still apart in a bucket is settled by
+each member's differences from the least node c, D(x) = x xor c. Sets x and y that are linked differ in at most T = (|x| + |y|)
+(100 - p) / (100 + p) elements, so D(x) and D(y) share at least (|D(x)| + |D(y)| - T) / 2. That is more than none unless both
+are linked with c and so in one component already: if x isn't, |D(x)| + |D(y)| > T follows from |y| <= |c| + |D(y)|. So every
+link that is left shows as an equal difference; by the prefix principle, one among the rarest of both, and only pairs whose
+places there leave room for enough others are compared. Copies edited at random share few differences, so these pairs are few.
+All links are confirmed on the whole sets. With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with
+probability 5e-8.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from auditlake.llm.shingles import mix, shared, shingle_sets
 
 BANDS = 32
 ROWS = 4
+STARS = 1
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -78,53 +83,101 @@ SIGNED = "doc_id long, h long, n_shingles long, node binary, bands array<long>"
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _confirm(columns: dict, width: int, percent: int) -> dict:
-    """Whether each pair of texts reaches the similarity; equal neighbours are cut into shingles once."""
+def _confirm(columns: dict, width: int, percent: int, differences: bool) -> dict:
+    """Whether each pair of texts reaches the similarity, and what their sets differ in if asked; equal texts are cut once."""
     a, b = columns["a"].to_pylist(), columns["b"].to_pylist()
     texts = dict(zip(a, columns["text_a"].cast(pa.binary()).to_pylist())) | dict(zip(b, columns["text_b"].cast(pa.binary()).to_pylist()))
     sets = dict(zip(texts, shingle_sets(list(texts.values()), width)))
-    linked = []
+    linked, apart = [], []
     for x, y in zip(a, b):
         both = shared(sets[x], sets[y])
         linked.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
-    return {"a": columns["a"], "b": columns["b"], "linked": linked}
+        apart.append(np.setxor1d(sets[x], sets[y], assume_unique=True).view(np.int64) if differences else None)
+    return {"a": columns["a"], "b": columns["b"], "linked": linked, "apart": apart}
 
 
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
+_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
 
 
-def _roots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) for the nodes of mixed buckets (bucket, node, n), by rounds of stars."""
-    roots = stored(members.select("node").distinct().withColumn("root", F.col("node")))
-    tested, centres = None, 1
-    while True:
-        placed = stored(members.join(roots, "node"))
-        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-        mixed = parts.groupBy("bucket").agg(F.min(F.struct("size", "first", "root")).alias("least"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = stored(mixed.select("bucket", F.col("least.root").alias("own")))
-        if mixed.isEmpty():
-            return roots
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        chosen = placed.join(mixed, "bucket").where(F.col("root") == F.col("own"))
-        star = stored(chosen.withColumn("rank", rank).where(F.col("rank") <= centres).select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("root").alias("own")))
-        near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-        pairs = placed.join(star, "bucket").where((F.col("root") != F.col("own")) & near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        result = stored(map_batches(with_both, partial(_confirm, width=width, percent=percent), "a binary, b binary, linked boolean", _PAIRS))
-        tested = result.select("a", "b") if tested is None else stored(tested.union(result.select("a", "b")))
-        # Links between components, by their roots; the rest of the graph needs no new look.
-        of = roots.select(F.col("node").alias("x"), "root")
+class Links:
+    """The components found so far, and the texts of the nodes to confirm more."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
+        self.roots = stored(nodes.withColumn("root", F.col("node")))
+        self.texts, self.width, self.percent = texts, width, percent
+
+    def confirm(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """(a, b, linked, apart) of the pairs (a, b)."""
+        with_b = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        with_both = with_b.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        return stored(map_batches(with_both, partial(_confirm, width=self.width, percent=self.percent, differences=differences), "a binary, b binary, linked boolean, apart array<long>", _PAIRS))
+
+    def take(self, result: DataFrame) -> None:
+        """Join the components of linked pairs."""
+        of = self.roots.select(F.col("node").alias("x"), "root")
         links = result.where("linked").join(of.withColumnRenamed("root", "ra"), F.col("a") == F.col("x")).drop("x").join(of.withColumnRenamed("root", "rb"), F.col("b") == F.col("x"))
-        links = links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        links = stored(links.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         if not links.isEmpty():
             joined = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
-            roots = stored(roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")))
-        left = placed.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "node", "n")
-        members = stored(left.join(star.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti"))
-        centres *= 4
+            self.roots = stored(self.roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")))
+
+    def apart(self, members: DataFrame) -> DataFrame:
+        """The members (bucket, node, n) of buckets that hold several components, with their roots."""
+        placed = members.join(self.roots, "node")
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+        return stored(placed.join(mixed, "bucket"))
+
+
+def _near(n: str, m: str, percent: int):
+    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+
+
+def _star(placed: DataFrame, order) -> DataFrame:
+    """Each member of a bucket beside its centre, the least by ``order``."""
+    centres = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("centre"), F.col("n").alias("m"), F.col("root").alias("own"))).alias("c")).select("bucket", "c.centre", "c.m", "c.own")
+    return placed.join(centres, "bucket")
+
+
+def _left(placed: DataFrame, links: Links, percent: int) -> DataFrame:
+    """The pairs (a, b) that may still be linked, by their differences from the least node of a common bucket."""
+    star = _star(placed, F.col("node")).where("node != centre").select("centre", "node", "n", "m").distinct()
+    result = links.confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), differences=True)
+    links.take(result)
+    # The centre's own links are settled; what its bucket's members share is asked by (centre, difference).
+    known = result.select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", F.size("apart").alias("d"), F.explode("apart").alias("e"))
+    counts = known.groupBy("centre", "e").agg(F.count("*").alias("c"), F.count_if(~F.col("linked")).alias("open")).where("c > 1 and open > 0").select("centre", "e", "c")
+    shared_ones = known.join(counts, ["centre", "e"])
+    # Differences in one order for all, rare ones first; those of one node alone come before all others.
+    each = Window.partitionBy("centre", "node")
+    placed_ones = shared_ones.withColumn("k", F.row_number().over(each.orderBy("c", "e"))).withColumn("s", F.count("*").over(each))
+    sizes = placed.select("node", "n").distinct()
+    entries = placed_ones.withColumn("left", F.col("s") - F.col("k")).join(sizes, "node").join(links.roots, "node")  # ``left``: behind this one
+    entries = stored(entries.select("centre", "e", "node", "n", "root", "linked", "d", "left"))
+    x = entries.select("centre", "e", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "linked", "d", "left")])
+    y = entries.select("centre", "e", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "linked", "d", "left")])
+    # Twice the least number of equal differences, times (100 + p).
+    needed = (F.col("d_x") + F.col("d_y")) * (100 + percent) - (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    room = 2 * (100 + percent) * (1 + F.least("left_x", "left_y"))
+    both = x.join(y, ["centre", "e"]).where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & ~(F.col("linked_x") & F.col("linked_y")) & _near("n_x", "n_y", percent) & (room >= needed))
+    return stored(both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+
+
+def _roots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) for the nodes of the buckets (bucket, node, n)."""
+    links = Links(members.select("node").distinct(), texts, width, percent)
+    for turn in range(STARS + 1):
+        members = links.apart(members)
+        if members.isEmpty():
+            return links.roots
+        members = members.select("bucket", "node", "n", "root")
+        star = _star(members, F.xxhash64("node", F.lit(turn), "bucket") if turn else F.col("node"))
+        pairs = star.where((F.col("root") != F.col("own")) & _near("n", "m", percent)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        links.take(links.confirm(pairs))
+        members = members.drop("root")
+    placed = links.apart(members)
+    if not placed.isEmpty():
+        links.take(links.confirm(_left(placed, links, percent)))
+    return links.roots
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
