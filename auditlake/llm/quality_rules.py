@@ -21,32 +21,42 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
+#: Where the fit starts, and what GOOD and STRENGTH rows hold it to: a bad text breaks some of the rules, a good one hardly any.
+#: Probabilities of a vote (bad, none, good) for a bad and for a good text.
+START = ((0.4, 0.1, 0.5), (0.02, 0.08, 0.9))
+GOOD = 0.85
+STRENGTH = 10.0
+PLAIN = "^\\p{L}+(?:['\\x{2019}-]\\p{L}+)*[.,;:!?]?\\z"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad where ``bad`` holds, else good where ``good`` holds, else abstains. ``prior``: accuracy to start from."""
+    """Votes bad where ``bad`` holds, else good where ``good`` holds, else abstains."""
 
     name: str
     bad: Column
     good: Column
-    prior: float = 0.8
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper) per row, none for a null text.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_plain, n_distinct) per row.
 
-    Words are runs without ASCII white space. Windows are compared by a 64-bit hash of their word hashes.
+    Words are runs without ASCII white space; a null text has none. Windows are compared by a 64-bit hash of their word
+    hashes, and distinct words by theirs. Plain words are letters, joined by - or ' if at all, and one mark at most behind.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", "")) > 0)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.transform(words, lambda w: F.xxhash64(w)).alias("h"),
+        words.alias("words"),
         F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         F.when(F.contains(text, F.lit("\n")), F.struct(F.size(lines).alias("n"), F.size(F.array_distinct(lines)).alias("d"))).otherwise(F.struct(F.lit(1).alias("n"), F.lit(1).alias("d"))).alias("lines"),
     )
+    n_plain = F.size(F.filter("words", lambda w: w.rlike(PLAIN))).cast("long")
+    rows = rows.withColumn("n_plain", n_plain).withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
     h = F.col("h")
     windows = F.when(
         F.size(h) > WINDOW,
@@ -67,21 +77,21 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id", F.size(h).cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.col("lines.n") - F.col("lines.d")).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.col("lines.n").cast("long").alias("n_lines"), "n_upper",
+        F.col("lines.n").cast("long").alias("n_lines"), "n_upper", "n_plain", F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
     )
 
 
 def default_rules() -> list[Rule]:
-    """Rules over the columns of ``measures``. Each is a clear sign on one side, or abstains."""
+    """Rules over the columns of ``measures``: far from what running text has votes bad, near it good, between neither."""
     n, c = F.col("n_words"), F.col
-    mean = c("word_chars") / F.greatest(n, F.lit(1))
     return [
-        Rule("symbols", c("n_symbols") * 5 > n, c("n_symbols") * 50 <= n, 0.9),
-        Rule("repeats", c("n_repeat_words") * 100 > n * 20, c("n_repeat_words") * 100 <= n * 10, 0.85),
-        Rule("duplicate_lines", c("n_dup_lines") * 10 > c("n_lines") * 3, c("n_dup_lines") * 10 <= c("n_lines"), 0.8),
-        Rule("word_length", (mean < 2.5) | (mean > 11), (mean >= 3.5) & (mean <= 9), 0.7),
-        Rule("upper_case", c("n_upper") * 10 > c("word_chars") * 4, c("n_upper") * 10 <= c("word_chars") * 2, 0.85),
-        Rule("length", n < 2 * MIN_WORDS, n >= 3 * MIN_WORDS, 0.6),
+        Rule("symbols", c("n_symbols") * 5 > n, c("n_symbols") * 50 <= n),
+        Rule("plain_words", c("n_plain") * 10 < n * 7, c("n_plain") * 10 >= n * 8),
+        Rule("word_length", (c("word_chars") > n * 7) | (c("word_chars") * 2 < n * 7), c("word_chars").between(n * 4.4, n * 6.6)),
+        Rule("vocabulary", c("n_distinct") * 10 < n * 3, c("n_distinct") * 20 >= n * 9),
+        Rule("repeats", c("n_repeat_words") * 4 > n, c("n_repeat_words") * 10 <= n),
+        Rule("upper_case", c("n_upper") * 10 > c("word_chars") * 4, c("n_upper") * 10 <= c("word_chars") * 2),
+        Rule("duplicate_lines", c("n_dup_lines") * 2 > c("n_lines"), c("n_dup_lines") * 10 <= c("n_lines")),
     ]
 
 
@@ -99,12 +109,13 @@ class LabelModel:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, score))))
 
 
-def fit(counts: list[tuple[list[int], int]], priors: list[float], good: float = 0.85, strength: float = 10.0, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation over counted patterns. ``strength`` pseudo-rows per class hold each rule to its prior.
+def fit(counts: list[tuple[list[int], int]], rules: int, good: float = GOOD, strength: float = STRENGTH, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation-maximisation over counted patterns of votes of so many ``rules``, from START and ``good``.
 
-    Without rows the priors are returned. Counts are taken in the order of patterns, so the result is reproducible.
+    ``strength`` pseudo-rows hold it to its start. Without rows the start is returned. Counts are taken in the order of
+    patterns, so the result is reproducible.
     """
-    start = tuple(((p * 0.8, 0.2, (1 - p) * 0.8), ((1 - p) * 0.8, 0.2, p * 0.8)) for p in priors)
+    start = (START,) * rules
     model = LabelModel(good, start)
     counts = sorted(counts)
     total = sum(n for _, n in counts)
@@ -137,7 +148,7 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float =
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     voted = measured.withColumn("base_failed", base).withColumn("votes", votes)
     counted = voted.groupBy("votes").count().collect()  # at most 3 ** rules rows
-    model = fit([(list(v), n) for v, n in counted], [r.prior for r in rules])
+    model = fit([(list(v), n) for v, n in counted], len(rules))
     score = F.lit(math.log(model.good / (1 - model.good)))
     for i, (bad, good) in enumerate(model.votes):
         vote = F.get("votes", F.lit(i))

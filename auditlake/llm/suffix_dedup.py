@@ -334,7 +334,7 @@ def _remove(docs: pa.Table, runs: pa.Table, length: int, with_kept: bool, schema
             new = np.concatenate([[True], a[1:] > z[:-1]])
             starts, stops = a[new].tolist(), z[np.concatenate([new[1:], [True]])].tolist()
         kept = b"".join([text[s:e] for s, e in zip([0, *stops], [*starts, len(text)])])
-        for column, value in zip(out, (len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept if with_kept else None)):
+        for column, value in zip(out, (len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_kept else None)):
             column.append(value)
     place = pa.array([r[2] for r in rows], pa.int64())
     carried = [docs.column(c).take(place) for c in schema.names[:2]]
@@ -344,7 +344,7 @@ def _remove(docs: pa.Table, runs: pa.Table, length: int, with_kept: bool, schema
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = False, shard_bytes: int = DOC_SHARD_BYTES, content_bytes: int = CONTENT_SHARD_BYTES, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``row`` is a struct of all columns but text.
 
-    ``kept`` holds the remaining bytes if asked for. Earlier means a smaller doc_id, or the same document and an earlier
+    ``kept`` is the remaining text if asked for, without the rest of characters that lost a byte; the digest is of all bytes. Earlier means a smaller doc_id, or the same document and an earlier
     start. Null ids come before all others. Rows with equal ids come in the order of their text's hash; of rows equal in both
     the first stands for the others, which are copies. Null texts are empty. Texts shorter than ``length`` lose nothing.
     Columns of other names are carried, whatever they are called. An empty table gives no rows.
@@ -370,9 +370,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     cut = texts.groupBy("shard").cogroup(to_shards.groupBy("shard")).applyInArrow(lambda key, left, right: _cut(key, left, right, often, buckets, length, gram), SEGMENTS)
     runs = stored(cut.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("shard"))).applyInArrow(lambda t: _find(t, length), RUNS))
     back = runs.unionByName(copies, allowMissingColumns=True)
-    done = T.StructType([T.StructField("doc_id", T.LongType()), long.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    done = T.StructType([T.StructField("doc_id", T.LongType()), long.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
     schema = to_arrow_schema(done)
     made = long.select("shard", "doc_id", "row", "sha", "text").groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(lambda key, left, right: _remove(left, right, length, with_kept, schema), done)
     zero = F.lit(0).cast("long")
-    short = source.where(F.col("n_bytes") < length).select("doc_id", "row", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text").cast("binary") if with_kept else F.lit(None).cast("binary")).alias("kept"))
+    short = source.where(F.col("n_bytes") < length).select("doc_id", "row", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if with_kept else F.lit(None).cast("string")).alias("kept"))
     return made.unionByName(short)
