@@ -27,6 +27,7 @@ class PromptRule:
     component: str
     description: str
     remediation: str
+    category: str = "security"
 
 
 @dataclass(frozen=True)

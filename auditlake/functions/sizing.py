@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_ROWS = 1_000_000
@@ -18,20 +20,28 @@ class Size:
     bytes: int
 
 
-def measure(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Size:
-    """Rows and payload bytes, reading no more than ``max_rows + 1`` rows."""
-    payload = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    row = (
-        df.limit(max_rows + 1)
-        .select(payload.alias("bytes"))
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
-        .first()
-    )
+def payload_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts by their length, nested values by that of their JSON, all else 8."""
+
+    def width(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(column), F.lit(0))
+        if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        return F.lit(8)
+
+    return reduce(lambda a, b: a + b, map(width, df.schema.fields), F.lit(0)).cast("long")
+
+
+def measure(df: DataFrame) -> Size:
+    """Rows and payload bytes. Every task adds up its own rows, so one small row per task is shuffled."""
+    row = df.select(payload_bytes(df).alias("bytes")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     return Size(int(row["rows"]), int(row["bytes"]))
 
 
 def fits(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    size = measure(df, max_rows)
+    size = measure(df)
     return size.rows <= max_rows and size.bytes <= max_bytes
 
 

@@ -24,9 +24,8 @@ def inventory_facts(files: DataFrame) -> DataFrame:
 
 
 def _order() -> Column:
-    """Walk order within a module; modules come in no particular but always the same order."""
-    module = F.pmod(F.xxhash64("path"), F.lit(1 << 31))
-    return module * (1 << 20) + F.col("seq")
+    """Modules by their path, and within one by walk order: never the same for two facts."""
+    return F.struct(F.col("path").alias("module"), F.col("seq").cast("long").alias("seq"))
 
 
 def endpoints_of(facts: DataFrame) -> DataFrame:

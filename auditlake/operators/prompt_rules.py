@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from auditlake.functions import text
 from auditlake.functions.rules import PROMPT_RULES, PromptRule
 from auditlake.schemas import CONFLICT
 
+Rule = PromptRule | Callable[[Column], Column]
+
 
 def conflict(severity: str, category: str, description: Column, component: Column, remediation: Column) -> Column:
     return F.struct(
@@ -37,7 +39,7 @@ def _found(rule: PromptRule, hit: Column) -> Column:
         description = F.concat(F.lit(head), hit, F.lit(tail))
     else:
         description = F.lit(rule.description)
-    return conflict(rule.severity, "security", description, F.lit(rule.component), F.lit(rule.remediation))
+    return conflict(rule.severity, rule.category, description, F.lit(rule.component), F.lit(rule.remediation))
 
 
 def rule_conflict(prompts: DataFrame, rule: PromptRule, name: str = "conflict") -> DataFrame:
@@ -47,19 +49,19 @@ def rule_conflict(prompts: DataFrame, rule: PromptRule, name: str = "conflict")
     return hits.withColumn(name, F.when(F.col("_hit").isNotNull(), _found(rule, F.col("_hit")))).drop("_hit")
 
 
-def security_conflicts(
-    prompts: DataFrame, rules: Sequence[PromptRule] = PROMPT_RULES, name: str = "conflicts"
-) -> DataFrame:
+def security_conflicts(prompts: DataFrame, rules: Sequence[Rule] = PROMPT_RULES, name: str = "conflicts") -> DataFrame:
     """``prompts`` plus the array of all text rule conflicts, in rule order.
 
-    The prompt is folded once and every pattern run once: hits are columns of their own.
+    The prompt is folded once and every pattern run once: hits are columns of their own. A rule may be a function from
+    the prompt's column to a column made by ``conflict``, null where it does not fire.
     """
+    none = F.array().cast(f"array<{CONFLICT.simpleString()}>")
+    own = {i: rule(F.col("prompt")).cast(CONFLICT) for i, rule in enumerate(rules) if callable(rule)}
     hits = prompts.withColumn("_folded", text.fold(F.col("prompt"))).withColumns(
-        {f"_hit{i}": first_hit(F.col("_folded"), rule) for i, rule in enumerate(rules)}
+        {f"_hit{i}": own[i] if i in own else first_hit(F.col("_folded"), rule) for i, rule in enumerate(rules)}
     )
-    none = F.array().cast(f"array<{CONFLICT.simpleString()}>")
     one_each = [
-        F.when(F.col(f"_hit{i}").isNotNull(), F.array(_found(rule, F.col(f"_hit{i}")))).otherwise(none)
+        F.when(F.col(f"_hit{i}").isNotNull(), F.array(F.col(f"_hit{i}") if i in own else _found(rule, F.col(f"_hit{i}")))).otherwise(none)
         for i, rule in enumerate(rules)
     ]
     return hits.withColumn(name, F.concat(none, *one_each)).drop("_folded", *[f"_hit{i}" for i in range(len(rules))])

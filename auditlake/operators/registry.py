@@ -38,7 +38,7 @@ class Registry:
 
     def can_fold(self) -> bool:
         """Whether the whole registry, and the largest project's share, were measured to be small."""
-        sizes = self.facts().limit(MAX_BROADCAST_ROWS + 1).groupBy("project_id").agg(
+        sizes = self.facts().groupBy("project_id").agg(
             F.count("*").alias("rows"), F.sum(F.octet_length("fact")).alias("bytes")
         )
         most = sizes.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max("rows").alias("largest")).first()
@@ -111,8 +111,19 @@ def tokens_in(prompt: Column) -> Column:
 
 
 def latest_endpoints(endpoints: DataFrame) -> DataFrame:
-    """path -> method; of a repeated path the last endpoint counts. Combines before the shuffle."""
-    return endpoints.groupBy("project_id", "path").agg(F.max_by("method", "ord").alias("method"))
+    """path -> method; of a repeated path the last endpoint counts. Combines before the shuffle.
+
+    ``ord`` is a number or, from code, (module, place in it). Endpoints without a path are left out.
+    """
+    known = endpoints.filter(F.col("path").isNotNull())
+    return known.groupBy("project_id", "path").agg(F.max_by("method", F.struct("ord", "method")).alias("method"))
+
+
+def latest_pins(dependencies: DataFrame) -> DataFrame:
+    """name -> version; of a repeated name the last ``ord`` counts if there is one, else the greatest version."""
+    place = F.struct("ord", "version") if "ord" in dependencies.columns else F.col("version")
+    known = dependencies.filter(F.col("name").isNotNull())
+    return known.groupBy("project_id", "name").agg(F.max_by("version", place).alias("version"))
 
 
 def keyed_models(models: DataFrame) -> DataFrame:
@@ -121,6 +132,7 @@ def keyed_models(models: DataFrame) -> DataFrame:
     A whole-word mention of a name always contains its first word run as a whole word, so equality on
     ``key`` finds every candidate; only names with other characters need the regex on top.
     """
+    models = models.filter(F.col("name").isNotNull())
     folded = text.fold(F.col("name"))
     key = F.regexp_extract(folded, f"({text.WORD_RUN})", 1)
     escaped = F.regexp_replace(folded, rf"([^\p{{L}}\p{{N}}_])", r"\\$1")
@@ -206,7 +218,7 @@ def _folded_pins(prompts: DataFrame, registry: Registry, name: str) -> DataFrame
     )
     differing = F.filter(asked, lambda m: (m["pin"] != "") & (m["pin"] != m["version"]))
     found = F.transform(differing, lambda m: pin_conflict(m["name"], m["version"], m["pin"]))
-    folded = _fold(registry.dependencies, "name", F.col("version"))
+    folded = _fold(latest_pins(registry.dependencies), "name", F.col("version"))
     return _with_folded(prompts, folded, prompt.rlike("[=><~!]"), found, name)
 
 
@@ -219,64 +231,71 @@ def folded_conflicts(prompts: DataFrame, registry: Registry, name: str = "regist
 
 
 # ---- joined shape ----------------------------------------------------------------------------------
-# Each check gives (prompt_id, project_id, check, seq, sub, conflict): one row per conflict, with its place.
+# Each check gives (key, project_id, check, seq, sub, conflict): one row per conflict, with its place. ``key`` names the
+# column that tells prompts apart: the audit makes its own, as ids may be null or repeated.
 
 
-def _placed(df: DataFrame, check: int, sub: Column, found: Column, *extra: str) -> DataFrame:
-    return df.select(
-        "prompt_id", "project_id", F.lit(check).alias("check"), F.col("seq").cast("long").alias("seq"),
-        sub.cast("long").alias("sub"), found.alias("conflict"), *extra,
-    )
+def _placed(df: DataFrame, key: str, check: int, seq: Column, sub: Column, found: Column, *extra: str) -> DataFrame:
+    return df.select(key, "project_id", F.lit(check).alias("check"), seq.alias("seq"), sub.cast("long").alias("sub"), found.alias("conflict"), *extra)
 
 
-def check_api_drift(prompts: DataFrame, endpoints: DataFrame) -> DataFrame:
+def check_api_drift(prompts: DataFrame, endpoints: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Paths named in a prompt that are registered with another verb than the prompt implies."""
     mentions = prompts.filter(F.col("prompt").contains("/")).select(
-        "prompt_id", "project_id", verbs_in(F.col("prompt")).alias("verbs"),
+        key, "project_id", verbs_in(F.col("prompt")).alias("verbs"),
         F.posexplode(paths_in(F.col("prompt"))).alias("seq", "path"),
     )
-    known = sized_join(mentions, latest_endpoints(endpoints), ["project_id", "path"], F.col("prompt_id"))
+    known = sized_join(mentions, latest_endpoints(endpoints), ["project_id", "path"], F.col(key))
     each = known.select("*", F.posexplode("verbs").alias("sub", "verb")).filter("verb <> method")
     found = drift_conflict(F.col("path"), F.col("method"), F.col("verb"))
-    return _placed(each, 1, F.col("sub"), found, "path", "method", "verb")
+    return _placed(each, key, 1, F.col("seq").cast("long"), F.col("sub"), found, "path", "method", "verb")
 
 
-def check_schema_collision(prompts: DataFrame, models: DataFrame) -> DataFrame:
+def check_schema_collision(prompts: DataFrame, models: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Registered models named as a whole word, any case; ``\\bName\\b`` became equality of word runs."""
     keyed = keyed_models(models).withColumnRenamed("ord", "seq")
 
     def candidates(tokens: Column, names: DataFrame) -> DataFrame:
-        mentions = prompts.select("prompt_id", "project_id", F.explode(tokens).alias("key"))
-        return sized_join(mentions, names, ["project_id", "key"], F.col("prompt_id"))
+        mentions = prompts.select(key, "project_id", F.explode(tokens).alias("key"))
+        return sized_join(mentions, names, ["project_id", "key"], F.col(key))
 
     tokens = tokens_in(F.col("prompt"))
     hits = candidates(tokens, keyed.filter("pattern is null"))
     odd = keyed.filter("pattern is not null")
     if not odd.isEmpty():  # only these need the text again
-        folded = prompts.select("prompt_id", text.fold(F.col("prompt")).alias("folded"))
-        possible = candidates(F.array_append(tokens, F.lit("")), odd).join(folded, "prompt_id")
+        folded = prompts.select(key, text.fold(F.col("prompt")).alias("folded"))
+        possible = candidates(F.array_append(tokens, F.lit("")), odd).join(folded, key)
         hits = hits.unionByName(possible.filter("folded rlike pattern").drop("folded"))
-    return _placed(hits, 2, F.lit(0), collision_conflict(F.col("name")), "name")
+    return _placed(hits, key, 2, F.col("seq"), F.lit(0), collision_conflict(F.col("name")), "name")
 
 
-def check_dependency_conflict(prompts: DataFrame, dependencies: DataFrame) -> DataFrame:
+def check_dependency_conflict(prompts: DataFrame, dependencies: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Versions asked for that differ, as text, from a non-empty pin of the same name."""
     asked = prompts.filter(F.col("prompt").rlike("[=><~!]")).select(
-        "prompt_id", "project_id", F.posexplode(versions_in(F.col("prompt"))).alias("seq", "m")
-    ).select("prompt_id", "project_id", "seq", "m.*")
-    pins = dependencies.filter("version <> ''").select("project_id", "name", F.col("version").alias("pin"))
-    differing = sized_join(asked, pins, ["project_id", "name"], F.col("prompt_id")).filter("pin <> version")
+        key, "project_id", F.posexplode(versions_in(F.col("prompt"))).alias("seq", "m")
+    ).select(key, "project_id", "seq", "m.*")
+    pins = latest_pins(dependencies).filter("version <> ''").select("project_id", "name", F.col("version").alias("pin"))
+    differing = sized_join(asked, pins, ["project_id", "name"], F.col(key)).filter("pin <> version")
     found = pin_conflict(F.col("name"), F.col("version"), F.col("pin"))
-    return _placed(differing, 3, F.lit(0), found, "name", "version", "pin")
+    return _placed(differing, key, 3, F.col("seq").cast("long"), F.lit(0), found, "name", "version", "pin")
+
 
+def joined_conflicts(prompts: DataFrame, registry: Registry, key: str = "prompt_id") -> DataFrame:
+    """(key, registry_conflicts): all three checks, in order; a prompt's own mentions bound its array.
 
-def joined_conflicts(prompts: DataFrame, registry: Registry) -> DataFrame:
-    """(prompt_id, registry_conflicts): all three checks, in order; a prompt's own mentions bound its array."""
-    cols = ["prompt_id", "check", "seq", "sub", "conflict"]
-    found = (
-        check_api_drift(prompts, registry.endpoints).select(cols)
-        .unionByName(check_schema_collision(prompts, registry.models).select(cols))
-        .unionByName(check_dependency_conflict(prompts, registry.dependencies).select(cols))
+    Places within a check are numbers or, for models read from code, (module, place in it), so each check is ordered by
+    its own kind of place.
+    """
+    checks = (
+        check_api_drift(prompts, registry.endpoints, key),
+        check_schema_collision(prompts, registry.models, key),
+        check_dependency_conflict(prompts, registry.dependencies, key),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("check", "seq", "sub", "conflict")))
-    return found.groupBy("prompt_id").agg(F.transform(ordered, lambda c: c["conflict"]).alias("registry_conflicts"))
+    places = [f"place{i}" for i in range(len(checks))]
+    parts = []
+    for i, found in enumerate(checks):
+        kinds = [F.col("seq").alias(p) if j == i else F.lit(None).cast(checks[j].schema["seq"].dataType).alias(p) for j, p in enumerate(places)]
+        parts.append(found.select(key, "check", *kinds, "sub", "conflict"))
+    each = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ordered = F.array_sort(F.collect_list(F.struct("check", *places, "sub", "conflict")))
+    return each.groupBy(key).agg(F.transform(ordered, lambda c: c["conflict"]).alias("registry_conflicts"))

@@ -2,10 +2,11 @@ import json
 
 import pytest
 from conftest import PROJECT, make_registry
+from pyspark.sql import functions as F
 
 from auditlake.functions.rules import PROMPT_RULES, PromptRule
 from auditlake.operators import registry as reg
-from auditlake.operators.prompt_rules import rule_conflict
+from auditlake.operators.prompt_rules import conflict, rule_conflict
 from auditlake.operators.verdict import audit_prompts, with_security
 from auditlake.sources.prompts import accept, read_labelled, reject
 
@@ -139,6 +140,42 @@ def test_salted_join_is_used_beyond_the_limit(prompts_of, registry, monkeypatch)
     assert sorted(map(str, audit_prompts(prompts, registry).collect())) == expected
 
 
+def test_both_shapes_agree_on_null_and_repeated_keys(spark, prompts_of):
+    shop = make_registry(spark)
+    more = shop.endpoints.unionByName(spark.createDataFrame([(PROJECT, 9, None, "GET"), (None, 9, "/a", "GET"), (PROJECT, 9, "/b", None)], shop.endpoints.schema))
+    pins = shop.dependencies.unionByName(spark.createDataFrame([(PROJECT, "stripe", "1.0"), (PROJECT, None, "1"), (PROJECT, "odd", None)], shop.dependencies.schema))
+    models = shop.models.unionByName(spark.createDataFrame([(PROJECT, 8, None), (PROJECT, 8, "User")], shop.models.schema))
+    registry = reg.Registry(more, models, pins)
+    prompts = prompts_of(["delete /users/me of the User, stripe==1.2 odd==1", "post /a and /b", "User"])
+    prompts = prompts.unionByName(prompts).unionByName(prompts.withColumn("prompt_id", F.lit(None).cast("long")))
+    folded, joined = (sorted(map(str, audit_prompts(prompts, registry, fold=f).collect())) for f in (True, False))
+    assert folded == joined and len(folded) == 9
+    found = audit_prompts(prompts, registry, fold=False).filter("prompt_id is null").collect()
+    assert sorted(len(r["conflicts"]) for r in found) == [0, 2, 4]
+
+
+def test_a_rule_may_be_a_function(prompts_of):
+    def shouts(prompt):
+        found = conflict("medium", "tone", F.lit("It shouts."), F.lit("prompt"), F.lit("Be calm."))
+        return F.when(prompt == F.upper(prompt), found)
+
+    rows = with_security(prompts_of(["RAW SQL", "raw sql", None]), [*PROMPT_RULES, shouts]).orderBy("prompt_id").collect()
+    assert [[c["category"] for c in r["conflicts"]] for r in rows] == [["security", "tone"], ["security"], []]
+
+
+def test_places_from_code_order_the_models(spark, prompts_of):
+    place = "project_id string, ord struct<module:string,seq:long>"
+    registry = reg.Registry(
+        spark.createDataFrame([(PROJECT, ("b.py", 1), "/a", "GET"), (PROJECT, ("a.py", 2), "/a", "POST")], f"{place}, path string, method string"),
+        spark.createDataFrame([(PROJECT, ("b.py", 1), "User"), (PROJECT, ("a.py", 2), "Order"), (PROJECT, ("a.py", 1), "Item")], f"{place}, name string"),
+        spark.createDataFrame([], "project_id string, name string, version string"),
+    )
+    prompts = prompts_of(["user order item, post /a"])
+    for fold in (True, False):
+        (row,) = audit_prompts(prompts, registry, fold=fold).collect()
+        assert [c["affected_component"] for c in row["conflicts"]] == ["route:/a", "model:Item", "model:Order", "model:User"]
+
+
 def test_last_registration_counts(registry):
     assert {(r["path"], r["method"]) for r in reg.latest_endpoints(registry.endpoints).collect()} == {
         ("/payments/charge", "POST"), ("/users/me", "GET"), ("/orders", "POST")
