@@ -44,8 +44,11 @@ def _hit(line: Column, folded: Column, rule: LineRule) -> Column:
     return has_needle(line, folded, rule) & line.rlike(pattern)
 
 
+MASK_BITS = 63
+
+
 def hit_mask(line: Column, folded: Column, rule_rows: Sequence[LineRule]) -> Column:
-    """Bit i is set when rule i hits the line."""
+    """Bit i is set when rule i hits the line; for at most MASK_BITS rules."""
     bits = [
         F.when(_hit(line, folded, rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
         for i, rule in enumerate(rule_rows)
@@ -68,14 +71,17 @@ def _rule_table(rule_rows: Sequence[LineRule]) -> Column:
 
 def line_findings(files: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES) -> DataFrame:
     """Files (path, content) to findings, at most one per line and rule; col is always 1."""
-    if not 0 < len(rule_rows) <= 63:
-        raise ValueError("a line scan takes 1 to 63 rules; scan in several passes beyond that")
+    if not rule_rows:
+        raise ValueError("a line scan needs a rule")
     content, line, folded = F.col("content"), F.col("line"), F.col("folded")
     named = text.worked_out(files.select("path", "content"), text.fold(content), "folded")
     lines = text.worked_out(file_lines(named.filter(_may_hit(content, folded, rule_rows))), text.fold(line), "folded")
-    hits = lines.withColumn("mask", hit_mask(line, folded, rule_rows)).filter("mask <> 0")
-    each = hits.select("path", "line_no", "line", "mask", F.inline(_rule_table(rule_rows))).filter(
-        "(shiftright(mask, rule_ord) & 1) = 1"
+    parts = [rule_rows[i : i + MASK_BITS] for i in range(0, len(rule_rows), MASK_BITS)]
+    masks = [f"mask{i}" for i in range(len(parts))]
+    masked = lines.withColumns({name: hit_mask(line, folded, part) for name, part in zip(masks, parts)})
+    hits = masked.filter(reduce(lambda a, b: a | b, [F.col(name) != 0 for name in masks]))
+    each = hits.select("path", "line_no", "line", F.array(*masks).alias("masks"), F.inline(_rule_table(rule_rows))).filter(
+        f"(shiftright(masks[rule_ord div {MASK_BITS}], rule_ord % {MASK_BITS}) & 1) = 1"
     )
     return each.select(
         "severity", "category", "rule_id", F.col("path").alias("file"), F.col("line_no").alias("line"),
@@ -84,12 +90,6 @@ def line_findings(files: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES)
     )
 
 
-def scan_snippets(snippets: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES) -> DataFrame:
-    """Inline code (content, optional path) to findings; a missing name becomes ``<snippet>``."""
-    name = F.coalesce(F.col("path"), F.lit("<snippet>")) if "path" in snippets.columns else F.lit("<snippet>")
-    return line_findings(snippets.select(name.alias("path"), "content"), rule_rows)
-
-
 def severity_summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 

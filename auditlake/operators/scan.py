@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.functions.rules import LINE_RULES, LineRule
 from auditlake.operators.code_scan import line_findings
@@ -20,6 +21,12 @@ def scan(files: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES) -> DataFr
     return line_findings(files, rule_rows).unionByName(ast_findings(files))
 
 
+def scan_snippets(snippets: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES) -> DataFrame:
+    """Inline code (content, optional path) to findings of both kinds; a missing name becomes ``<snippet>``."""
+    name = F.coalesce(F.col("path"), F.lit(SNIPPET)) if "path" in snippets.columns else F.lit(SNIPPET)
+    return scan(snippets.select(name.alias("path"), "content"), rule_rows)
+
+
 def scan_source(
     spark: SparkSession, code: str | None = None, path: str | None = None, name: str | None = None,
     is_file: bool = False, rule_rows: Sequence[LineRule] = LINE_RULES,

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from auditlake.functions.rules import LINE_RULES, LineRule
-from auditlake.operators.code_scan import line_findings
+from auditlake.operators.scan import scan
 
 
 def scan_stream(files: DataFrame, rule_rows: Sequence[LineRule] = LINE_RULES) -> DataFrame:
-    """A stream of (path, content) to a stream of findings; stateless."""
-    return line_findings(files, rule_rows)
+    """A stream of (path, content) to a stream of findings of both kinds; stateless."""
+    return scan(files, rule_rows)
 
 
 def write_findings(findings: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

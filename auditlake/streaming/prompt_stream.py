@@ -4,53 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from auditlake.functions.rules import PROMPT_RULES, PromptRule
+from auditlake.functions.rules import PROMPT_RULES
 from auditlake.operators import audit_log
+from auditlake.operators.prompt_rules import Rule
 from auditlake.operators.registry import Registry
 from auditlake.operators.verdict import audit_prompts
 
 BATCH = "batch_id"
 
 
-def audit_stream(
-    prompts: DataFrame, registry: Registry, rule_rows: Sequence[PromptRule] = PROMPT_RULES
-) -> DataFrame:
-    """A stream of audits. Stateless: the registry is a static broadcast side, so it must be small enough to fold."""
-    if not registry.can_fold():
-        raise ValueError("this registry is too large to be sent to a stream's tasks; use audit_each_batch")
-    return audit_prompts(prompts, registry, rule_rows, fold=True)
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What other batches than this one have stored, if any."""
+    schema = T.StructType([*audit_log.LOG_SCHEMA.fields, T.StructField(BATCH, T.LongType())])
+    try:
+        return spark.read.schema(schema).parquet(path).filter(F.col(BATCH) != batch_id)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def one_per_id(audits: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Repeats of an audit id that arrive within the delay are dropped; state older than that is forgotten."""
-    return audits.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["audit_id"])
+def _store_new(audits: DataFrame, path: str, batch_id: int) -> None:
+    """Store the audits whose id no other batch holds, each once. A batch that is run again replaces its first try."""
+    known = _earlier(audits.sparkSession, path, batch_id)
+    fresh = audit_log.first_per_id(audits) if known is None else audit_log.new_only(audits, known)
+    audit_log.append(fresh, f"{path}/{BATCH}={batch_id}", mode="overwrite")
 
 
 def append_to_log(audits: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writer into a log folder. A batch that is run again replaces what its first try wrote."""
+    """Writer into a log folder: one row per audit id, however late and in whatever batch its audits arrive.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        audit_log.append(batch, f"{path}/{BATCH}={batch_id}", mode="overwrite")
-
-    return audits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    Each batch is compared with the stored log, so no state is kept and nothing is ever too late.
+    """
+    return audits.writeStream.foreachBatch(lambda batch, n: _store_new(batch, path, n)).option("checkpointLocation", checkpoint)
 
 
 def audit_each_batch(
-    prompts: DataFrame, registry: Registry, path: str, checkpoint: str, rule_rows: Sequence[PromptRule] = PROMPT_RULES
+    prompts: DataFrame, registry: Registry, path: str, checkpoint: str, rule_rows: Sequence[Rule] = PROMPT_RULES
 ) -> DataStreamWriter:
-    """As ``append_to_log(audit_stream(...))`` for registries of any size: the joins run per micro-batch."""
+    """A stream of prompts to a log of audits, for registries of any size: measured once, joined per micro-batch."""
+    fold = registry.can_fold()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        audits = audit_prompts(batch, registry, rule_rows)
-        audit_log.append(audits, f"{path}/{BATCH}={batch_id}", mode="overwrite")
+        _store_new(audit_prompts(batch, registry, rule_rows, fold), path, batch_id)
 
     return prompts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def read_log(spark, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str) -> DataFrame:
     """What all batches wrote."""
     return audit_log.read(spark, path).select(audit_log.LOG_SCHEMA.names)
-

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_prompts import GOLDEN
 
-from auditlake.operators import audit_log, code_scan
+from auditlake.operators import audit_log
+from auditlake.operators.scan import scan
 from auditlake.operators.verdict import audit_prompts
 from auditlake.session import shared_dir
 from auditlake.streaming import code_stream, prompt_stream
@@ -71,28 +72,60 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, prompts_of, registry):
     expected = text_rows(audit_prompts(prompts, registry))
     source, log, checkpoint = stream_of(spark, prompts), shared_dir(spark), shared_dir(spark)
     for _ in range(2):  # the second run finds nothing new
-        run(prompt_stream.append_to_log(prompt_stream.audit_stream(source, registry), log, checkpoint))
-    assert text_rows(prompt_stream.read_log(spark, log).select(audit_log.schemas.AUDIT.names)) == expected
-    log, checkpoint = shared_dir(spark), shared_dir(spark)
-    run(prompt_stream.audit_each_batch(source, registry, log, checkpoint))
+        run(prompt_stream.audit_each_batch(source, registry, log, checkpoint))
     assert text_rows(prompt_stream.read_log(spark, log).select(audit_log.schemas.AUDIT.names)) == expected
 
 
-def test_large_registries_are_refused_by_the_stateless_stream(spark, prompts_of, registry, monkeypatch):
+def test_streams_take_large_registries(spark, prompts_of, registry, monkeypatch):
+    prompts = prompts_of([g[0] for g in GOLDEN])
+    expected = text_rows(audit_prompts(prompts, registry))
     monkeypatch.setattr(type(registry), "can_fold", lambda self: False)
-    with pytest.raises(ValueError):
-        prompt_stream.audit_stream(prompts_of(["x"]), registry)
+    log, checkpoint = shared_dir(spark), shared_dir(spark)
+    run(prompt_stream.audit_each_batch(stream_of(spark, prompts), registry, log, checkpoint))
+    assert text_rows(prompt_stream.read_log(spark, log).select(audit_log.schemas.AUDIT.names)) == expected
 
 
 def test_stream_logs_an_id_once(spark, audits):
     source, log, checkpoint = stream_of(spark, audits.unionByName(audits)), shared_dir(spark), shared_dir(spark)
-    run(prompt_stream.append_to_log(prompt_stream.one_per_id(source, "30 days"), log, checkpoint))
+    run(prompt_stream.append_to_log(source, log, checkpoint))
     assert text_rows(prompt_stream.read_log(spark, log).select(audits.columns)) == text_rows(audits)
 
 
+def test_late_audits_are_not_lost_and_repeated_batches_replace_themselves(spark, audits):
+    """Files newest first, a day apart, and the first once more: every id is logged once."""
+    path = shared_dir(spark)
+    for days in (3, 2, 1, 0, 3):
+        shifted = audits.withColumn("created_at", F.col("created_at") + F.expr(f"INTERVAL {days} DAY")).withColumn("audit_id", F.concat("audit_id", F.lit(days)))
+        shifted.coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(audits.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log, checkpoint = shared_dir(spark), shared_dir(spark)
+    run(prompt_stream.append_to_log(source, log, checkpoint))
+    ids = [r["audit_id"] for r in prompt_stream.read_log(spark, log).select("audit_id").collect()]
+    assert len(ids) == len(set(ids)) == 4 * len(GOLDEN)
+    prompt_stream._store_new(spark.read.parquet(path), log, 0)  # the first batch again, now with all there is
+    again = [r["audit_id"] for r in prompt_stream.read_log(spark, log).select("audit_id").collect()]
+    assert sorted(again) == sorted(ids)
+
+
+def test_history_reads_the_newest_days_only(spark, audits):
+    path = shared_dir(spark)
+    audit_log.append(audits, path)
+    log = audit_log.read(spark, path)
+    plan = audit_log.history(log, 3)._jdf.queryExecution().executedPlan().toString().replace("\n", "")
+    assert "PartitionFilters: [isnotnull(audit_date" in plan
+    assert text_rows(audit_log.history(log, 3)) == text_rows(audit_log.history(audit_log.log_rows(audits).drop(audit_log.DAY), 3))
+    assert audit_log.history(log, 10_000).count() == len(GOLDEN)
+
+
+def test_a_missing_stamp_is_now(spark, audits):
+    path = shared_dir(spark)
+    audit_log.append(audits.withColumn("created_at", F.lit(None).cast("timestamp")), path)
+    assert audit_log.read(spark, path).filter("created_at > current_timestamp() - INTERVAL 1 HOUR and audit_date is not null").count() == len(GOLDEN)
+
+
 def test_code_stream_equals_batch(spark, files_of):
-    files = files_of(**{f"{i}.py": "DEBUG = True\nmd5(x)\n" * i for i in range(1, 6)})
+    files = files_of(**{f"{i}.py": "DEBUG = True\nmd5(x)\ntry:\n    x\nexcept:\n    pass\n" * i for i in range(1, 6)})
     path, checkpoint = shared_dir(spark), shared_dir(spark)
     findings = code_stream.scan_stream(stream_of(spark, files))
     run(code_stream.write_findings(findings, path, checkpoint))
-    assert text_rows(spark.read.schema(findings.schema).parquet(path)) == text_rows(code_scan.line_findings(files))
+    assert text_rows(spark.read.schema(findings.schema).parquet(path)) == text_rows(scan(files))
