@@ -6,8 +6,8 @@ a word that occurs in every document costs no shuffle. Which side is small decid
 
 * few queries, many documents: tasks keep ``k`` per query, one small shuffle merges them;
 * few documents, many queries: a query's answer is complete in its own row, nothing is shuffled;
-* both large: the queries are written as blocks to the shared folder, and every task takes its
-  documents through one block after the other. Nothing large passes the driver in any shape.
+* both large, words: an equi-join of distinct words, frequent ones spread by salt, then counts and ranks;
+* both large, vectors: the queries are a stated set, taken in blocks of bounded size against all rows.
 """
 
 from __future__ import annotations
@@ -18,21 +18,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditlake.functions import text
-from auditlake.functions.sizing import measure
-from auditlake.session import shared_dir
-from auditlake.sources.files import open_folder
+from auditlake.functions.sizing import Size, measure, salted_join, sized_join
 
 MAX_SIDE_BYTES = 16 << 20
 MAX_SIDE_ROWS = 4_096
 _CELLS = 4_000_000  # scores held at once by a task
-_CHUNK_ROWS = 65_536  # documents a task takes through all blocks at once
 _ABSENT = -(1 << 40)
 
 HIT_SCHEMA = "query_id long, ord long, score long"
@@ -95,7 +91,10 @@ class TermIndex:
         self.starts = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
 
     def scores(self, part: pa.RecordBatch) -> np.ndarray:
-        """Rows of the batch x rows of the index: number of shared words, ``_ABSENT`` for none."""
+        """Rows of the batch x rows of the index: number of shared words, ``_ABSENT`` for none.
+
+        Words are taken in slices whose postings add up to no more than ``_CELLS``, so frequent words cost no memory.
+        """
         n, m = part.num_rows, len(self.ids)
         words = pa.concat_arrays([part.column("words")])
         at = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy())
@@ -103,10 +102,15 @@ class TermIndex:
         at = at[pc.is_valid(terms).to_numpy(zero_copy_only=False)]
         terms = terms.drop_null().to_numpy()
         widths = self.starts[terms + 1] - self.starts[terms]
-        step = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
-        cells = np.repeat(at, widths) * m + self.rows[np.repeat(self.starts[terms], widths) + step]
-        counts = np.bincount(cells.astype(np.int64), minlength=n * m).reshape(n, m)
-        return np.where(counts > 0, counts, _ABSENT)
+        counts = np.zeros(n * m, np.int64)
+        slices = np.cumsum(widths) // _CELLS
+        edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(terms)]
+        for a, b in zip(edges, edges[1:]):
+            width = widths[a:b]
+            step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            cells = np.repeat(at[a:b], width) * m + self.rows[np.repeat(self.starts[terms[a:b]], width) + step]
+            counts += np.bincount(cells.astype(np.int64), minlength=n * m)
+        return np.where(counts > 0, counts, _ABSENT).reshape(n, m)
 
 
 class VectorIndex:
@@ -126,6 +130,8 @@ class VectorIndex:
 
 
 def _unit(vectors: pa.ListArray) -> np.ndarray:
+    if pc.count_distinct(pc.list_value_length(vectors)).as_py() > 1:
+        raise ValueError("vectors must all have the same length")
     rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
@@ -140,9 +146,8 @@ def _parts(batch: pa.RecordBatch, index: Index) -> Iterator[pa.RecordBatch]:
     return (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
 
 
-def _small(df: DataFrame) -> bool:
-    size = measure(df, MAX_SIDE_ROWS)
-    return size.rows <= MAX_SIDE_ROWS and size.bytes <= MAX_SIDE_BYTES
+def _small(size: Size, max_rows: int) -> bool:
+    return size.rows <= max_rows and size.bytes <= MAX_SIDE_BYTES
 
 
 def _send(df: DataFrame, make: MakeIndex):
@@ -184,95 +189,72 @@ def _scan_queries(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int)
     return queries.mapInArrow(scan, HIT_SCHEMA + ", rank int")
 
 
-def _write_blocks(queries: DataFrame) -> list[str]:
-    """Queries as one folder per block in the shared folder; blocks are split until each fits a task."""
-    payload = F.octet_length(F.to_json(F.struct(*queries.columns)))
-    blocks, most = 16, None
-    while most is None or ((most["rows"] > MAX_SIDE_ROWS or most["bytes"] > MAX_SIDE_BYTES) and most["rows"] > 1):
-        blocks *= 2
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-        sizes = queries.groupBy(block.alias("block")).agg(F.count("*").alias("rows"), F.sum(payload).alias("bytes"))
-        most = sizes.agg(F.max("rows").alias("rows"), F.max("bytes").alias("bytes")).first()
-    target = shared_dir(queries.sparkSession)
-    queries.withColumn("block", block).repartition(blocks, "block").write.partitionBy("block").parquet(target)
-    written = queries.sparkSession.read.parquet(target).select("block").distinct().collect()
-    return [f"{target}/block={row['block']}" for row in written]
-
-
-def _scan_blocks(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int) -> DataFrame:
-    """Both sides large: each task takes chunks of its rows through the query blocks."""
-    folders = _write_blocks(queries)
-
-    def load(folder: str) -> Index:
-        filesystem, path = open_folder(folder)
-        return make(pq.read_table(path, filesystem=filesystem, partitioning=None))
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= _CHUNK_ROWS:
-                yield held
-                held = []
-        if held:
-            yield held
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in chunks(batches):
-            for folder in folders:
-                index = load(folder)
-                best = BestPerQuery(len(index.ids), k)
-                for batch in held:
-                    for part in _parts(batch, index):
-                        best.add(index.scores(part).T, part.column("id").to_numpy())
-                yield best.batch(index.ids)
-
-    return _merge(rows.mapInArrow(scan, HIT_SCHEMA), k)
-
-
 def _merge(hits: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per query of what the tasks kept, with their rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _topk(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int) -> DataFrame:
+def _few_on_one_side(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int, max_rows: int) -> tuple[DataFrame | None, Size]:
+    """The answer if one side is small, and the size of the queries."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    if _small(queries):
-        return _scan_rows(rows, queries, make, k)
-    if _small(rows):
-        return _scan_queries(rows, queries, make, k)
-    return _scan_blocks(rows, queries, make, k)
+    asked = measure(queries)
+    if _small(asked, max_rows):
+        return _scan_rows(rows, queries, make, k), asked
+    if _small(measure(rows), max_rows):
+        return _scan_queries(rows, queries, make, k), asked
+    return None, asked
+
+
+def _joined(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Both sides large: each pair that shares a word is counted in an equi-join."""
+    held = rows.select(F.col("id").alias("ord"), F.explode("words").alias("word"))
+    asked = queries.select(F.col("id").alias("query_id"), F.explode("words").alias("word"))
+    counts = salted_join(held, asked, ["word"], F.col("ord")).groupBy("query_id", "ord").agg(F.count("*").alias("score"))
+    return _merge(counts, k)
 
 
-def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5, max_rows: int = MAX_SIDE_ROWS) -> DataFrame:
     """docs (ord, content) x queries (query_id, text) to (query_id, ord, overlap, rank), rank 1..k.
 
-    Overlap counts distinct shared words; documents without any are left out; ties go to the lower ord.
+    Overlap counts distinct shared words; documents without any, and null texts, are left out; ties go to the lower
+    ord. A side of more than ``max_rows`` rows is not sent to the tasks.
     """
-    d = docs.select(F.col("ord").cast("long").alias("id"), text.words(F.col("content")).alias("words"))
-    q = queries.select(F.col("query_id").cast("long").alias("id"), text.words(F.col("text")).alias("words"))
-    ranked = _topk(d, q, TermIndex, k)
+    d = docs.select(F.col("ord").cast("long").alias("id"), text.words(F.col("content")).alias("words")).filter("words is not null")
+    q = queries.select(F.col("query_id").cast("long").alias("id"), text.words(F.col("text")).alias("words")).filter("words is not null")
+    ranked, _ = _few_on_one_side(d, q, TermIndex, k, max_rows)
+    ranked = _joined(d, q, k) if ranked is None else ranked
     return ranked.select("query_id", "ord", F.col("score").alias("overlap"), F.col("rank").cast("int").alias("rank"))
 
 
-def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6, max_rows: int = MAX_SIDE_ROWS) -> DataFrame:
     """Exact: vectors (ord, vector) x queries (query_id, vector) to (query_id, ord, cosine, rank).
 
-    Cosines are rounded to ``digits``; ties go to the lower ord.
+    Cosines are rounded to ``digits``; ties go to the lower ord. Null vectors, and those with a null in them, are left out;
+    vectors of different lengths are an error.
     """
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
     as_doubles = F.col("vector").cast("array<double>").alias("vector")
-    v = vectors.select(F.col("ord").cast("long").alias("id"), as_doubles)
-    q = queries.select(F.col("query_id").cast("long").alias("id"), as_doubles)
-    ranked = _topk(v, q, lambda table: VectorIndex(table, digits), k)
+    v = vectors.filter(whole).select(F.col("ord").cast("long").alias("id"), as_doubles)
+    q = queries.filter(whole).select(F.col("query_id").cast("long").alias("id"), as_doubles)
+
+    def make(table: pa.Table) -> VectorIndex:
+        return VectorIndex(table, digits)
+
+    ranked, size = _few_on_one_side(v, q, make, k, max_rows)
+    if ranked is None:
+        blocks = 2 * max(-(-size.rows // MAX_SIDE_ROWS), -(-size.bytes // MAX_SIDE_BYTES))
+        for b in range(blocks):
+            part = _scan_rows(v, q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), make, k)
+            ranked = part if ranked is None else ranked.unionByName(part)
     cosine = (F.col("score") / F.lit(float(10**digits))).alias("cosine")
     return ranked.select("query_id", "ord", cosine, F.col("rank").cast("int").alias("rank"))
 
 
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """The hit documents themselves, metadata unchanged."""
-    return hits.join(docs, "ord")
+    """The hit documents themselves, metadata unchanged. Few hits are sent to the documents, not the other way."""
+    return sized_join(docs, hits, ["ord"], F.col("ord"))
 
 
 def doc_count(docs: DataFrame) -> DataFrame:

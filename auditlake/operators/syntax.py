@@ -129,7 +129,8 @@ def ast_findings(files: DataFrame) -> DataFrame:
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
-    """Files without a syntax tree, and why; undecodable ones included."""
+    """Files without a syntax tree, and why; those that could not be read or decoded included."""
     broken = syntax_facts(files, findings=False, inventory=False).filter("kind = 'error'")
-    undecoded = files.filter(F.col("content").isNull()).select("path", F.lit("UnicodeDecodeError").alias("error"))
+    reason = F.coalesce("error", F.lit("UnicodeDecodeError")) if "error" in files.columns else F.lit("UnicodeDecodeError")
+    undecoded = files.filter(F.col("content").isNull()).select("path", reason.alias("error"))
     return broken.select("path", F.col("detail").alias("error")).unionByName(undecoded)

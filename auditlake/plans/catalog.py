@@ -11,7 +11,7 @@ from auditlake.functions import rules, text
 from auditlake.operators import (
     audit_log, code_scan, ignore_audit, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, verdict,
 )
-from auditlake.operators.scan import scan
+from auditlake.operators.scan import scan, scan_snippets
 from auditlake.plans import derive
 from auditlake.session import shared_dir
 from auditlake.sources import files as tree
@@ -74,7 +74,12 @@ def source_tree_scan(spark, d):
 
 def snippet_scan(spark, d):
     """The documents as they are, nothing added."""
-    return _flat_findings(code_scan.scan_snippets(derive.document_snippets(spark, d)))
+    return _flat_findings(scan_snippets(derive.document_snippets(spark, d)))
+
+
+def snippet_scan_files(spark, d):
+    """Source files as inline code: line rules and syntax-tree rules."""
+    return _flat_findings(scan_snippets(derive.files(spark, d)))
 
 
 def requirements_parse(spark, d):
@@ -121,6 +126,11 @@ def endpoint_latest(spark, d):
     return reg.latest_endpoints(derive.endpoints(spark, d))
 
 
+def endpoint_latest_code(spark, d):
+    """The same over endpoints read from code, whose order is (module, place in it)."""
+    return reg.latest_endpoints(_code_registry(spark, d).endpoints)
+
+
 def _placed(found: DataFrame) -> DataFrame:
     return found.select("prompt_id", "seq", "sub", "conflict.*")
 
@@ -161,6 +171,22 @@ def audit_verdict(spark, d):
     return _flat(_audits(spark, d))
 
 
+def audit_verdict_joined(spark, d):
+    """The whole audit in the shape for registries of any size."""
+    return _flat(verdict.audit_prompts(derive.intake(spark, d), derive.registry(spark, d), fold=False))
+
+
+def custom_rule(spark, d):
+    """A rule given as a function of the prompt's column, with a category of its own."""
+
+    def names_a_password(prompt: Column) -> Column:
+        found = prompt_rules.conflict(rules.MEDIUM, "policy", F.lit("Prompt names a password."), F.lit("prompt"), F.lit("Leave it out."))
+        return F.when(F.lower(prompt).contains("password"), found)
+
+    found = verdict.with_security(_prompts(spark, d), [names_a_password])
+    return found.select("prompt_id", F.explode_outer("conflicts").alias("c")).filter("c is not null").select("prompt_id", "c.*")
+
+
 def test_suggestions(spark, d):
     each = _each(_audits(spark, d), "recommended_tests")
     return each.select("prompt_id", F.col("pos").cast("long").alias("pos"), F.col("c").alias("test"))
@@ -278,6 +304,11 @@ def keyword_topk(spark, d):
     return _flat_hits(retrieval.keyword_topk(derive.docs(spark, d), derive.queries(spark, d), 5))
 
 
+def keyword_topk_large(spark, d):
+    """The same as if neither side were small."""
+    return _flat_hits(retrieval.keyword_topk(derive.docs(spark, d), derive.queries(spark, d), 5, max_rows=0))
+
+
 def keyword_documents(spark, d):
     docs = derive.docs(spark, d)
     hits = retrieval.with_documents(retrieval.keyword_topk(docs, derive.queries(spark, d), 1), docs)
@@ -303,14 +334,18 @@ def prompt_context_topk(spark, d):
 
 
 def audit_lookup(spark, d):
-    """Every purchase asks for the audit of its own prompt."""
-    log = audit_log.log_rows(_audits(spark, d))
+    """Every purchase asks the stored log for the audit of its own prompt."""
+    path = shared_dir(spark)
+    audit_log.append(_audits(spark, d), path)
+    log = audit_log.read(spark, path)
     wanted = prompt_source.accept(derive.purchases(spark, d)).select(verdict.audit_id_of().alias("audit_id"))
     return _flat(audit_log.from_json_columns(audit_log.to_json_columns(audit_log.get_audits(log, wanted))))
 
 
 def audit_history(spark, d):
-    newest = audit_log.history(audit_log.log_rows(_audits(spark, d)), audit_log.STORE_LIMIT)
+    path = shared_dir(spark)
+    audit_log.append(_audits(spark, d), path)
+    newest = audit_log.history(audit_log.read(spark, path), audit_log.STORE_LIMIT)
     return newest.withColumn("conflicts", F.col("conflicts").cast("long"))
 
 
@@ -334,7 +369,21 @@ def stream_dedupe(spark, d):
     once = derive.event_stream(spark, d)
     prompts = prompt_source.accept(once.unionByName(derive.event_stream(spark, d)))
     audits = verdict.verdict(verdict.with_security(verdict.describe(prompts)))
-    _run(prompt_stream.append_to_log(prompt_stream.one_per_id(audits), path, checkpoint))
+    _run(prompt_stream.append_to_log(audits, path, checkpoint))
+    return _flat(prompt_stream.read_log(spark, path))
+
+
+def stream_late_audits(spark, d):
+    """Event prompts arrive newest first, a quarter at a time, the newest quarter again at the end; each is logged once."""
+    source, path, checkpoint = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    prompts = derive.event_prompts(spark, d)
+    cuts = prompts.selectExpr("percentile_approx(unix_micros(created_at), array(0.25, 0.5, 0.75)) AS cuts").first()["cuts"] or []
+    quarter = sum((F.coalesce(F.unix_micros("created_at") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for i in (3, 2, 1, 0, 3):
+        prompts.filter(quarter == i).repartition(2).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(prompts.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    audits = verdict.verdict(verdict.with_security(verdict.describe(prompt_source.accept(arriving))))
+    _run(prompt_stream.append_to_log(audits, path, checkpoint))
     return _flat(prompt_stream.read_log(spark, path))
 
 
@@ -351,6 +400,7 @@ QUERIES: dict[str, Query] = {
     "prompt_bulk_load": prompt_bulk_load,
     "source_tree_scan": source_tree_scan,
     "snippet_scan": snippet_scan,
+    "snippet_scan_files": snippet_scan_files,
     "requirements_parse": requirements_parse,
     "audit_log_roundtrip": audit_log_roundtrip,
     "audit_log_dedupe": audit_log_dedupe,
@@ -362,11 +412,14 @@ QUERIES: dict[str, Query] = {
     "rule_rate_limit": _rule(rules.PROMPT_RULES[4]),
     "api_drift": api_drift,
     "endpoint_latest": endpoint_latest,
+    "endpoint_latest_code": endpoint_latest_code,
     "schema_collision": schema_collision,
     "dependency_conflict": dependency_conflict,
     "audit_conflicts": audit_conflicts,
     "severity_counts": severity_counts,
     "audit_verdict": audit_verdict,
+    "audit_verdict_joined": audit_verdict_joined,
+    "custom_rule": custom_rule,
     "test_suggestions": test_suggestions,
     "prompt_summary": prompt_summary,
     "file_lines": file_lines,
@@ -386,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "context_snapshot": context_snapshot,
     "context_checksum": context_checksum,
     "keyword_topk": keyword_topk,
+    "keyword_topk_large": keyword_topk_large,
     "keyword_documents": keyword_documents,
     "doc_count": doc_count,
     "knn_cosine": knn_cosine,
@@ -394,5 +448,6 @@ QUERIES: dict[str, Query] = {
     "audit_history": audit_history,
     "stream_audit": stream_audit,
     "stream_dedupe": stream_dedupe,
+    "stream_late_audits": stream_late_audits,
     "stream_code_scan": stream_code_scan,
 }

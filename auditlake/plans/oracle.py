@@ -345,6 +345,7 @@ ORACLE: dict[str, str] = {
     ),
     "source_tree_scan": with_(FILES | SCANNED | _lines("scanned") | TREE_SCAN, FINDINGS),
     "snippet_scan": with_(SNIPPETS, FINDINGS),
+    "snippet_scan_files": with_(SCAN, FINDINGS),
     "requirements_parse": with_(REQUIREMENTS, "SELECT * FROM parsed"),
     "audit_log_roundtrip": with_(AUDIT, FLAT),
     "audit_log_dedupe": with_(AUDIT, FLAT + " WHERE prompt_id < 1000000000000"),
@@ -357,6 +358,11 @@ ORACLE: dict[str, str] = {
     "rule_rate_limit": _rule(5),
     "api_drift": with_(AUDIT, _placed("drift")),
     "endpoint_latest": with_(REGISTRY, "SELECT * FROM latest"),
+    "endpoint_latest_code": with_(
+        PARSED, "SELECT split_part(module, '/', 1) AS project_id, route AS path, arg_max(upper(verb), place) AS method FROM (SELECT path AS module, "
+        f"unnest(regexp_extract_all(content, {ROUTE}, 1)) AS verb, unnest(regexp_extract_all(content, {ROUTE}, 2)) AS route, "
+        f"generate_subscripts(regexp_extract_all(content, {ROUTE}, 1), 1) AS place FROM whole) GROUP BY ALL"
+    ),
     "schema_collision": with_(AUDIT, _placed("collisions")),
     "dependency_conflict": with_(AUDIT, _placed("pin_conflicts")),
     "audit_conflicts": with_(AUDIT, f"SELECT prompt_id, pos, {DETAILS} FROM placed"),
@@ -365,6 +371,11 @@ ORACLE: dict[str, str] = {
         "FROM prompts LEFT JOIN counts USING (prompt_id)"
     ),
     "audit_verdict": with_(AUDIT, FLAT),
+    "audit_verdict_joined": with_(AUDIT, FLAT),
+    "custom_rule": with_(
+        INTAKE | ACCEPTED, "SELECT prompt_id, 'medium' AS severity, 'policy' AS category, 'Prompt names a password.' AS description, "
+        "'prompt' AS affected_component, 'Leave it out.' AS remediation FROM prompts WHERE contains(lower(prompt), 'password')"
+    ),
     "test_suggestions": with_(
         AUDIT, "SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY pos) - 1 AS pos, test FROM tests"
     ),
@@ -407,6 +418,7 @@ ORACLE: dict[str, str] = {
         "|| ':' || project_id), 1, 12) AS checksum FROM snapshot GROUP BY project_id"
     ),
     "keyword_topk": _keyword(DOCS, BENCHMARK, 5),
+    "keyword_topk_large": _keyword(DOCS, BENCHMARK, 5),
     "keyword_documents": f"SELECT k.query_id, d.source || '/' || d.lang AS id, d.source, md5(d.text) AS content_md5 "
     f"FROM ({_keyword(DOCS, BENCHMARK, 1)}) k JOIN documents d ON d.doc_id = k.ord",
     "doc_count": "SELECT count(*) AS n_docs FROM documents",
@@ -419,5 +431,6 @@ ORACLE: dict[str, str] = {
     ),
     "stream_audit": with_(EVENT_AUDIT, FLAT),
     "stream_dedupe": with_(SECURITY_AUDIT, FLAT),
-    "stream_code_scan": with_(CODE, FINDINGS),
+    "stream_late_audits": with_(SECURITY_AUDIT, FLAT),
+    "stream_code_scan": with_(SCAN, FINDINGS),
 }

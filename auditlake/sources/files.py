@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.rules import SKIP_DIRS
 
 _LIST_ROUNDS = 3
+_LIST_ROWS = 4096
 _BATCH_BYTES = 16 << 20
 
 
@@ -52,6 +54,12 @@ def open_folder(root: str):
     return filesystem, base.rstrip("/")
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as a URI: without a scheme it is on the session's default file system, for tasks as for the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _tasks(spark: SparkSession) -> int:
     """Tasks for work on files: a fixed number, because paths are too few bytes for Spark to judge it by."""
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -68,6 +76,8 @@ def _lister(root: str, skip: frozenset[str], recursive: bool):
                 continue
             path = f"{folder}/{info.base_name}".lstrip("/")
             is_dir = info.type == fs.FileType.Directory
+            if is_dir and isinstance(filesystem, fs.LocalFileSystem) and os.path.islink(info.path):
+                continue  # a linked folder is listed where it is, or lies outside the tree
             if is_dir and recursive:
                 yield from children(filesystem, base, path)
             else:
@@ -77,8 +87,8 @@ def _lister(root: str, skip: frozenset[str], recursive: bool):
         filesystem, base = open_folder(root)
         for batch in batches:
             for path, is_dir in zip(batch.column("path").to_pylist(), batch.column("is_dir").to_pylist(), strict=True):
-                rows = list(children(filesystem, base, path)) if is_dir else [{"path": path, "is_dir": False}]
-                if rows:
+                found = children(filesystem, base, path) if is_dir else iter([{"path": path, "is_dir": False}])
+                while rows := list(islice(found, _LIST_ROWS)):
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return expand
@@ -86,6 +96,7 @@ def _lister(root: str, skip: frozenset[str], recursive: bool):
 
 def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
     """(path): every file below ``root``, relative to it. Each round lists one level, spread by path."""
+    root = qualified(spark, root)
     level = spark.createDataFrame([("", True)], "path string, is_dir boolean")
     for i in range(_LIST_ROUNDS):
         last = i == _LIST_ROUNDS - 1
@@ -95,17 +106,21 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = SKIP_DI
 
 
 def _reader(root: str):
-    schema = pa.schema([("path", pa.string()), ("bytes", pa.binary())])
+    schema = pa.schema([("path", pa.string()), ("bytes", pa.binary()), ("error", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = open_folder(root)
         rows, held = [], 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with filesystem.open_input_file(f"{base}/{path}") as handle:
-                    data = handle.read()
-                rows.append({"path": path, "bytes": data})
-                held += len(data)
+                data, error = None, None
+                try:
+                    with filesystem.open_input_file(f"{base}/{path}") as handle:
+                        data = handle.read()
+                except OSError as exc:  # gone since it was listed, or not to be read: a row, not a failed job
+                    error = type(exc).__name__
+                rows.append({"path": path, "bytes": data, "error": error})
+                held += len(data or b"")
                 if held >= _BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, held = [], 0
@@ -116,13 +131,16 @@ def _reader(root: str):
 
 
 def read_files(paths: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
-    """(path, content) of listed files; bytes that are not UTF-8 give a null content, not a failed job.
+    """(path, content, error) of listed files. What can't be read or is not UTF-8 has a null content and an error.
 
     A task hands on its files in small batches, so few tasks cost time, not memory.
     """
+    root = qualified(paths.sparkSession, root)
     spread = paths.select("path").repartition(tasks or _tasks(paths.sparkSession), "path")
-    raw = spread.mapInArrow(_reader(root), "path string, bytes binary")
-    return raw.select("path", F.try_validate_utf8(F.col("bytes").cast("string")).alias("content"))
+    raw = spread.mapInArrow(_reader(root), "path string, bytes binary, error string")
+    content = F.try_validate_utf8(F.col("bytes").cast("string"))
+    undecoded = F.when(content.isNull(), F.lit("UnicodeDecodeError"))
+    return raw.select("path", content.alias("content"), F.coalesce("error", undecoded).alias("error"))
 
 
 def read_tree(
@@ -135,12 +153,13 @@ def read_tree(
 def read_one(spark: SparkSession, path: str, extensions: Sequence[str] = (".py",)) -> DataFrame:
     """One file under its full path; a missing one, or one of another kind, gives no row."""
     folder, _, name = path.rpartition("/")
+    root = qualified(spark, folder or "/")
     schema = pa.schema([("path", pa.string()), ("is_dir", pa.bool_())])
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        filesystem, base = open_folder(folder or "/")
+        filesystem, base = open_folder(root)
         for batch in batches:
             rows = [
                 {"path": p, "is_dir": False} for p in batch.column("path").to_pylist()
@@ -150,7 +169,7 @@ def read_one(spark: SparkSession, path: str, extensions: Sequence[str] = (".py",
 
     named = spark.createDataFrame([(name, False)], "path string, is_dir boolean")
     found = named.filter(has_extension(F.col("path"), extensions)).mapInArrow(present, "path string, is_dir boolean")
-    return read_files(found, folder or "/").select(F.lit(path).alias("path"), "content")
+    return read_files(found, folder or "/").select(F.lit(path).alias("path"), "content", "error")
 
 
 def read_config_tree(spark: SparkSession, root: str, suffixes: Sequence[str], skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
@@ -161,6 +180,7 @@ def read_config_tree(spark: SparkSession, root: str, suffixes: Sequence[str], sk
 
 def write_tree(files: DataFrame, root: str) -> None:
     """Write (path, content) as files below ``root``; a repeated task writes the same bytes again."""
+    root = qualified(files.sparkSession, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = open_folder(root)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.rules import LINE_RULES, LineRule
 from auditlake.operators import code_scan, syntax
-from auditlake.operators.scan import scan_source
+from auditlake.operators.scan import scan_snippets, scan_source
 from auditlake.sources import files as tree
 
 # rule -> (lines that hit, lines that do not)
@@ -66,7 +66,7 @@ def test_golden_snippets(spark):
 
 def test_line_breaks_snippets_and_names(spark):
     content = "x\r\nDEBUG = True\x0cverify=False\r  " + "md5(" + "y" * 200 + "\n\n"
-    found = code_scan.scan_snippets(spark.createDataFrame([(content,)], "content string")).orderBy("line").collect()
+    found = scan_snippets(spark.createDataFrame([(content,)], "content string")).orderBy("line").collect()
     assert [(r["file"], r["line"], r["col"], r["rule_id"]) for r in found] == [
         ("<snippet>", 2, 1, "CFG-001"), ("<snippet>", 3, 1, "AUTH-001"), ("<snippet>", 4, 1, "CRYPTO-001")
     ]
@@ -83,6 +83,15 @@ def test_own_rules_and_limits(spark, files_of):
     assert code_scan.line_findings(files_of(a="foo\nfood"), own).count() == 1
     with pytest.raises(ValueError):
         code_scan.line_findings(files_of(a="x"), [])
+    many = [LineRule(f"R{i}", "low", "style", rf"\bw{i}\b", (f"w{i}",), "d", "r") for i in range(150)]
+    found = code_scan.line_findings(files_of(a="w0 w62\nw63 w126 w149\nnone\nw64"), many).collect()
+    assert sorted((r["line"], r["rule_id"]) for r in found) == [(1, "R0"), (1, "R62"), (2, "R126"), (2, "R149"), (2, "R63"), (4, "R64")]
+
+
+def test_snippets_get_both_kinds_of_rule(spark):
+    code = "try:\n    x = 1\nexcept:\n    pass\nassert user.is_admin\n"
+    found = scan_snippets(spark.createDataFrame([(code,)], "content string")).collect()
+    assert sorted(r["rule_id"] for r in found) == ["AUTH-005", "CFG-004"]
 
 
 def test_totals(spark, files_of):
@@ -113,6 +122,23 @@ def test_tree(spark, tmp_path):
     assert {r["path"] for r in tree.read_tree(spark, f"file:{tmp_path}", (".txt",)).collect()} == {"notes.txt"}
 
 
+def test_linked_folders_and_missing_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("md5(x)\n")
+    (tmp_path / "a" / "up").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "y.py").symlink_to(tmp_path / "a" / "x.py")
+    assert sorted(r["path"] for r in tree.list_tree(spark, str(tmp_path)).collect()) == ["a/x.py", "y.py"]
+    gone = spark.createDataFrame([("a/x.py",), ("a/gone.py",)], "path string")
+    files = tree.read_files(gone, str(tmp_path))
+    assert [(r["path"], r["error"]) for r in syntax.parse_errors(files).collect()] == [("a/gone.py", "FileNotFoundError")]
+    assert code_scan.line_findings(files).count() == 1
+
+
+def test_folders_without_a_scheme_are_on_the_default_file_system(spark):
+    assert tree.qualified(spark, "/data/code").startswith("file:/data/code")
+    assert tree.qualified(spark, "file:/data/code").startswith("file:/data/code")
+
+
 def test_scan_is_one_narrow_codegen_stage(spark, files_of):
     plan = code_scan.line_findings(files_of(a="x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange " not in plan and "*(1) Filter" in plan and "*(2)" not in plan

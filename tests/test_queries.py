@@ -24,7 +24,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", oracle_sql())
 def test_query_equals_its_sql(spark, con, name):
     df = queries()[name](spark, SF_DIR)
     result = con.execute(oracle_sql()[name])

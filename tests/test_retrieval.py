@@ -12,7 +12,7 @@ SHAPES = {"few queries": {}, "few documents": {"_small": [False, True]}, "both l
 def shape(request, monkeypatch):
     answers = SHAPES[request.param].get("_small")
     if answers:
-        monkeypatch.setattr(retrieval, "_small", lambda df, it=iter(answers * 50): next(it))
+        monkeypatch.setattr(retrieval, "_small", lambda *a, it=iter(answers * 50): next(it))
     monkeypatch.setattr(retrieval, "_CELLS", 50)  # several parts per batch
 
 
@@ -77,6 +77,32 @@ def test_upsert_keeps_the_newest(spark):
     assert {(r["id"], r["content"]) for r in retrieval.upsert_documents(docs).collect()} == {("a", "new"), ("b", "x")}
 
 
+def test_nulls_are_left_out_in_every_shape(spark, shape):
+    docs = spark.createDataFrame([(0, None), (1, "a b"), (2, "")], "ord long, content string")
+    queries = spark.createDataFrame([(0, "a"), (1, None)], "query_id long, text string")
+    assert [tuple(r) for r in retrieval.keyword_topk(docs, queries, 2).collect()] == [(0, 1, 1, 1)]
+    vectors = spark.createDataFrame([(0, None), (1, [1.0, 0.0]), (2, [1.0, None])], "ord long, vector array<double>")
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, None)], "query_id long, vector array<double>")
+    assert [tuple(r) for r in retrieval.knn_cosine(vectors, asked, 2).collect()] == [(0, 1, 1.0, 1)]
+
+
+def test_frequent_words_are_counted_in_bounded_slices():
+    index = retrieval.TermIndex(retrieval.pa.table({"id": list(range(64)), "words": [["every", "other", f"w{i}"] for i in range(64)]}))
+    part = retrieval.pa.RecordBatch.from_pydict({"words": [["every", "other", "w3"], ["none"], ["other"]]})
+    whole, cells = index.scores(part), retrieval._CELLS
+    try:
+        retrieval._CELLS = 40  # fewer than one word's postings
+        assert (index.scores(part) == whole).all()
+    finally:
+        retrieval._CELLS = cells
+    assert whole[0, 3] == 3 and whole[0, 4] == 2 and (whole[1] == retrieval._ABSENT).all() and (whole[2] == 1).all()
+
+
+def test_vectors_of_different_lengths_are_an_error():
+    with pytest.raises(ValueError, match="same length"):
+        retrieval._unit(retrieval.pa.array([[1.0], [1.0, 2.0]]))
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([], "ord long, content string")
     queries = spark.createDataFrame([(0, "a b")], "query_id long, text string")
