@@ -33,49 +33,69 @@ def _fact(kind: str, node: ast.AST | None = None, **values) -> dict:
     return base | values
 
 
-def _finding_facts(tree: ast.AST, source: str) -> Iterator[dict]:
-    lines = source.splitlines()
-
-    def snippet(node: ast.AST) -> str:
-        return lines[node.lineno - 1].strip() if node.lineno <= len(lines) else ""
-
-    for node in ast.walk(tree):
-        match node:
-            case ast.ExceptHandler(type=None, body=[ast.Pass()]):
-                yield _fact("finding", node, name=SWALLOWED_ERROR[0], snippet=snippet(node))
-            case ast.Assert() if _ACCESS.search(shown := snippet(node)):
-                yield _fact("finding", node, name=ASSERTED_ACCESS[0], snippet=shown)
-
-
-def _inventory_facts(tree: ast.AST) -> Iterator[dict]:
-    for node in ast.walk(tree):
-        match node:
-            case ast.FunctionDef() | ast.AsyncFunctionDef():
-                parameters = [a.arg for a in node.args.args if a.arg != "self"]
-                for decorator in node.decorator_list:
-                    match decorator:
-                        case ast.Call(func=ast.Attribute(attr=method), args=args) if method in ROUTE_METHODS:
-                            route = args[0].value if args and isinstance(args[0], ast.Constant) else ""
-                            yield _fact("endpoint", node, name=str(route), detail=method.upper(),
-                                        handler=node.name, parameters=parameters)
-            case ast.ClassDef():
-                bases = {getattr(b, "id", None) or getattr(b, "attr", None)
-                         for b in node.bases if isinstance(b, ast.Name | ast.Attribute)}
-                if bases & set(MODEL_BASES):
-                    yield _fact("model", node, name=node.name)
-
-
-def file_facts(source: str, findings: bool, inventory: bool) -> Iterator[dict]:
+class FileFacts:
+    """All facts of one file from one breadth-first walk, each node handed to what collects its type."""
+
+    def __init__(self, source: str, findings: bool, inventory: bool):
+        self.lines = source.splitlines() if findings else []
+        self.found: list[dict] = []
+        self.collectors = {}
+        if findings:
+            self.collectors |= {ast.ExceptHandler: self.swallowed, ast.Assert: self.asserted}
+        if inventory:
+            self.collectors |= {ast.FunctionDef: self.routes, ast.AsyncFunctionDef: self.routes, ast.ClassDef: self.model}
+
+    def walk(self, tree: ast.AST) -> list[dict]:
+        level = [tree]
+        while level:
+            for node in level:
+                if collect := self.collectors.get(type(node)):
+                    collect(node)
+            level = [child for node in level for child in ast.iter_child_nodes(node)]
+        return self.found
+
+    def add(self, kind: str, node: ast.AST, **values) -> None:
+        self.found.append(_fact(kind, node, **values))
+
+    def shown(self, node: ast.stmt | ast.ExceptHandler) -> str:
+        return "".join(self.lines[node.lineno - 1 : node.lineno]).strip()
+
+    def swallowed(self, node: ast.ExceptHandler) -> None:
+        if node.type is None and [type(x) for x in node.body] == [ast.Pass]:
+            self.add("finding", node, name=SWALLOWED_ERROR[0], snippet=self.shown(node))
+
+    def asserted(self, node: ast.Assert) -> None:
+        line = self.shown(node)
+        if _ACCESS.search(line):
+            self.add("finding", node, name=ASSERTED_ACCESS[0], snippet=line)
+
+    def routes(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
+        takes = [name for name in (a.arg for a in node.args.args) if name != "self"]
+        for call in node.decorator_list:
+            match call:
+                case ast.Call(func=ast.Attribute(attr=verb), args=[ast.Constant(value=route), *_]):
+                    pass
+                case ast.Call(func=ast.Attribute(attr=verb)):
+                    route = ""
+                case _:
+                    continue
+            if verb in ROUTE_METHODS:
+                self.add("endpoint", node, name=str(route), detail=verb.upper(), handler=node.name, parameters=takes)
+
+    def model(self, node: ast.ClassDef) -> None:
+        for base in node.bases:
+            if (isinstance(base, ast.Name) and base.id in MODEL_BASES) or (isinstance(base, ast.Attribute) and base.attr in MODEL_BASES):
+                self.add("model", node, name=node.name)
+                return
+
+
+def file_facts(source: str, findings: bool, inventory: bool) -> list[dict]:
     """What one file holds, in walk order; a file that does not parse holds one ``error``."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
-        yield _fact("error", detail=type(exc).__name__)
-        return
-    if findings:
-        yield from _finding_facts(tree, source)
-    if inventory:
-        yield from _inventory_facts(tree)
+        return [_fact("error", detail=type(exc).__name__)]
+    return FileFacts(source, findings, inventory).walk(tree)
 
 
 def _walker(findings: bool, inventory: bool):
