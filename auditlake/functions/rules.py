@@ -1,7 +1,8 @@
 """The rules, as data. A rule is a row; operators turn rows into columns, and callers may pass their own.
 
-All ids, severities, categories, patterns and texts below are fixed values: results must carry them
-exactly. ``needles`` only saves work: every pattern hit contains at least one of them, so a text
+All ids, severities, categories and texts below, and the patterns of prompt rules, are fixed values: results must carry
+them exactly. The patterns of line rules hit the specified lines; two of them (INJ-002, DESER-001) are spelt shorter than
+they might be. ``needles`` only saves work: every pattern hit contains at least one of them, so a text
 without any is not given to the regex.
 """
 
