@@ -11,7 +11,7 @@ from auditlake.functions import rules, text
 from auditlake.operators import (
     audit_log, code_scan, ignore_audit, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, verdict,
 )
-from auditlake.operators.scan import scan, scan_snippets
+from auditlake.operators.scan import scan, scan_snippets, scan_source
 from auditlake.plans import derive
 from auditlake.session import shared_dir
 from auditlake.sources import files as tree
@@ -69,7 +69,7 @@ def prompt_bulk_load(spark, d):
 def source_tree_scan(spark, d):
     root = shared_dir(spark)
     tree.write_tree(derive.files(spark, d), root)
-    return _flat_findings(scan(tree.read_tree(spark, root)))
+    return _flat_findings(scan_source(spark, path=root))
 
 
 def snippet_scan(spark, d):
