@@ -28,6 +28,7 @@ from auditlake.llm.common import small_batches
 from auditlake.session import shared_dir
 
 FILE_BYTES = 16 << 20
+READ = 1 << 12  # bytes; most records take one or two
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 DATE = "1970-01-01T00:00:00Z"
 HEADERS = "Content-Type: text/html; charset=utf-8"
@@ -123,17 +124,17 @@ def write_derivatives(responses: DataFrame, folder: str) -> DataFrame:
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each gzip member; raises where a length or digest is wrong."""
-    at = 0
+    at, view = 0, memoryview(content)
     while at < len(content):
         member = zlib.decompressobj(31)
-        raw = member.decompress(content[at:at + (1 << 20)])
-        taken = at + (1 << 20)
+        parts = []
         while not member.eof:
-            if taken >= len(content):
+            if at >= len(content):
                 raise ValueError("a record is cut off")
-            raw += member.decompress(content[taken : taken + (1 << 20)])
-            taken += 1 << 20
-        at = min(taken, len(content)) - len(member.unused_data)
+            parts.append(member.decompress(view[at : at + READ]))
+            at += READ
+        at = min(at, len(content)) - len(member.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
