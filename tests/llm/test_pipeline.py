@@ -2,9 +2,9 @@ import random
 
 import pytest
 
-from test_near_duplicates import brute as near_brute
-from test_rules_and_sites import measured
-from test_shards_and_benchmark import split
+from llm.test_near_duplicates import brute as near_brute
+from llm.test_rules_and_sites import measured
+from llm.test_shards_and_benchmark import split
 
 import corpus_pipeline
 from auditlake.llm.common import stored
