@@ -12,6 +12,8 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import map_batches, stored
+from auditlake.llm.common import map_batches, small_batches, stored
 from auditlake.llm.shingles import OTHERS, mix, word_hashes
 
 MAX_TRAIN = 6_000
@@ -33,6 +35,7 @@ HEADS = (6, 7)  # bytes
 LEAST_GAP = 5.0
 LEAST_ROWS = 8
 TARGETS = ("quality", "toxic")
+GROUP_BYTES = 1 << 19
 MAX_BROADCAST_PATHS = 200_000
 _CLASSES = {"upper": range(0x41, 0x5B), "digit": range(0x30, 0x3A), "symbol": b"#$%&*<>{}[]\\^~|=+_/@", "mark": b"!?.,;:", "line": b"\n", "bar": b"|", "bang": b"!", "wide": range(0x80, 0x100)}
 
@@ -44,7 +47,21 @@ def _table(which) -> np.ndarray:
 
 
 def measures(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(one row of measures per text, the distinct hashes of its words and of their heads)."""
+    """(one row of measures per text, the distinct hashes of its words and of their heads), by groups of bounded bytes."""
+    numbers, distinct, at = [np.zeros((0, len(_CLASSES) + 3))], [], 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= GROUP_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        some, found = _measures(texts[at:stop])
+        numbers.append(some)
+        distinct += found
+        at = stop
+    return np.concatenate(numbers), distinct
+
+
+def _measures(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -150,6 +167,15 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Classifier:
     return model
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += [t or b"" for t in batch.column("text").to_pylist()]
+        labels += zip(*(batch.column(t).to_pylist() for t in TARGETS))
+    model = fit(texts, (np.array(labels).reshape(-1, len(TARGETS)) >= 0.5).astype(float))
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((model.edges, model.words, model.weights, model.base))], pa.binary())})
+
+
 def _score(columns: dict, model) -> dict:
     odds = model.value.log_odds([t or b"" for t in columns["text"].cast(pa.binary()).to_pylist()])
     evidence = odds - model.value.base
@@ -192,11 +218,13 @@ def site_quality(docs: DataFrame, labels: DataFrame, site: Column, path: Column,
     text = F.col("text").cast("string")
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in TARGETS])
     known = stored(known)
+    small_batches(spark)
     train = known.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(train), "doc_id")
     # A repeated id must not bring more rows than the bound.
-    rows = chosen.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_train).select(F.col("text").cast("binary"), *TARGETS).collect()
-    model = fit([bytes(r["text"] or b"") for r in rows], np.array([[float(r[t] >= 0.5) for t in TARGETS] for r in rows]).reshape(-1, len(TARGETS)))
+    rows = chosen.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_train).select(F.col("text").cast("binary").alias("text"), *TARGETS)
+    fitted = rows.coalesce(1).mapInArrow(_fit, "model binary").first()  # in a task: the driver gets the weights alone
+    model = Classifier(*pickle.loads(fitted["model"])) if fitted else fit([], np.zeros((0, len(TARGETS))))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), text.alias("text"))
     scored = stored(map_batches(source, partial(_score, model=spark.sparkContext.broadcast(model)), SCORED, _SCORED))
     counted = scored.join(known, "doc_id", "left")
