@@ -63,7 +63,7 @@ def count_in_chunks(path: str, text: str, chunk: int = CHUNK_CHARS, overlap: int
 def _counts(columns: dict, path: str, chunk: int, overlap: int) -> dict:
     texts = columns["text"]
     huge = np.flatnonzero(pc.greater(pc.utf8_length(texts).fill_null(0), chunk).to_numpy(zero_copy_only=False))
-    results, places, bounds = unit_cache(path, len).batch(pc.if_else(pc.greater(pc.utf8_length(texts), chunk), "", texts))
+    results, places, bounds = unit_cache(path, "count").batch(pc.if_else(pc.greater(pc.utf8_length(texts), chunk), "", texts))
     counts = np.diff(np.concatenate([[0], np.cumsum(np.array(results, np.int64)[places])])[bounds])
     for i in huge.tolist():
         counts[i] = count_in_chunks(path, texts[i].as_py(), chunk, overlap)

@@ -11,7 +11,6 @@ i64 row ids[D] and a null flag u8[D]; u32 ids per row[D]; control bytes; data by
 
 from __future__ import annotations
 
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches
+from auditlake.llm.common import BATCH_BYTES, small_batches
 from auditlake.llm.units import ids_of, tokenizer, unit_cache
 from auditlake.session import shared_dir
 
 MAGIC = b"RANKVB01"
-TEXT_BYTES_PER_FILE = 24 << 20
+TEXT_BYTES_PER_FILE = 16 << 20
 MAX_IDS_PER_FILE = 1 << 24
 
 
@@ -115,14 +114,6 @@ def unpack(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else k for k, x in zip(keys, null.tolist())], sizes, decode_ids(by_rank, bits, n, control, data)
 
 
-def _ids_bytes(encoding) -> bytes:
-    return struct.pack(f"<{len(encoding)}H", *encoding.ids)
-
-
-def _wide_ids_bytes(encoding) -> bytes:
-    return struct.pack(f"<{len(encoding)}I", *encoding.ids)
-
-
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Writes the files of one partition, whose rows come in order, and returns a row for each file."""
     from pyarrow import fs
@@ -131,7 +122,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: in
     store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     store.create_dir(root)
     narrow = tokenizer(path).get_vocab_size() <= 1 << 16
-    cache = unit_cache(path, _ids_bytes if narrow else _wide_ids_bytes)
+    cache = unit_cache(path, "H" if narrow else "I")
     kind = "<u2" if narrow else "<u4"
     end = np.array([end_id], kind)
     part, seq = TaskContext.get().partitionId(), 0
@@ -143,6 +134,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: in
         name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.tokens"  # a repeated task writes its own; the manifest names one
         with store.open_output_stream(f"{root}/{name}") as out:
             out.write(pack(doc_ids, ids))
+        pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_pydict({"name": [name], "part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [held]}, schema=MANIFEST)
 
     for batch in batches:
@@ -174,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, files
     if files is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
         files = max(spark.sparkContext.defaultParallelism, -(-size // TEXT_BYTES_PER_FILE))
-    small_batches(spark, rows=8192)
+    small_batches(spark, rows=8192, size=BATCH_BYTES // 2)
     ordered = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     written = ordered.mapInArrow(partial(_write, path=path, folder=f"{folder}/files", end_id=end_id), "name string, part int, seq int, n_docs long, n_ids long")
     written.write.parquet(f"{folder}/manifest")
@@ -182,24 +174,29 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, files
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unit_cache.cache_clear()  # what a reused worker holds from writing
     for batch in batches:
-        for content, base in zip(batch.column(0), batch.column(1).to_pylist()):
+        for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
             keys, sizes, ids = unpack(content.as_py())
             ends = np.cumsum(sizes, dtype=np.int64)
             starts = ends - sizes
             raw = memoryview(ids).cast("B")
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "start": base + starts, "n_tokens": sizes.astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"name": [name] * len(keys), "doc_id": pa.array(keys, pa.int64()), "start": starts, "n_tokens": sizes.astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files: each is read by Spark and decoded in one task."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files: each is read by Spark and decoded in one task.
+
+    Where a file's ids begin comes from the manifest, one row per file, joined to the decoded rows.
+    """
     before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    bases = manifest.select("name", F.coalesce(before, F.lit(0)).alias("base"))  # one row per file
+    bases = manifest.select("name", F.coalesce(before, F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(f"{folder}/files")
-    named = files.select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     small_batches(spark, rows=1)
-    return named.join(F.broadcast(bases), "name").select("content", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    decoded = named.mapInArrow(_read, "name string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return decoded.join(bases, "name").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -22,10 +23,21 @@ import pyarrow.compute as pc
 #: Letters, other marks but the apostrophe, and the same once more behind a line end: each of these ends a token of the
 #: pattern, whatever stands beside it, so such a unit is the sum of its pieces.
 PIECES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16})(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16}))?")
-MAX_CACHED = 400_000
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MAX_CACHED = 700_000
 MAX_UNIT = 64
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be seen, else one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """One tokenizer per worker and file; it uses no threads of its own."""
@@ -44,15 +56,19 @@ def clean(unit: str) -> bool:
 
 
 class UnitCache:
-    """What ``of(encoding)`` makes of every unit met lately: at most twice MAX_CACHED results between batches.
+    """What ``of(ids)`` makes of every unit met lately: at most twice MAX_CACHED results between batches.
 
-    ``of`` must turn an encoding into something that ``+`` joins as encodings are joined; ``none`` is that of no text.
+    ``of`` must turn lists of ids into something that ``+`` joins as lists are joined; ``none`` is that of no text.
+    A unit of letters alone is one pre-token, so the library's model is asked for it directly, past its pre-tokenizer.
     """
 
     def __init__(self, path: str, of: Callable):
-        self.encode = tokenizer(path).encode_batch_fast
+        loaded = tokenizer(path)
+        self.encode = loaded.encode_batch_fast
+        added = loaded.get_added_tokens_decoder().values()
+        self.model = loaded.model if loaded.normalizer is None and not any(LETTERS.fullmatch(t.content.strip()) for t in added) else None
         self.of = of
-        self.none = of(tokenizer(path).encode("", add_special_tokens=False))
+        self.none = of([])
         self.known: dict = {}
         self.older: dict = {}
         self.bare: dict = {}  # without a space before
@@ -70,30 +86,28 @@ class UnitCache:
         bounds -= bounds[0]
         places = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         words = units.dictionary.to_pylist()
-        unsafe = np.array([not w.isalpha() and not clean(w) for w in words], bool)
-        before = np.array([w == "" or w[-1].isspace() for w in words], bool)
+        results, unsafe = self._results(words)
         first = bounds[:-1]
+        heads = [words[i] for i in places[first].tolist()]
         bad = unsafe[places]
-        bad[first] = before[places[first]] & (np.diff(bounds) > 1)
+        bad[first] = np.array([h == "" or h[-1].isspace() for h in heads], bool) & (np.diff(bounds) > 1)
         whole = np.logical_or.reduceat(bad, first)
-        heads = [words[i] for i in places[first].tolist()]
         for i in np.flatnonzero(whole).tolist():
             heads[i] = texts[i].as_py()
         encoded = self._encoded(set(heads), "")
         places[np.repeat(whole, np.diff(bounds))] = len(words)  # nothing
         places[first] = len(words) + 1 + np.arange(len(heads))
-        return [*self._results(words, unsafe), self.none, *(encoded[h] for h in heads)], places, bounds
+        return [*results, self.none, *(encoded[h] for h in heads)], places, bounds
 
-    def _results(self, words: list[str], unsafe: np.ndarray) -> list:
-        """What the units are, each behind a space; nothing for unsafe ones."""
+    def _results(self, words: list[str]) -> tuple[list, np.ndarray]:
+        """What the units are, each behind a space, and which are unsafe; those are nothing."""
         if len(self.known) > MAX_CACHED:
             self.older, self.known = self.known, {}
         if len(self.bare) > MAX_CACHED // 4:
             self.bare = {}
         known, older, bare = self.known, self.older, self.bare
         found = list(map(known.get, words))
-        for i in np.flatnonzero(unsafe).tolist():
-            found[i] = self.none
+        unsafe = np.zeros(len(words), bool)  # none that is known
         letters, long, pieces, holes = set(), [], [], []
         for i, (u, r) in enumerate(zip(words, found)):
             if r is not None:
@@ -102,8 +116,12 @@ class UnitCache:
             if old is not None:
                 found[i] = known[u] = old
                 continue
+            letter = u.isalpha()
+            if not letter and not clean(u):
+                found[i], unsafe[i] = self.none, True
+                continue
             holes.append(i)
-            if u.isalpha() and len(u) <= MAX_UNIT:
+            if letter and len(u) <= MAX_UNIT:
                 letters.add(u)
             elif len(u) > MAX_UNIT:
                 long.append(u)
@@ -113,6 +131,11 @@ class UnitCache:
                     letters.add(m[1])
             else:
                 letters.add(u)
+        if self.model:
+            plain = set(filter(LETTERS.fullmatch, letters))
+            tokenize, of = self.model.tokenize, self.of
+            known.update((u, of([t.id for t in tokenize((" " + u).encode().decode("latin-1").translate(BYTE_CHARS))])) for u in plain)
+            letters -= plain
         known.update(self._encoded(letters, " "))
         bare.update(self._encoded({x for _, m in pieces for x in m[1:]}.difference(bare), ""))
         for u, (a, b, c, d, e) in pieces:
@@ -121,20 +144,28 @@ class UnitCache:
         for i in holes:
             u = words[i]
             found[i] = passing[u] if len(u) > MAX_UNIT else known[u]
-        return found
+        return found, unsafe
 
     def _encoded(self, units, before: str, step: int = 4096) -> dict:
         known, units = {}, list(units)
         for at in range(0, len(units), step):
             some = units[at : at + step]
-            known.update(zip(some, map(self.of, self.encode([before + u for u in some], add_special_tokens=False))))
+            known.update(zip(some, (self.of(e.ids) for e in self.encode([before + u for u in some], add_special_tokens=False))))
         return known
 
 
-@lru_cache(maxsize=4)
-def unit_cache(path: str, of: Callable) -> UnitCache:
-    """The cache that all tasks of a reused worker share."""
-    return UnitCache(path, of)
+def _packed(code: str) -> Callable[[list[int]], bytes]:
+    return lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
+
+
+#: What a cache keeps of a unit's ids: their number, or their bytes by the type's code.
+KINDS = {"count": len, "H": _packed("H"), "I": _packed("I")}
+
+
+@lru_cache(maxsize=2)
+def unit_cache(path: str, kind: str) -> UnitCache:
+    """The cache that all tasks of a reused worker share; named, as functions sent to tasks are new objects in each."""
+    return UnitCache(path, KINDS[kind])
 
 
 def ids_of(results: list[bytes], places: np.ndarray, bounds: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import units
 from auditlake.llm.token_counts import count_in_chunks, token_counts
-from auditlake.llm.token_files import _ids_bytes, pack, token_files, unpack
-from auditlake.llm.units import UnitCache, ids_of, tokenizer
+from auditlake.llm.token_files import pack, token_files, unpack
+from auditlake.llm.units import KINDS, UnitCache, ids_of, tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "the", " ", " ", "  ", "\n", "\t", " \n", "'s", "'ll", ".", "#$", "é", "ß", "漢", "🙂", "12", "_", "<|endoftext|>", "<|endof", "text|>", " ", " ", "\x1c", "\x85", "\r\n", "Word", " foo.", " bar,\nBaz", "x" * 70]
@@ -26,7 +26,7 @@ def mixed(rng, low, high):
 
 def test_units_give_the_ids_of_whole_texts(monkeypatch):
     monkeypatch.setattr(units, "MAX_CACHED", 50)
-    rng, cache = random.Random(3), UnitCache(PATH, _ids_bytes)
+    rng, cache = random.Random(3), UnitCache(PATH, KINDS["H"])
     for _ in range(300):
         texts = [None, "", *(mixed(rng, 0, 40) for _ in range(4)), " ".join(rng.choice(["ab.", "foo", "bar,\nBaz", "it's", "the,"]) for _ in range(9))]
         every, bounds = ids_of(*cache.batch(pa.array(texts, pa.string())), "<u2")
