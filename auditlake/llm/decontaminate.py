@@ -177,12 +177,12 @@ def _spans(columns: dict, windows: Windows) -> dict:
         new = np.concatenate([[True], s[1:] > e[:-1]])
         starts[t], ends[t] = s[new].tolist(), e[np.concatenate([new[1:], [True]])].tolist()
         items[t] = sorted({i for p in set(pattern[some].tolist()) for i in windows.items[p]})
-    return {"row": columns["row"], "doc_id": columns["doc_id"], "n_words": np.diff(first), "starts": starts, "ends": ends, "items": items}
+    return {**{k: columns[k] for k in ("row", "doc_id", "key")}, "n_words": np.diff(first), "starts": starts, "ends": ends, "items": items}
 
 
-SPANS = "row long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+SPANS = "row long, doc_id long, key long, n_words long, starts array<long>, ends array<long>, items array<string>"
 _LONGS = pa.list_(pa.int64())
-_FIELDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", _LONGS), ("ends", _LONGS), ("items", pa.list_(pa.string()))])
+_FIELDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("starts", _LONGS), ("ends", _LONGS), ("items", pa.list_(pa.string()))])
 
 
 def _merge(columns: dict) -> dict:
@@ -197,20 +197,21 @@ def _merge(columns: dict) -> dict:
         starts.append([r[0] for r in runs])
         ends.append([r[1] for r in runs])
     items = [sorted(set(x)) for x in columns["items"].to_pylist()]
-    return {**{k: columns[k] for k in ("row", "doc_id", "n_words")}, "starts": starts, "ends": ends, "items": items}
+    return {**{k: columns[k] for k in ("row", "doc_id", "key", "n_words")}, "starts": starts, "ends": ends, "items": items}
 
 
-def window_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """(row, doc_id, n_words, starts, ends, items): the hit words of each row as maximal runs, and the items that occur.
+def window_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = MAX_BLOCK_BYTES, key: str | None = None) -> DataFrame:
+    """(row, doc_id, key, n_words, starts, ends, items): the hit words of each row as maximal runs, and the items that occur.
 
     The benchmark is measured. Up to ``block_bytes`` of text it goes to the tasks whole; beyond, it is cut by hash into blocks
     of about that size, each searched in a pass of its own, and the runs of a row are joined. Null texts have no words;
-    items without an id or words are left out; an empty table on either side gives no rows or no hits.
+    items without an id or words are left out; an empty table on either side gives no rows or no hits. ``key`` names a whole-number
+    column of ``docs`` to be carried, else it is null.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     if blocks > 1:
         rows = stored(rows)
     spark, passes = docs.sparkSession, []
@@ -223,7 +224,7 @@ def window_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
+    joined = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
     return map_batches(joined, _merge, SPANS, _FIELDS)
 
 
@@ -238,11 +239,11 @@ def _search(columns: dict, given, window: int) -> dict:
     return _spans(columns, _BUILT[key][1])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row; null and edge cases as in ``window_spans``."""
-    spans = window_spans(docs, benchmark, window, block_bytes)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = MAX_BLOCK_BYTES, key: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row, before them the column named ``key`` if given; null and edge cases as in ``window_spans``."""
+    spans = window_spans(docs, benchmark, window, block_bytes, key)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        *([F.col("key").alias(key)] if key else []), "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.col("n_hit") > 0)

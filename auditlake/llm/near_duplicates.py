@@ -21,7 +21,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import map_batches, stored
@@ -76,11 +76,11 @@ def _sign(columns: dict, width: int, bands: int, rows: int) -> dict:
     texts = [t or b"" for t in columns["text"].cast(pa.binary()).to_pylist()]
     sets = shingle_sets(texts, width)
     keys = [band_keys(one_permutation(s, bands * rows), bands).view(np.int64) if len(s) else None for s in sets]
-    return {"doc_id": columns["doc_id"], "h": columns["h"], "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "bands": keys}
+    return {**{c: columns[c] for c in ("doc_id", "h", "key")}, "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "bands": keys}
 
 
-SIGNED = "doc_id long, h long, n_shingles long, node binary, bands array<long>"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, h long, key long, n_shingles long, node binary, bands array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _confirm(columns: dict, width: int, percent: int, differences: bool) -> dict:
@@ -180,31 +180,46 @@ def _roots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return links.roots
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row; see the module for the method.
-
-    A null text or one without words has no shingles, is linked with nothing and is its own component. Rows
-    with equal sets are linked, so repeated rows share a component; a repeated id names one document. component_id is the
-    smallest id that is not null, or null if there is none; kept says whether the row's id equals it. An empty
-    table gives no rows. Other columns are not read.
-    """
+def _grouped(docs: DataFrame, key: Column, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, key, n_shingles, node, bands) per row, and (node, root, least, first) per node: its least id, and its least row
+    by id, nulls last, text hash and key."""
     text = F.col("text").cast("string")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), key.cast("long").alias("key"), text.alias("text"))
     signed = stored(map_batches(source, partial(_sign, width=width, bands=bands, rows=rows), SIGNED, _SIGNED))
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(buckets.join(full, "bucket").select("bucket", "node", "n"))
-    named = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"))
+    named = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "key")).alias("first"))
     named = stored(named)
     if members.isEmpty():
-        whole = named.select("node", F.col("node").alias("root"), "least")
-    else:
-        wanted = named.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("h"))
-        texts = source.join(wanted, source.doc_id.eqNullSafe(wanted.id) & (source.h == wanted.h)).select("node", "text")
-        texts = stored(texts.dropDuplicates(["node"]))
-        roots = _roots(members, texts, width, percent)
-        whole = named.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+        return signed, named.select("node", F.col("node").alias("root"), "least", "first")
+    wanted = named.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("h"))
+    texts = source.drop("key").join(wanted, source.doc_id.eqNullSafe(wanted.id) & (source.h == wanted.h)).select("node", "text")
+    texts = stored(texts.dropDuplicates(["node"]))
+    roots = _roots(members, texts, width, percent)
+    return signed, named.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "first")
+
+
+def first_keys(docs: DataFrame, key: str, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key) of one row for each component: the least by id, nulls last, text hash and key. Rows without shingles are all given.
+
+    ``key`` names a column of ``docs`` whose values are different in all rows.
+    """
+    signed, whole = _grouped(docs, F.col(key), width, percent, bands, rows)
+    firsts = whole.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    return firsts.union(signed.where(F.col("node").isNull()).select("key"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row; see the module for the method.
+
+    A null text or one without words has no shingles, is linked with nothing and is its own component. Rows
+    with equal sets are linked, so repeated rows share a component; a repeated id names one document. component_id is the
+    smallest id that is not null, or null if there is none; kept says whether the row's id equals it, so all rows of that id
+    are kept (``first_keys`` gives one row). An empty table gives no rows. Other columns are not read.
+    """
+    signed, whole = _grouped(docs, F.lit(None), width, percent, bands, rows)
     ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = whole.join(ids, "root").select("node", "component_id")
     done = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")

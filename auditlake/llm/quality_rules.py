@@ -38,11 +38,12 @@ class Rule:
     good: Column
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_plain, n_distinct) per row.
 
     Words are runs without ASCII white space; a null text has none. Windows are compared by a 64-bit hash of their word
     hashes, and distinct words by theirs. Plain words are letters, joined by - or ' if at all, and one mark at most behind.
+    Columns named in ``carry`` follow as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -54,6 +55,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         F.when(F.contains(text, F.lit("\n")), F.struct(F.size(lines).alias("n"), F.size(F.array_distinct(lines)).alias("d"))).otherwise(F.struct(F.lit(1).alias("n"), F.lit(1).alias("d"))).alias("lines"),
+        *carry,
     )
     n_plain = F.size(F.filter("words", lambda w: w.rlike(PLAIN))).cast("long")
     rows = rows.withColumn("n_plain", n_plain).withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
@@ -77,7 +79,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id", F.size(h).cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.col("lines.n") - F.col("lines.d")).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.col("lines.n").cast("long").alias("n_lines"), "n_upper", "n_plain", F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
+        F.col("lines.n").cast("long").alias("n_lines"), "n_upper", "n_plain", F.size(F.array_distinct(h)).cast("long").alias("n_distinct"), *carry,
     )
 
 
@@ -135,15 +137,15 @@ def fit(counts: list[tuple[list[int], int]], rules: int, good: float = GOOD, str
     return model
 
 
-def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, the votes as an array, quality (posterior), kept.
+def quality(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, the measures, the columns in ``carry``, base_failed, the votes as an array, quality (posterior), kept.
 
     ``kept`` is false where the base rules fail (n_words < 20 or more than 30 % of the words in repeated windows), else
     whether the posterior reaches ``threshold``. Null and empty texts have no words and fail; null and repeated
     ids stay as they are, one row each; an empty table gives no rows; other columns are not read.
     """
     rules = default_rules() if rules is None else rules
-    measured = stored(measures(docs))
+    measured = stored(measures(docs, carry))
     votes = F.array(*[F.when(r.bad, -1).when(r.good, 1).otherwise(0) for r in rules])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     voted = measured.withColumn("base_failed", base).withColumn("votes", votes)

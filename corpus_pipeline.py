@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import stored, table
 from auditlake.llm.decontaminate import contamination
-from auditlake.llm.near_duplicates import near_duplicates
+from auditlake.llm.near_duplicates import first_keys
 from auditlake.llm.piece_sampling import sampled_pieces
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.queries import PIECES
@@ -21,22 +21,29 @@ from auditlake.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
+KEY = "row_key"
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, null or not, is among the verdicts' ids with ``kept``."""
-    ids = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows stored with a key of their own, as ids may be null or repeated; once written, a key stays with its row."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(KEY)))
+
+
+def _keep(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among ``keys``."""
+    return keyed.join(keys.select(KEY), KEY, "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted quality rules keep."""
-    return _keep(docs, quality(docs))
+    keyed = _keyed(docs)
+    return _keep(keyed, quality(keyed, carry=(KEY,)).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8): the one of the smallest id."""
-    return _keep(docs, near_duplicates(docs))
+    """One row of each group of near copies (five-word shingles, 0.8): the one of the smallest id, nulls last."""
+    keyed = _keyed(docs)
+    return _keep(keyed, first_keys(keyed, KEY))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +54,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    return _keep(docs, contamination(docs, table(spark, sf_dir, "benchmark")).withColumn("kept", ~F.col("contaminated")))
+    keyed = _keyed(docs)
+    return _keep(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), key=KEY).where(~F.col("contaminated")))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

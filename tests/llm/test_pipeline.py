@@ -1,6 +1,9 @@
 import random
+from ast import literal_eval
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm.test_near_duplicates import brute as near_brute
 from llm.test_rules_and_sites import measured
@@ -8,6 +11,8 @@ from llm.test_shards_and_benchmark import split
 
 import corpus_pipeline
 from auditlake.llm.common import stored
+from auditlake.llm.decontaminate import contamination
+from auditlake.llm.quality_rules import quality
 
 COLUMNS = corpus_pipeline.COLUMNS
 
@@ -94,3 +99,34 @@ def test_edge_rows_and_no_rows(spark, edge_docs, no_docs, corpus):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, folder))
         assert docs.count() <= edge_docs.count()
+
+
+def test_rows_of_null_and_repeated_ids_are_judged_one_by_one(spark, edges, corpus):
+    """A kept row keeps no other row of its id; of near copies one row stays, whatever their ids."""
+    folder, texts = corpus
+    base, near, leak = texts["base"], texts["near"], texts["leak"]
+    rows = [*edges, (None, texts["clean"]), (None, "too short"), (None, leak), (None, texts["symbols"]), (70, texts["clean2"]), (70, "junk"), (70, leak + " again"), (None, base), (None, near), (None, base), (None, base)]
+    rows += [(71, texts["clean3"]), (71, texts["clean3"]), (71, texts["clean3"] + " more"), (None, texts["clean3"])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    # Stage 1: the verdict of each text, from rows with ids of their own.
+    alone = docs.select(F.substring("source", 2, 9).cast("long").alias("doc_id"), "text")
+    good = {r["doc_id"] for r in quality(alone).where("kept").collect()}
+    left = stages["quality_rules"](spark, docs, folder).collect()
+    assert {int(r["source"][1:]) for r in left} == good and len(left) == len(good)
+    assert any(r["doc_id"] is None for r in left) and not any(r["text"] in (None, "too short", "junk") for r in left)
+    # Stage 2: one row of each group, of its least id, nulls last; rows without words stay.
+    own = [literal_eval(x) for x in near_brute([(k, t) for k, (_, t) in enumerate(rows)], width=5)]
+    groups = defaultdict(list)
+    for k, _, least, _ in own:
+        groups[least].append(k)
+    got = [int(r["source"][1:]) for r in stages["near_duplicates"](spark, docs, folder).collect()]
+    assert len(got) == len(set(got)) == len(groups)
+    for members in groups.values():
+        (one,) = set(members) & set(got)
+        ids = [rows[k][0] for k in members if rows[k][0] is not None]
+        assert rows[one][0] == (min(ids) if ids else None)
+    # Stage 4: all rows without a window.
+    hit = {r["doc_id"] for r in contamination(alone, spark.read.parquet(f"{folder}/benchmark.parquet")).where("contaminated").collect()}
+    got = [int(r["source"][1:]) for r in stages["decontamination"](spark, docs, folder).collect()]
+    assert sorted(got) == sorted(set(range(len(rows))) - hit) and len(hit) == 2
