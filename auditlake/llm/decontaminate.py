@@ -133,15 +133,17 @@ class WuManber:
 
 
 class Windows:
-    """All windows of the benchmark's items, and the items of each."""
+    """All windows of the benchmark's items, and the items of each; an item without an id has windows, but no name."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         found: dict[bytes, set[str]] = {}
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = words_of(raw, np.array([0, len(raw)])).stream.tobytes()[_PAD:-_PAD].rstrip(b"\0").split()
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set()).add(item)
+                named = found.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set())
+                if item is not None:
+                    named.add(item)
         self.patterns = sorted(found)
         self.items = [sorted(found[p]) for p in self.patterns]
         self.n_words = np.array([p.count(b" ") - 1 for p in self.patterns], np.int64)
@@ -205,10 +207,10 @@ def window_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
     The benchmark is measured. Up to ``block_bytes`` of text it goes to the tasks whole; beyond, it is cut by hash into blocks
     of about that size, each searched in a pass of its own, and the runs of a row are joined. Null texts have no words;
-    items without an id or words are left out; an empty table on either side gives no rows or no hits. ``key`` names a whole-number
+    items without words are left out, and those without an id are searched but named nowhere in ``items``; an empty table on either side gives no rows or no hits. ``key`` names a whole-number
     column of ``docs`` to be carried, else it is null.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
@@ -240,7 +242,11 @@ def _search(columns: dict, given, window: int) -> dict:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = MAX_BLOCK_BYTES, key: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row, before them the column named ``key`` if given; null and edge cases as in ``window_spans``."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row, before them the column named ``key`` if given.
+
+    Benchmark rows with a null id count in n_hit and contaminated; n_items and items_sha256 are of the distinct ids that are not
+    null. Other null and edge cases as in ``window_spans``.
+    """
     spans = window_spans(docs, benchmark, window, block_bytes, key)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select(

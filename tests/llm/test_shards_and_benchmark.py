@@ -149,3 +149,14 @@ def test_occurrences_over_piece_borders():
     _, word, _ = Windows([("1", item)]).hits(made)
     words = split(text)
     assert sorted(word.tolist()) == [i for i, w in enumerate(words) if w == "p0q"]
+
+
+@pytest.mark.parametrize("block", [1 << 24, 60])
+def test_items_without_an_id_are_searched(spark, docs_of, block):
+    bench = spark.createDataFrame([*ITEMS, (None, "lonely passage")], "item_id long, text string")
+    texts = ["here is no id at all", "a lonely passage, no id", "clean", "no", "short item lonely passage"]
+    rows = {r["doc_id"]: r for r in contamination(docs_of(texts), bench, block_bytes=block).collect()}
+    assert [rows[i]["n_hit"] for i in range(5)] == [2, 5, 0, 0, 4]
+    assert [rows[i]["contaminated"] for i in range(5)] == [True, True, False, False, True]
+    assert [rows[i]["n_items"] for i in range(5)] == [0, 1, 0, 0, 1]
+    assert [rows[i]["items_sha256"] for i in range(5)] == [hashlib.sha256(x).hexdigest() for x in (b"", b"3", b"", b"", b"2")]
