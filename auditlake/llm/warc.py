@@ -33,7 +33,12 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 DATE = "1970-01-01T00:00:00Z"
 HEADERS = "Content-Type: text/html; charset=utf-8"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.I | re.S)
+# A head goes on as long as tags follow that can stand in it, and ends there if </head> is left out. One of its elements
+# that is never closed ends before </head> or <body>.
+_HEAD = r"""<head\b[^>]*(?:>|\Z)(?:\s+|<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)
+|<(?P<raw>title|script|style|template|noscript|noframes)\b[^>]*(?:>|\Z)(?:.*?</(?P=raw)\s*>|.*?(?=</head\b|<body\b)|.*)
+|<(?:meta|link|base|basefont|bgsound|html|head)\b[^>]*(?:>|\Z)|</(?!(?:head|body|html|br)\b)[a-z][^>]*(?:>|\Z))*+(?:</head\b[^>]*(?:>|\Z))?""".replace("\n", "")
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|" + _HEAD, re.I | re.S)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")

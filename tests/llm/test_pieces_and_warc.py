@@ -89,6 +89,14 @@ def test_plain_text_is_what_can_be_seen():
     assert plain_text("") == "" and plain_text("<p") == "" and plain_text("a < b") == "a < b" and plain_text("<script>x") == ""
 
 
+def test_a_head_without_its_end_hides_no_text():
+    assert plain_text("<html><head><title>T</title><p>text of <b>it</b><p>more") == "text of it\nmore"
+    assert plain_text("<head lang=en>\n<META charset=x><link rel=a><title>T <p></title><style>p{}</style><!-- <p> --><script>'<p>'</script>text") == "text"
+    assert plain_text("<head><title>T</title><body class=b>one</body>") == "one" and plain_text("<head><title>T</title></head>one") == "one"
+    assert plain_text("<head><title>T<meta></head><body>one") == "one" and plain_text("<head><script>x</head><body>one") == "one"
+    assert plain_text("<head><title>T</title>") == "" and plain_text("<head><meta") == "" and plain_text("<header>h</header>") == "h"
+
+
 def test_records_link_and_verify():
     raw = derivatives(7, "http://a/", "2020-01-01T00:00:00Z", 404, HEADERS + "\nX-A: b", "<p>hi")
     import gzip
