@@ -22,7 +22,18 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rows"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete the files of ``stored`` rows that nothing reads any more; rows that were not stored are left alone."""
+    for df in steps:
+        if path := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there.getParent(), True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:

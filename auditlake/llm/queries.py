@@ -10,6 +10,7 @@ from auditlake.llm.common import table
 from auditlake.llm.decontaminate import contamination
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.piece_sampling import sampled_pieces
+from auditlake.llm.prefix_trie import conversation_trie, shared_heads
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.shards import shards
 from auditlake.llm.site_quality import site_quality
@@ -59,7 +60,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_derivatives(responses_of(table(spark, sf_dir, "pages")))
     return records.select(
@@ -68,5 +68,9 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_site_quality, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), shared_heads)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_site_quality, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives, op11_prefix_trie)}
 ORACLE: dict[str, str] = {}
