@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import table
 from auditlake.llm.decontaminate import contamination
+from auditlake.llm.language_id import language_id
 from auditlake.llm.near_duplicates import near_duplicates
 from auditlake.llm.piece_sampling import sampled_pieces
 from auditlake.llm.prefix_trie import conversation_trie, shared_heads
 from auditlake.llm.quality_rules import quality
 from auditlake.llm.shards import shards
 from auditlake.llm.site_quality import site_quality
+from auditlake.llm.source_divergence import source_divergence
 from auditlake.llm.suffix_dedup import remove_repeats
 from auditlake.llm.token_counts import token_counts
 from auditlake.llm.token_files import token_files
@@ -72,5 +74,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"), shared_heads)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_site_quality, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives, op11_prefix_trie)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_site_quality, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives, op11_prefix_trie, op12_source_divergence, op13_language_id)}
 ORACLE: dict[str, str] = {}
