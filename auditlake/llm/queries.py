@@ -10,6 +10,7 @@ from auditlake.llm.common import table
 from auditlake.llm.decontaminate import contamination
 from auditlake.llm.language_id import language_id
 from auditlake.llm.near_duplicates import near_duplicates
+from auditlake.llm.oracle import ORACLE  # noqa: F401
 from auditlake.llm.piece_sampling import sampled_pieces
 from auditlake.llm.prefix_trie import conversation_trie, shared_heads
 from auditlake.llm.quality_rules import quality
@@ -83,4 +84,3 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_site_quality, op4_decontamination, op5_sampled_pieces, op6_shards, op7_quality_rules, op8_near_duplicates, op9_token_files, op10_warc_derivatives, op11_prefix_trie, op12_source_divergence, op13_language_id)}
-ORACLE: dict[str, str] = {}
