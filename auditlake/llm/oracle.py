@@ -16,21 +16,20 @@ _BLANK_WORDS = r"[^\x20\x09-\x0D]+"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Bytes as hex text, two characters a byte. A string of 100 bytes that starts earlier as well covers its bytes.
+#: A string of 100 bytes that starts earlier as well covers its bytes. What is left is joined as hex text, as bytes can't be aggregated.
 _SUFFIX_DEDUP = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT doc_id, pos, hash(substr(x, 2 * pos + 1, 200)) AS h FROM (SELECT doc_id, unnest(range(0, length(x) // 2 - 99)) AS pos, x FROM d WHERE length(x) >= 200)),
+WITH d AS (SELECT doc_id, x, octet_length(x) AS n FROM (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents)),
+s AS (SELECT doc_id, pos, hash(x[pos + 1:pos + 100]) AS h FROM (SELECT doc_id, unnest(range(0, n - 99)) AS pos, x FROM d WHERE n >= 100)),
 twice AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
-w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM (SELECT s.doc_id, s.pos, substr(d.x, 2 * s.pos + 1, 200) AS win FROM s JOIN twice USING (h) JOIN d USING (doc_id))),
+w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM (SELECT s.doc_id, s.pos, d.x[s.pos + 1:s.pos + 100] AS win FROM s JOIN twice USING (h) JOIN d USING (doc_id))),
 c AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM w WHERE k > 1),
 runs AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
 spans AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 100 AS z FROM runs GROUP BY doc_id, run),
 edges AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS free FROM spans),
-pieces AS (SELECT e.doc_id, e.a, substr(d.x, 2 * e.free + 1, 2 * (e.a - e.free)) AS piece FROM edges e JOIN d USING (doc_id)),
-heads AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS kept FROM pieces GROUP BY doc_id),
+heads AS (SELECT e.doc_id, string_agg(hex(d.x[e.free + 1:e.a]), '' ORDER BY a) AS kept FROM edges e JOIN d USING (doc_id) GROUP BY e.doc_id),
 sums AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS z FROM spans GROUP BY doc_id)
-SELECT d.doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN n_spans IS NULL THEN d.x ELSE heads.kept || substr(d.x, 2 * z + 1) END)) AS kept_sha256
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN d.x ELSE unhex(heads.kept || hex(d.x[z + 1:])) END) AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN heads USING (doc_id)
 """
 
