@@ -4,15 +4,21 @@ A text's set of shingles is a node; rows with equal sets share one. One hash of
 and its value, so the sorted set holds all bin minima; an empty bin copies the bin that a universal hash of (bin,
 attempt) names first among those filled. Bands of bins are buckets.
 
-In a bucket no pairs are listed. Its members are compared with one centre (a star), first the least node, then STARS times
-one drawn anew; members of one component need no more comparison. What is then still apart in a bucket is settled by
-each member's differences from the least node c, D(x) = x xor c. Sets x and y that are linked differ in at most T = (|x| + |y|)
-(100 - p) / (100 + p) elements, so D(x) and D(y) share at least (|D(x)| + |D(y)| - T) / 2. That is more than none unless both
-are linked with c and so in one component already: if x isn't, |D(x)| + |D(y)| > T follows from |y| <= |c| + |D(y)|. So every
-link that is left shows as an equal difference; by the prefix principle, one among the rarest of both, and only pairs whose
-places there leave room for enough others are compared. Copies edited at random share few differences, so these pairs are few.
-All links are confirmed on the whole sets. With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with
-probability 5e-8.
+In a bucket no pairs are listed. Buckets that share nodes are put into groups round one centre (a star): a bucket's label is its
+least node, a node's the least of its buckets' labels, and a bucket joins the group of its nodes' least label. Two nodes of a
+bucket are always in one group. Each node of a group is compared with the centre; the links found join components.
+
+Groups that still hold several components are settled by differences. R is the centre's set with every element flipped in
+which more than half of the group differ from it, so what a template has in common, and what the centre alone has, counts for
+nobody. D(x) = x xor R. Sets x and y are linked exactly if |x xor y| <= (|x| + |y|) q, q = (100 - p) / (100 + p), that is if they
+share at least (s(x) + s(y)) / 2 differences, where s(x) = |D(x)| - q |x|. So
+* pairs with s(x) + s(y) <= 0 are linked as they are; the node of least s is linked with each node of such a pair, a star again;
+* others share differences: those of one node alone count for nothing, the rest are taken rare ones first. The node's entry at a
+  place with r behind it helps only partners with s(y) <= 2 (r + 1) - s(x) (the prefix principle), so each entry is dealt to the
+  classes of s that it can serve, and meets entries that can serve its own class. Keys within one component are dropped, and so
+  are pairs within the group's largest one before they are formed.
+No link of a bucket is lost, and copies or templates edited at random share few differences, so the pairs that are left are few.
+They are confirmed on the whole sets. With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with probability 5e-8.
 """
 
 from __future__ import annotations
@@ -24,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import map_batches, stored
+from auditlake.llm.common import map_batches, release, stored
 from auditlake.llm.components import components
 from auditlake.llm.shingles import mix, shared, shingle_sets
 
 BANDS = 32
 ROWS = 4
-STARS = 1
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -99,85 +104,100 @@ def _confirm(columns: dict, width: int, percent: int, differences: bool) -> dict
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
 
 
-class Links:
-    """The components found so far, and the texts of the nodes to confirm more."""
-
-    def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
-        self.roots = stored(nodes.withColumn("root", F.col("node")))
-        self.texts, self.width, self.percent = texts, width, percent
-
-    def confirm(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
-        """(a, b, linked, apart) of the pairs (a, b)."""
-        with_b = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        with_both = with_b.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return stored(map_batches(with_both, partial(_confirm, width=self.width, percent=self.percent, differences=differences), "a binary, b binary, linked boolean, apart array<long>", _PAIRS))
-
-    def take(self, result: DataFrame) -> None:
-        """Join the components of linked pairs."""
-        of = self.roots.select(F.col("node").alias("x"), "root")
-        links = result.where("linked").join(of.withColumnRenamed("root", "ra"), F.col("a") == F.col("x")).drop("x").join(of.withColumnRenamed("root", "rb"), F.col("b") == F.col("x"))
-        links = stored(links.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        if not links.isEmpty():
-            joined = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
-            self.roots = stored(self.roots.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")))
-
-    def apart(self, members: DataFrame) -> DataFrame:
-        """The members (bucket, node, n) of buckets that hold several components, with their roots."""
-        placed = members.join(self.roots, "node")
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        return stored(placed.join(mixed, "bucket"))
-
-
-def _near(n: str, m: str, percent: int):
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool = False) -> DataFrame:
+    """(a, b, linked, apart) of the pairs (a, b)."""
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return stored(map_batches(with_both, partial(_confirm, width=width, percent=percent, differences=differences), "a binary, b binary, linked boolean, apart array<long>", _PAIRS))
+
+
+def _groups(buckets: DataFrame) -> DataFrame:
+    """(centre, node, n) of the groups that buckets (bucket, node, n) of several nodes make."""
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("label")).where("held > 1").drop("held")
+    members = stored(buckets.join(full, "bucket"))
+    of_node = members.groupBy("node").agg(F.min("label").alias("least"))
+    of_bucket = members.join(of_node, "node").groupBy("bucket").agg(F.min("least").alias("centre"))
+    groups = stored(members.join(of_bucket, "bucket").select("centre", "node", "n").distinct())
+    release(members)
+    return groups
+
+
+def _class(s: Column, width: Column) -> Column:
+    """A rising step function of s: steps of ``width`` below 0, growing ones above."""
+    return F.when(s <= 0, F.ceil(s / width)).otherwise(F.ceil(4 * F.log2(1 + F.greatest(s, F.lit(0)) / width))).cast("int")
+
+
+def _settled(placed: DataFrame, stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For groups (centre, node, n, root) of several components and their stars (a, b, linked, apart): (a, b) that are linked by their
+    differences alone, and (a, b) that may be linked."""
+    up, down = 100 + percent, 100 - percent
+    spread = stars.join(placed.select("centre").distinct(), F.col("a") == F.col("centre"), "left_semi")
+    apart = spread.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.explode("apart").alias("e"))
+    sizes = placed.groupBy("centre").agg(F.count("*").alias("held"), F.max("n").alias("most"))
+    roots = placed.groupBy("centre", "root").count().groupBy("centre").agg(F.max_by("root", "count").alias("main"))
+    counts = apart.groupBy("centre", "e").agg(F.count("*").alias("c")).join(sizes.select("centre", "held"), "centre")
+    flip = 2 * F.col("c") > F.col("held")
+    counts = counts.select("centre", "e", flip.alias("flip"), F.when(flip, F.col("held") - F.col("c")).otherwise(F.col("c")).alias("c")).where("flip or c > 1")
+    counts = stored(counts)
+    flips = counts.where("flip").select("centre", "e", "c")
+    marked = stored(apart.join(counts, ["centre", "e"]))
+    flipped = flips.groupBy("centre").agg(F.count("*").alias("flips"))
+    own = marked.where("flip").groupBy("centre", "node").agg(F.count("*").alias("own"))
+    d = spread.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.size("apart").alias("d"))
+    whole = placed.join(d, ["centre", "node"], "left").join(own, ["centre", "node"], "left").join(flipped, "centre", "left").na.fill(0, ["d", "own", "flips"])
+    s = (F.col("d") - 2 * F.col("own") + F.col("flips")) * up - F.col("n") * down
+    whole = whole.join(sizes.select("centre", "most"), "centre").join(roots, "centre").withColumn("s", s)
+    whole = stored(whole.select("centre", "node", "n", "root", "main", "s", _class(F.col("s"), F.col("most") * (down / 4)).alias("class"), (F.col("most") * (down / 4)).alias("step")))
+    # The node of least s, and all that are linked with it as they are.
+    least = whole.groupBy("centre").agg(F.min(F.struct("s", "node", "root")).alias("x")).select("centre", "x.*").withColumnsRenamed({"s": "sx", "node": "a", "root": "ra"})
+    at_once = whole.join(least, "centre").where("s + sx <= 0 and root != ra").select("a", F.col("node").alias("b"))
+    # What the flipped elements make of nodes that do not differ from the centre there.
+    lacking = placed.select("centre", "node").join(flips.where("c > 1"), "centre").join(marked.where("flip").select("centre", "node", "e"), ["centre", "node", "e"], "left_anti")
+    shared_ones = marked.where("not flip").select("centre", "node", "e", "c").unionByName(lacking.select("centre", "node", "e", "c"))
+    each = Window.partitionBy("centre", "node")
+    ranked = shared_ones.withColumn("k", F.row_number().over(each.orderBy("c", "e"))).withColumn("of", F.count("*").over(each))
+    entries = ranked.select("centre", "node", "e", (1 + F.col("of") - F.col("k")).alias("rest")).join(whole, ["centre", "node"])
+    room = 2 * up * F.col("rest") - F.col("s")
+    classes = whole.groupBy("centre").agg(F.collect_set("class").alias("classes"))  # a few dozen at most
+    dealt = entries.withColumn("room", room).join(classes, "centre").withColumn("other", F.explode(F.filter("classes", lambda c: c <= _class(F.col("room"), F.col("step")))))
+    dealt = dealt.select("centre", "e", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high"), "node", "n", "root", "main", "s", "room", "class")
+    dealt = stored(dealt)
+    key = ["centre", "e", "low", "high"]
+    useful = dealt.groupBy(*key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("r0 != r1 and c0 = low and c1 = high").select(*key)
+    useful = dealt.join(useful, key)
+    columns = ("node", "n", "root", "s", "room", "class")
+    x = useful.where("root != main").select(*key, *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = useful.select(*key, (F.col("root") == F.col("main")).alias("inside"), *[F.col(c).alias(f"{c}_y") for c in columns])
+    fits = (F.col("room_x") >= F.col("s_y")) & (F.col("room_y") >= F.col("s_x")) & (F.col("s_x") + F.col("s_y") > 0) & _near("n_x", "n_y", percent)
+    once = F.col("inside") | (F.col("node_x") < F.col("node_y"))
+    both = x.join(y, key).where((F.col("root_x") != F.col("root_y")) & ((F.col("low") == F.col("high")) | (F.col("class_x") != F.col("class_y"))) & once & fits)
+    return at_once, both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _near(n: str, m: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _star(placed: DataFrame, order) -> DataFrame:
-    """Each member of a bucket beside its centre, the least by ``order``."""
-    centres = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("centre"), F.col("n").alias("m"), F.col("root").alias("own"))).alias("c")).select("bucket", "c.centre", "c.m", "c.own")
-    return placed.join(centres, "bucket")
-
-
-def _left(placed: DataFrame, links: Links, percent: int) -> DataFrame:
-    """The pairs (a, b) that may still be linked, by their differences from the least node of a common bucket."""
-    star = _star(placed, F.col("node")).where("node != centre").select("centre", "node", "n", "m").distinct()
-    result = links.confirm(star.select(F.col("centre").alias("a"), F.col("node").alias("b")), differences=True)
-    links.take(result)
-    # The centre's own links are settled; what its bucket's members share is asked by (centre, difference).
-    known = result.select(F.col("a").alias("centre"), F.col("b").alias("node"), "linked", F.size("apart").alias("d"), F.explode("apart").alias("e"))
-    counts = known.groupBy("centre", "e").agg(F.count("*").alias("c"), F.count_if(~F.col("linked")).alias("open")).where("c > 1 and open > 0").select("centre", "e", "c")
-    shared_ones = known.join(counts, ["centre", "e"])
-    # Differences in one order for all, rare ones first; those of one node alone come before all others.
-    each = Window.partitionBy("centre", "node")
-    placed_ones = shared_ones.withColumn("k", F.row_number().over(each.orderBy("c", "e"))).withColumn("s", F.count("*").over(each))
-    sizes = placed.select("node", "n").distinct()
-    entries = placed_ones.withColumn("left", F.col("s") - F.col("k")).join(sizes, "node").join(links.roots, "node")  # ``left``: behind this one
-    entries = stored(entries.select("centre", "e", "node", "n", "root", "linked", "d", "left"))
-    x = entries.select("centre", "e", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "linked", "d", "left")])
-    y = entries.select("centre", "e", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "linked", "d", "left")])
-    # Twice the least number of equal differences, times (100 + p).
-    needed = (F.col("d_x") + F.col("d_y")) * (100 + percent) - (F.col("n_x") + F.col("n_y")) * (100 - percent)
-    room = 2 * (100 + percent) * (1 + F.least("left_x", "left_y"))
-    both = x.join(y, ["centre", "e"]).where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & ~(F.col("linked_x") & F.col("linked_y")) & _near("n_x", "n_y", percent) & (room >= needed))
-    return stored(both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
-
-
-def _roots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) for the nodes of the buckets (bucket, node, n)."""
-    links = Links(members.select("node").distinct(), texts, width, percent)
-    for turn in range(STARS + 1):
-        members = links.apart(members)
-        if members.isEmpty():
-            return links.roots
-        members = members.select("bucket", "node", "n", "root")
-        star = _star(members, F.xxhash64("node", F.lit(turn), "bucket") if turn else F.col("node"))
-        pairs = star.where((F.col("root") != F.col("own")) & _near("n", "m", percent)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links.take(links.confirm(pairs))
-        members = members.drop("root")
-    placed = links.apart(members)
-    if not placed.isEmpty():
-        links.take(links.confirm(_left(placed, links, percent)))
-    return links.roots
+def _roots(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) of the linked nodes of groups (centre, node, n)."""
+    stars = _confirmed(groups.where("centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")), texts, width, percent, differences=True)
+    first = components(stars.where("linked").select("a", "b"))
+    placed = groups.join(first.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("centre", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("centre").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("centre")
+    placed = stored(placed.join(mixed, "centre"))
+    if placed.isEmpty():
+        return first
+    at_once, maybe = _settled(placed, stars, percent)
+    links = at_once.union(_confirmed(maybe, texts, width, percent).where("linked").select("a", "b"))
+    of = placed.select(F.col("node").alias("x"), "root").distinct()
+    links = links.join(of.withColumnRenamed("root", "ra"), F.col("a") == F.col("x")).drop("x").join(of.withColumnRenamed("root", "rb"), F.col("b") == F.col("x"))
+    links = stored(links.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if links.isEmpty():
+        return first
+    joined = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    # Roots that had no link before are nodes of their own.
+    known = first.union(joined.join(first, F.col("was") == F.col("node"), "left_anti").select("was", "was"))
+    return stored(known.join(joined, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")))
 
 
 def _grouped(docs: DataFrame, key: Column, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -186,18 +206,19 @@ def _grouped(docs: DataFrame, key: Column, width: int, percent: int, bands: int,
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), key.cast("long").alias("key"), text.alias("text"))
     signed = stored(map_batches(source, partial(_sign, width=width, bands=bands, rows=rows), SIGNED, _SIGNED))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = stored(buckets.join(full, "bucket").select("bucket", "node", "n"))
-    named = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "key")).alias("first"))
-    named = stored(named)
-    if members.isEmpty():
+    named = stored(signed.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "key")).alias("first"),
+    ))
+    groups = _groups(named.select("node", "n", F.explode("bands").alias("bucket")))
+    if groups.isEmpty():
         return signed, named.select("node", F.col("node").alias("root"), "least", "first")
-    wanted = named.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("h"))
+    # A centre need not be in its own group.
+    needed = groups.select("node").union(groups.select("centre")).distinct()
+    wanted = named.join(needed, "node", "left_semi").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("h"))
     texts = source.drop("key").join(wanted, source.doc_id.eqNullSafe(wanted.id) & (source.h == wanted.h)).select("node", "text")
     texts = stored(texts.dropDuplicates(["node"]))
-    roots = _roots(members, texts, width, percent)
+    roots = _roots(groups, texts, width, percent)
     return signed, named.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "first")
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from auditlake.llm import near_duplicates as near_duplicates_module
 from auditlake.llm.components import components
 from auditlake.llm.near_duplicates import near_duplicates, one_permutation
 from auditlake.llm.shingles import distinct, mix
@@ -86,3 +87,46 @@ def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 40)] + [(500, 501), (501, 500)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 40)} | {500: 500, 501: 500}
+
+
+def template(rng, common, n, own):
+    """Texts on one template, ``own`` words of their own put in anywhere."""
+    texts = []
+    for _ in range(n):
+        words = list(common)
+        for _ in range(own):
+            words.insert(rng.randrange(len(words)), f"o{rng.randrange(10**9)}")
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_unlinked_texts_of_one_template_form_few_pairs(docs_of, monkeypatch):
+    rng, compared = random.Random(8), []
+    common = [f"c{rng.randrange(10**6)}" for _ in range(150)]
+    one = near_duplicates_module._confirmed
+    monkeypatch.setattr(near_duplicates_module, "_confirmed", lambda pairs, *a, **k: compared.append(pairs.count()) or one(pairs, *a, **k))
+    texts = template(rng, common, 300, 12)
+    got = near_duplicates(docs_of(texts), width=4)
+    assert got.where("kept").count() == 300
+    assert 0 < sum(compared) < 3 * 300
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_variants_of_a_template(docs_of, seed):
+    """Two variants of one template with copies at all distances round the bound, sizes that differ, and chains of edits."""
+    rng = random.Random(seed)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(100)]
+    variant = list(common)
+    for k in range(30, 36):
+        variant[k] = f"v{k}"
+    texts = []
+    for base in (common, variant, common[:85]):
+        for own in (0, 1, 2, 3, 4, 6):
+            texts += template(rng, base, 8, own)
+    chain = list(common)
+    for k in range(12):
+        chain[rng.randrange(100)] = f"z{k}"
+        texts.append(" ".join(chain))
+    rng.shuffle(texts)
+    got = near_duplicates(docs_of(texts), width=4).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(list(enumerate(texts)))
