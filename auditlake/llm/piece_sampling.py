@@ -4,8 +4,10 @@ A text is its UTF-8 bytes, a space standing for the piece mark, so nothing is no
 that no piece covers is spelt in byte pieces, as is the piece mark itself. No piece reaches over a cut (before the spaces behind
 another character, and around line ends), so the cuts' segments are lattices of their own, and equal ones are filtered once.
 
-Forward: a trie finds all pieces from every byte on, all segments at once; the log mass of a node is the sum over the pieces
-that end there. Backward: from each segment's end a piece is drawn by its share of the node's mass, with a uniform number
+Forward: a trie finds all pieces from every byte on, all segments at once. Within a segment, places that no piece found runs over
+are cuts as well, so text without blanks falls into short parts; the log mass of a node, from the cut before it on, is the sum over
+the pieces that end there. All parts move in rounds of arrays, but for parts of more than LONG bytes, which a plain loop takes
+from piece to piece. Backward: from each part's end a piece is drawn by its share of the node's mass, with a uniform number
 made from the seed, the row's key and the node's byte position. So a row's result doesn't depend on batches or tasks.
 
 A piece's log weight is ``alpha`` times its log probability: the score of a unigram model; for other models, whose scores
@@ -14,6 +16,7 @@ are only merge ranks, minus the log of the rank (Zipf's law).
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import lru_cache, partial
 
@@ -26,6 +29,7 @@ from auditlake.llm.common import BATCH_BYTES, map_batches, small_batches
 from auditlake.llm.shingles import mix
 
 CHUNK = 1 << 21
+LONG = 512  # bytes of a part without cuts from which on a plain loop beats rounds of arrays
 ALPHA = 1.0
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -173,28 +177,38 @@ class Lattices:
         start, ids, length = (np.concatenate(x) for x in (froms, ids, lengths))
         weight = np.where(ids >= 0, pieces.weight[np.maximum(ids, 0)], pieces.byte_weight * length)
         stop = start + length
-        # Nodes by their place in the segment, so that each round needs only earlier ones.
-        place = np.arange(n) - np.repeat(self.first, sizes + 1)
-        order = np.lexsort((stop, place[stop]))
+        # No piece runs over a cut, so all segmentations meet there and the parts between cuts are filtered by themselves.
+        crossed = np.cumsum(np.bincount(start + 1, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:n] > 0
+        cut = ~crossed
+        self.cuts = np.flatnonzero(cut)
+        part = np.searchsorted(self.cuts, stop) - 1  # the part that a piece is in, by the cut before its end
+        size = np.diff(self.cuts, append=n)[part]
+        long = size > LONG
+        # Pieces by their end's place in the part, so that each round needs only earlier ones; those of long parts one by one.
+        order = np.lexsort((stop, np.where(long, 0, stop - self.cuts[part]), long))
         start, stop, ids, weight = start[order], stop[order], ids[order], weight[order]
+        place, quick = (stop - self.cuts[part[order]]), len(start) - int(long.sum())
         mass = np.full(n, -np.inf)
-        mass[self.first] = 0.0
+        mass[cut] = 0.0
         share = np.empty(len(start))
-        rounds = np.flatnonzero(np.diff(place[stop], prepend=-1))
+        rounds = np.flatnonzero(np.diff(place[:quick], prepend=-1))
         heads = np.flatnonzero(np.diff(stop, prepend=-1))
-        where = np.searchsorted(heads, [*rounds, len(start)])
-        for r, (a, b) in enumerate(zip(rounds.tolist(), [*rounds[1:].tolist(), len(start)])):
+        where = np.searchsorted(heads, [*rounds, quick])
+        for r, (a, b) in enumerate(zip(rounds.tolist(), [*rounds[1:].tolist(), quick])):
             h = heads[where[r] : where[r + 1]] - a
             value = mass[start[a:b]] + weight[a:b]
             top = np.maximum.reduceat(value, h)
             many = np.diff(h, append=b - a)
-            part = np.exp(value - np.repeat(top, many))
-            total = np.add.reduceat(part, h)
-            mass[stop[a:b][h]] = top + np.log(total)
-            share[a:b] = part / np.repeat(total, many)
-        self.mass, self.start, self.stop, self.id = mass, start, stop, ids
+            each = np.exp(value - np.repeat(top, many))
+            total = np.add.reduceat(each, h)
+            ends = stop[a:b][h]
+            mass[ends] = np.where(cut[ends], 0.0, top + np.log(total))
+            share[a:b] = each / np.repeat(total, many)
+        if quick < len(start):
+            share[quick:] = _filter_one_by_one(start[quick:], stop[quick:], weight[quick:], cut)
+        self.start, self.id, self.quick, self.long_stop = start, ids, quick, stop[quick:]
         # For each node its pieces, with the running share up to each.
-        self.edge = np.zeros(n, np.int64)
+        self.edge = np.full(n, -1, np.int64)
         self.edge[stop[heads]] = heads
         running = np.cumsum(share)
         counts = np.diff(heads, append=len(start))
@@ -202,10 +216,37 @@ class Lattices:
         self.upto[np.append(heads[1:], len(start))[: len(heads)] - 1] = 2.0  # the last piece takes what rounding leaves
 
 
+def _filter_one_by_one(start: np.ndarray, stop: np.ndarray, weight: np.ndarray, cut: np.ndarray) -> list[float]:
+    """The pieces' shares at their ends for parts too long for rounds; pieces come by their ends, each with few others."""
+    froms, ends, weights = start.tolist(), stop.tolist(), weight.tolist()
+    mass: dict[int, float] = {}
+    shares: list[float] = []
+    i, n, exp, log = 0, len(ends), math.exp, math.log
+    while i < n:
+        end, j = ends[i], i
+        values = []
+        while j < n and ends[j] == end:
+            values.append(mass.get(froms[j], 0.0) + weights[j])  # a part's first node has 0
+            j += 1
+        top = max(values)
+        parts = [exp(v - top) for v in values]
+        total = sum(parts)
+        shares += [p / total for p in parts]
+        if not cut[end]:
+            mass[end] = top + log(total)
+        i = j
+    return shares
+
+
+def _uniform(key: np.ndarray, position: np.ndarray) -> np.ndarray:
+    return (mix(key ^ mix(position.astype(np.uint64) * _STEP)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 def sample(data: np.ndarray, begin: np.ndarray, key: np.ndarray, offset: np.ndarray, pieces: Pieces) -> np.ndarray:
     """For each byte the id of the piece that ends with it, or -1.
 
     ``begin`` are the segments' first bytes, ``key`` and ``offset`` each segment's row key and its byte position in the row.
+    A walk goes back from the end of each part between cuts; those of long parts go one after another.
     """
     raw = data.tobytes()
     ends = np.append(begin[1:], len(data))
@@ -213,29 +254,58 @@ def sample(data: np.ndarray, begin: np.ndarray, key: np.ndarray, offset: np.ndar
     which = np.array([distinct.setdefault(raw[s:e], len(distinct)) for s, e in zip(begin.tolist(), ends.tolist())], np.int64)
     lattices = Lattices(list(distinct), pieces)
     first = lattices.first[which]
-    node = lattices.last[which]
+    low, high = np.searchsorted(lattices.cuts, first), np.searchsorted(lattices.cuts, lattices.last[which])
+    parts = high - low
+    segment = np.repeat(np.arange(len(begin)), parts)
+    nth = np.arange(len(segment)) - np.repeat(np.cumsum(parts) - parts, parts) + low[segment]
+    bottom, node = lattices.cuts[nth], lattices.cuts[nth + 1]
     out = np.full(len(data), -1, np.int64)
-    lane = np.arange(len(begin))
+
+    def put(end: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        normal = ids >= 0
+        out[end[normal]] = ids[normal]
+        for e, n in zip(end[~normal].tolist(), size[~normal].tolist()):
+            out[e - n + 1 : e + 1] = pieces.byte_id[data[e - n + 1 : e + 1]]
+
+    long = node - bottom > LONG
+    for s, b, t in zip(segment[long].tolist(), bottom[long].tolist(), node[long].tolist()):
+        nodes, taken = _walk(lattices, b, t, _uniform(key[s], offset[s] + np.arange(b, t + 1) - first[s]).tolist())
+        starts = lattices.start[taken]
+        put(begin[s] + nodes - first[s] - 1, nodes - starts, lattices.id[taken])
+    lane = np.flatnonzero(~long)
+    node = node[lane]
     while len(lane):
-        place = node - first[lane]
-        u = (mix(key[lane] ^ mix((offset[lane] + place).astype(np.uint64) * _STEP)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        s = segment[lane]
+        place = node - first[s]
+        u = _uniform(key[s], offset[s] + place)
         edge = lattices.edge[node]
         more = np.flatnonzero(lattices.upto[edge] <= u)
         while len(more):
             edge[more] += 1
             more = more[lattices.upto[edge[more]] <= u[more]]
-        ids, start = lattices.id[edge], lattices.start[edge]
-        end = begin[lane] + place - 1
-        normal = ids >= 0
-        out[end[normal]] = ids[normal]
-        for e, size in zip(end[~normal].tolist(), (node - start)[~normal].tolist()):
-            out[e - size + 1 : e + 1] = pieces.byte_id[data[e - size + 1 : e + 1]]
-        node = start
-        go = node > first[lane]
-        lane, node = lane[go], node[go]
+        start = lattices.start[edge]
+        put(begin[s] + place - 1, node - start, lattices.id[edge])
+        go = start > bottom[lane]
+        lane, node = lane[go], start[go]
     return out
 
 
+def _walk(lattices: Lattices, bottom: int, node: int, u: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, pieces taken there) from the end of a part back to its beginning; ``u`` by node from the beginning on."""
+    # The pieces of a long part lie behind one another.
+    low, high = (lattices.quick + np.searchsorted(lattices.long_stop, [bottom, node], side="right")).tolist()
+    edge, upto, start = lattices.edge[bottom + 1 : node + 1].tolist(), lattices.upto[low:high].tolist(), lattices.start[low:high].tolist()
+    nodes, taken = [], []
+    while node > bottom:
+        e = edge[node - bottom - 1] - low
+        while upto[e] <= u[node - bottom]:
+            e += 1
+        nodes.append(node)
+        taken.append(e + low)
+        node = start[e]
+    return np.array(nodes, np.int64), np.array(taken, np.int64)
+
+
 def sample_all(texts: list[bytes], keys: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
     """The sampled ids of each text; ``keys`` are 64-bit numbers that seed the rows."""
     data = np.frombuffer(b"".join(texts), np.uint8)
