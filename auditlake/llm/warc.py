@@ -1,9 +1,11 @@
 """WARC derivatives: each response gives a metadata record and a plain-text conversion record, both linked to it.
 
-A response is a row (key, target_uri, date, status, headers, payload). Its record is rebuilt here only to know its id,
-block and digests; the files hold the derivatives. Both name the response in WARC-Refers-To and repeat its target,
-date and payload digest; the metadata record's fields hold the source's headers and digests and name the
-conversion. Ids are version-5 UUIDs of the response's content, so a repeated task writes the same records. Every
+A response is a row (key, target_uri, date, status, headers, payload), and where its record is known also record_id,
+block_digest, payload_digest and reason; these are kept as they are. Only what is missing is built: an id from the
+response's content, digests from a block of status line, headers and payload. The files hold the derivatives. Both name the
+response in WARC-Refers-To and repeat its target, date and payload digest; the metadata record's fields hold the source's
+status line, headers and digests and name the conversion. Ids made here are version-5 UUIDs of the source's id, so a repeated task
+writes the same records. Every
 record is a gzip member of its own. Files are written by the tasks to the shared folder and named in a manifest that Spark
 commits, then read back by Spark, with every digest and length verified.
 """
@@ -19,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from http import HTTPStatus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +29,13 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import small_batches
 from auditlake.session import shared_dir
+from auditlake.sources.files import open_folder, qualified
 
 FILE_BYTES = 16 << 20
 READ = 1 << 12  # bytes; most records take one or two
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 DATE = "1970-01-01T00:00:00Z"
+OWN = ("record_id", "block_digest", "payload_digest", "reason")
 HEADERS = "Content-Type: text/html; charset=utf-8"
 
 # A head goes on as long as tags follow that can stand in it, and ends there if </head> is left out. One of its elements
@@ -71,18 +76,27 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def derivatives(key, uri, date, status, headers: str | None, payload: str | None) -> list[bytes]:
-    """The metadata and the conversion record of one response."""
+def reason_of(status) -> str:
+    try:
+        return HTTPStatus(int(status)).phrase
+    except ValueError:
+        return ""
+
+
+def derivatives(key, uri, date, status, headers: str | None, payload: str | None, own_id: str | None = None, own_block: str | None = None, own_payload: str | None = None, reason: str | None = None) -> list[bytes]:
+    """The metadata and the conversion record of one response; ``own_...`` and ``reason`` are its record's, if known."""
+    status = status or 200
+    reason = reason_of(status) if reason is None else clean(reason)
     body = (payload or "").encode("utf-8", "surrogatepass")
     fields = [line for line in (headers or "").splitlines() if line.strip()]
-    http = (f"HTTP/1.1 {status or 200} OK\r\n" + "".join(f"{clean(f)}\r\n" for f in fields) + f"Content-Length: {len(body)}\r\n\r\n").encode()
-    source_block, source_payload, date = digest(http + body), digest(body), date or DATE
-    source = record_id("response", key, uri, date, source_block)
+    http = (f"HTTP/1.1 {status} {reason}\r\n" + "".join(f"{clean(f)}\r\n" for f in fields) + f"Content-Length: {len(body)}\r\n\r\n").encode()
+    source_block, source_payload, date = own_block or digest(http + body), own_payload or digest(body), date or DATE
+    source = own_id or record_id("response", key, uri, date, source_block)
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     text = plain_text(payload or "").encode("utf-8", "surrogatepass")
     about = [
         ("source-record-id", source), ("source-block-digest", source_block), ("source-payload-digest", source_payload),
-        ("source-http-status", status or 200), *[("source-header", f) for f in fields], ("source-content-length", len(http) + len(body)),
+        ("source-http-status", status), ("source-http-reason", reason), *[("source-header", f) for f in fields], ("source-content-length", len(http) + len(body)),
         ("derived-conversion", text_id), ("derived-block-digest", digest(text)), ("row-key", "" if key is None else key),
     ]
     block = "".join(f"{k}: {clean(v)}\r\n" for k, v in about).encode()
@@ -95,9 +109,7 @@ def derivatives(key, uri, date, status, headers: str | None, payload: str | None
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    store, root = open_folder(folder)
     store.create_dir(root)
     held, size = [], 0
 
@@ -120,11 +132,15 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 
 def write_derivatives(responses: DataFrame, folder: str) -> DataFrame:
-    """Write the derivatives of (key, target_uri, date, status, headers, payload) rows; returns the stored manifest."""
-    small_batches(responses.sparkSession)
-    made = responses.select(*[F.col(c).cast("string") for c in ("key", "target_uri", "date", "status", "headers", "payload")])
+    """Write the derivatives of (key, target_uri, date, status, headers, payload) rows, the columns ``OWN`` kept where there are such;
+    returns the stored manifest."""
+    spark = responses.sparkSession
+    small_batches(spark)
+    folder = qualified(spark, folder)  # tasks and Spark's own readers must mean the same place
+    own = [(F.col(c) if c in responses.columns else F.lit(None)).cast("string").alias(c) for c in OWN]
+    made = responses.select(*[F.col(c).cast("string") for c in ("key", "target_uri", "date", "status", "headers", "payload")], *own)
     made.mapInArrow(partial(_write, folder=f"{folder}/files"), "name string, n_records long").write.parquet(f"{folder}/manifest")
-    return responses.sparkSession.read.schema("name string, n_records long").parquet(f"{folder}/manifest")
+    return spark.read.schema("name string, n_records long").parquet(f"{folder}/manifest")
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -187,7 +203,7 @@ def warc_derivatives(responses: DataFrame) -> DataFrame:
     """All derivative records, written to the shared folder and read back.
 
     A null payload is an empty one and gives an empty conversion; a null target leaves its header out; a null key
-    stays null; a null status is 200 and a null date the default. Equal rows give equal records, one pair for each row. An
+    stays null; a null status is 200, a null date the default, a null reason the status's usual one, and a null id or digest is built. Equal rows give equal records, one pair for each row. An
     empty table gives no rows. Other columns are not read.
     """
     spark = responses.sparkSession
