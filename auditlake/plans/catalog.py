@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import rules, text
 from auditlake.operators import (
-    audit_log, code_scan, ignore_audit, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, verdict,
+    audit_log, code_scan, ignore_audit, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, vector_index, verdict,
 )
 from auditlake.operators.scan import scan, scan_snippets, scan_source
 from auditlake.plans import derive
@@ -323,6 +323,22 @@ def knn_cosine(spark, d):
     return _flat_hits(retrieval.knn_cosine(derive.vectors(spark, d), derive.label_vectors(spark, d), 5))
 
 
+def _indexed(spark, d, exact: bool) -> DataFrame:
+    """Every row whose id is divisible by 20 asks all rows."""
+    vectors = derive.vectors(spark, d)
+    asked = vectors.filter(F.col("ord") % 20 == 0).withColumnRenamed("ord", "query_id")
+    return _flat_hits(vector_index.knn_indexed(vector_index.build_index(vectors), asked, 6, exact=exact))
+
+
+def knn_ann(spark, d):
+    """By the cells that hold the asked share of neighbours; no SQL, as a few are missed."""
+    return _indexed(spark, d, exact=False)
+
+
+def knn_indexed(spark, d):
+    return _indexed(spark, d, exact=True)
+
+
 def prompt_context_topk(spark, d):
     """Every prompt is a query, the benchmark items are the context documents."""
     context = derive.queries(spark, d).withColumnsRenamed({"query_id": "ord", "text": "content"})
@@ -443,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "keyword_documents": keyword_documents,
     "doc_count": doc_count,
     "knn_cosine": knn_cosine,
+    "knn_ann": knn_ann,
+    "knn_indexed": knn_indexed,
     "prompt_context_topk": prompt_context_topk,
     "audit_lookup": audit_lookup,
     "audit_history": audit_history,

@@ -343,6 +343,13 @@ KNN = (
     "SELECT query_id, ord, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ord) AS rank FROM scored QUALIFY rank <= 5"
 )
 
+KNN_ROWS = (
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+    "scored AS (SELECT q.vec_id AS query_id, e.vec_id AS ord, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS cosine "
+    "FROM e q, e WHERE q.vec_id % 20 = 0) "
+    "SELECT query_id, ord, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ord) AS rank FROM scored QUALIFY rank <= 6"
+)
+
 
 def _placed(name: str) -> str:
     return f"SELECT prompt_id, CAST(seq AS BIGINT) AS seq, CAST(sub AS BIGINT) AS sub, {DETAILS} FROM {name}"
@@ -441,6 +448,7 @@ ORACLE: dict[str, str] = {
     f"FROM ({_keyword(DOCS, BENCHMARK, 1)}) k JOIN documents d ON d.doc_id = k.ord",
     "doc_count": "SELECT count(*) AS n_docs FROM documents",
     "knn_cosine": KNN,
+    "knn_indexed": KNN_ROWS,
     "prompt_context_topk": _keyword(CONTEXT, ACCEPTED_SQL, 3),
     "audit_lookup": with_(AUDIT, FLAT + " WHERE prompt_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')"),
     "audit_history": with_(
