@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import map_batches
-from auditlake.llm.units import tokenizer, unit_cache
+from auditlake.llm.units import MAX_ADDED, check_tokenizer, tokenizer, unit_cache
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 9
-MARGIN = 32
+MARGIN = MAX_ADDED
 
 
 def encode_chunk(path: str, text: str) -> tuple[int, dict[int, int]]:
@@ -75,8 +75,9 @@ def token_counts(docs: DataFrame, path: str, doc_id: Column | None = None, text:
 
     A null text counts as empty: no bytes, no tokens. Null and repeated ids stay as they are, one row each. Other
     columns are not read, whatever their names. Strings of added tokens inside a text count as the library's
-    default has it. The tokenizer's pattern must start afresh behind each pre-token, as byte-level ones do.
+    default has it. The tokenizer's pattern must start afresh behind each pre-token, as byte-level ones do; others are refused.
     """
+    check_tokenizer(path)
     text = (F.col("text") if text is None else text).cast("string")
     rows = docs.select((F.col("doc_id") if doc_id is None else doc_id).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text).cast("long"), F.lit(0)).alias("n_bytes"), text.alias("text"))
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])

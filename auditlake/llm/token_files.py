@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import BATCH_BYTES, small_batches
-from auditlake.llm.units import ids_of, tokenizer, unit_cache
+from auditlake.llm.units import check_tokenizer, ids_of, tokenizer, unit_cache
 from auditlake.session import shared_dir
+from auditlake.sources.files import open_folder, qualified
 
 MAGIC = b"RANKVB01"
 TEXT_BYTES_PER_FILE = 16 << 20
@@ -116,10 +117,9 @@ def unpack(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Writes the files of one partition, whose rows come in order, and returns a row for each file."""
-    from pyarrow import fs
     from pyspark import TaskContext
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    store, root = open_folder(folder)
     store.create_dir(root)
     narrow = tokenizer(path).get_vocab_size() <= 1 << 16
     cache = unit_cache(path, "H" if narrow else "I")
@@ -161,7 +161,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0, files
     name and named in the manifest only by the attempt that Spark commits, so lost executors and repeated tasks leave
     orphans but no wrong rows. An empty table gives an empty manifest.
     """
+    check_tokenizer(path)
     spark = docs.sparkSession
+    folder = qualified(spark, folder)  # tasks and Spark's own readers must mean the same place
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if files is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0

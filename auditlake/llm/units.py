@@ -10,9 +10,12 @@ are found within units as in the whole text.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -21,11 +24,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Letters, other marks but the apostrophe, and the same once more behind a line end: each of these ends a token of the
-#: pattern, whatever stands beside it, so such a unit is the sum of its pieces.
-PIECES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16})(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,16}))?")
+#: pattern, whatever stands beside it, so such a unit is the sum of its pieces. Written for Arrow's regular expressions.
+PIECES = r"\A(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]{1,64})(?P<b>[!-&(-/:-@\[-`{-~]{0,16})(?:(?P<c>\n)(?P<d>[A-Za-zÀ-ÖØ-öø-ÿ]{1,64})(?P<e>[!-&(-/:-@\[-`{-~]{0,16}))?\z"
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MAX_CACHED = 700_000
 MAX_UNIT = 64
+MAX_ADDED = 32  # characters of an added token, the least margin of a chunk
 
 
 def _byte_chars() -> dict[int, str]:
@@ -50,11 +54,27 @@ def tokenizer(path: str):
     return loaded
 
 
+def check_tokenizer(path: str) -> None:
+    """Raise unless the file is one whose texts may be cut as said above."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    pre = made.get("pre_tokenizer") or {}
+    bytes_alone = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    added = [t for t in made.get("added_tokens") or [] if len(t["content"]) >= MAX_ADDED or any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if not bytes_alone or made.get("normalizer") or made.get("truncation") or added:
+        raise ValueError(f"{path}: needs a byte-level pre-tokenizer with its own pattern, no normalizer, and added tokens without blanks, of fewer than {MAX_ADDED} characters")
+
+
 def clean(unit: str) -> bool:
     """Whether a space before and behind the unit is a safe cut."""
     return unit != "" and not unit[0].isspace() and not unit[-1].isspace()
 
 
+def _strings(array: pa.Array) -> list:
+    """As ``to_pylist``, without an Arrow scalar for each value."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitCache:
     """What ``of(ids)`` makes of every unit met lately: at most twice MAX_CACHED results between batches.
 
@@ -85,8 +105,8 @@ class UnitCache:
         units = cuts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds -= bounds[0]
         places = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = units.dictionary.to_pylist()
-        results, unsafe = self._results(words)
+        words = _strings(units.dictionary)
+        results, unsafe = self._results(units.dictionary, words)
         first = bounds[:-1]
         heads = [words[i] for i in places[first].tolist()]
         bad = unsafe[places]
@@ -99,7 +119,7 @@ class UnitCache:
         places[first] = len(words) + 1 + np.arange(len(heads))
         return [*results, self.none, *(encoded[h] for h in heads)], places, bounds
 
-    def _results(self, words: list[str]) -> tuple[list, np.ndarray]:
+    def _results(self, units: pa.Array, words: list[str]) -> tuple[list, np.ndarray]:
         """What the units are, each behind a space, and which are unsafe; those are nothing."""
         if len(self.known) > MAX_CACHED:
             self.older, self.known = self.known, {}
@@ -108,44 +128,58 @@ class UnitCache:
         known, older, bare = self.known, self.older, self.bare
         found = list(map(known.get, words))
         unsafe = np.zeros(len(words), bool)  # none that is known
-        letters, long, pieces, holes = set(), [], [], []
-        for i, (u, r) in enumerate(zip(words, found)):
-            if r is not None:
-                continue
-            old = older.get(u)
-            if old is not None:
-                found[i] = known[u] = old
-                continue
-            letter = u.isalpha()
-            if not letter and not clean(u):
-                found[i], unsafe[i] = self.none, True
-                continue
-            holes.append(i)
-            if letter and len(u) <= MAX_UNIT:
-                letters.add(u)
-            elif len(u) > MAX_UNIT:
-                long.append(u)
-            elif m := PIECES.fullmatch(u):
-                pieces.append((u, m.groups("")))
-                if m[1] not in known:
-                    letters.add(m[1])
-            else:
-                letters.add(u)
-        if self.model:
-            plain = set(filter(LETTERS.fullmatch, letters))
-            tokenize, of = self.model.tokenize, self.of
-            known.update((u, of([t.id for t in tokenize((" " + u).encode().decode("latin-1").translate(BYTE_CHARS))])) for u in plain)
-            letters -= plain
-        known.update(self._encoded(letters, " "))
-        bare.update(self._encoded({x for _, m in pieces for x in m[1:]}.difference(bare), ""))
-        for u, (a, b, c, d, e) in pieces:
-            known[u] = known[a] + bare[b] + bare[c] + bare[d] + bare[e] if c else known[a] + bare[b]
-        passing = self._encoded(long, " ")
+        holes = [i for i, r in enumerate(found) if r is None]
+        if older:
+            for i in holes:
+                if (old := older.get(words[i])) is not None:
+                    found[i] = known[words[i]] = old
+            holes = [i for i in holes if found[i] is None]
+        if not holes:
+            return found, unsafe
+        letters = [u for i in holes if len(u := words[i]) <= MAX_UNIT and u.isalpha()]
+        self._learn_letters(letters)  # by themselves, the most frequent kind
         for i in holes:
+            found[i] = known.get(words[i])
+        holes = [i for i in holes if found[i] is None]
+        pieces = pc.extract_regex(units.take(pa.array(holes, pa.int64())), PIECES)
+        columns = [_strings(pieces.field(c)) for c in "abcde"]
+        whole = pc.is_valid(pieces).to_numpy(zero_copy_only=False).tolist()
+        a, b, c, d, e = columns
+        self._learn_letters(list({x for x, ok in zip(a, whole) if ok}.difference(known)))
+        bare.update(self._encoded({x for part in (b, c, d, e) for x, ok in zip(part, whole) if ok}.difference(bare), ""))
+        rest = []
+        for i, ok, x, y, z, v, w in zip(holes, whole, a, b, c, d, e):
+            if not ok:
+                rest.append(i)
+                continue
+            r = known[x]
+            if y:
+                r = r + bare[y]
+            if z:
+                r = r + bare[z] + bare[v] + bare[w]
+            found[i] = r
             u = words[i]
-            found[i] = passing[u] if len(u) > MAX_UNIT else known[u]
+            if len(u) <= MAX_UNIT:
+                known[u] = r
+        if rest:
+            safe = [i for i in rest if clean(words[i])]
+            unsafe[rest] = True
+            unsafe[safe] = False
+            encoded = self._encoded({words[i] for i in safe}, " ")
+            known.update((u, r) for u, r in encoded.items() if len(u) <= MAX_UNIT)
+            for i in rest:
+                found[i] = encoded.get(words[i], self.none)
         return found, unsafe
 
+    def _learn_letters(self, letters: list[str]) -> None:
+        """Put words of letters alone, behind a space, into ``known``."""
+        if self.model:
+            tokenize, of, mark = self.model.tokenize, self.of, BYTE_CHARS[0x20]
+            plain = [u for u in letters if u.isascii() or LETTERS.fullmatch(u)]
+            self.known.update((u, of([t.id for t in tokenize(mark + u if u.isascii() else (" " + u).encode().decode("latin-1").translate(BYTE_CHARS))])) for u in plain)
+            letters = [u for u in letters if u not in self.known]
+        self.known.update(self._encoded(letters, " "))
+
     def _encoded(self, units, before: str, step: int = 4096) -> dict:
         known, units = {}, list(units)
         for at in range(0, len(units), step):
@@ -155,6 +189,8 @@ class UnitCache:
 
 
 def _packed(code: str) -> Callable[[list[int]], bytes]:
+    if sys.byteorder == "little":
+        return lambda ids: array(code, ids).tobytes()
     return lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
 
 
