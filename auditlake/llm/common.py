@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,25 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
+    for noted in _RECORDING:
+        noted.append(back)
     return back
 
 
+_RECORDING: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """What is stored within, to be released once nothing that was made of it is read any more."""
+    steps: list[DataFrame] = []
+    _RECORDING.append(steps)
+    try:
+        yield steps
+    finally:
+        _RECORDING.remove(steps)
+
+
 def release(*steps: DataFrame) -> None:
     """Delete the files of ``stored`` rows that nothing reads any more; rows that were not stored are left alone."""
     for df in steps:

@@ -182,9 +182,9 @@ def _spans(columns: dict, windows: Windows) -> dict:
     return {**{k: columns[k] for k in ("row", "doc_id", "key")}, "n_words": np.diff(first), "starts": starts, "ends": ends, "items": items}
 
 
-SPANS = "row long, doc_id long, key long, n_words long, starts array<long>, ends array<long>, items array<string>"
+SPANS = "row long, doc_id long, key string, n_words long, starts array<long>, ends array<long>, items array<string>"
 _LONGS = pa.list_(pa.int64())
-_FIELDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("starts", _LONGS), ("ends", _LONGS), ("items", pa.list_(pa.string()))])
+_FIELDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.string()), ("n_words", pa.int64()), ("starts", _LONGS), ("ends", _LONGS), ("items", pa.list_(pa.string()))])
 
 
 def _merge(columns: dict) -> dict:
@@ -207,13 +207,13 @@ def window_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
     The benchmark is measured. Up to ``block_bytes`` of text it goes to the tasks whole; beyond, it is cut by hash into blocks
     of about that size, each searched in a pass of its own, and the runs of a row are joined. Null texts have no words;
-    items without words are left out, and those without an id are searched but named nowhere in ``items``; an empty table on either side gives no rows or no hits. ``key`` names a whole-number
-    column of ``docs`` to be carried, else it is null.
+    items without words are left out, and those without an id are searched but named nowhere in ``items``; an empty table on either side gives no rows or no hits. ``key`` names a
+    column of ``docs`` to be carried as text, else it is null.
     """
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.col(key) if key else F.lit(None)).cast("string").alias("key"), F.col("text").cast("string").alias("text"))
     if blocks > 1:
         rows = stored(rows)
     spark, passes = docs.sparkSession, []

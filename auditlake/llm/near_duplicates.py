@@ -84,8 +84,8 @@ def _sign(columns: dict, width: int, bands: int, rows: int) -> dict:
     return {**{c: columns[c] for c in ("doc_id", "h", "key")}, "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "bands": keys}
 
 
-SIGNED = "doc_id long, h long, key long, n_shingles long, node binary, bands array<long>"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, h long, key string, n_shingles long, node binary, bands array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("key", pa.string()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _confirm(columns: dict, width: int, percent: int, differences: bool) -> dict:
@@ -204,7 +204,7 @@ def _grouped(docs: DataFrame, key: Column, width: int, percent: int, bands: int,
     """(doc_id, h, key, n_shingles, node, bands) per row, and (node, root, least, first) per node: its least id, and its least row
     by id, nulls last, text hash and key."""
     text = F.col("text").cast("string")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), key.cast("long").alias("key"), text.alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), key.cast("string").alias("key"), text.alias("text"))
     signed = stored(map_batches(source, partial(_sign, width=width, bands=bands, rows=rows), SIGNED, _SIGNED))
     named = stored(signed.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
@@ -232,13 +232,25 @@ def first_keys(docs: DataFrame, key: str, width: int = 5, percent: int = 80, ban
     return firsts.union(signed.where(F.col("node").isNull()).select("key"))
 
 
+def later_keys(docs: DataFrame, key: str, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key) of all rows but one for each component: the least by id, nulls last, text hash and key is not given, nor are rows
+    without shingles.
+
+    ``key`` names a column of ``docs`` whose values are different in all rows and not null.
+    """
+    signed, whole = _grouped(docs, F.col(key), width, percent, bands, rows)
+    firsts = whole.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.key").alias("kept"))
+    of_node = whole.select("node", "root").join(firsts, "root").select("node", "kept")
+    return signed.where(F.col("node").isNotNull()).select("node", "key").join(of_node, "node").where("key != kept").select(F.col("key").alias(key))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; see the module for the method.
 
     A null text or one without words has no shingles, is linked with nothing and is its own component. Rows
     with equal sets are linked, so repeated rows share a component; a repeated id names one document. component_id is the
     smallest id that is not null, or null if there is none; kept says whether the row's id equals it, so all rows of that id
-    are kept (``first_keys`` gives one row). An empty table gives no rows. Other columns are not read.
+    are kept (``later_keys`` leaves one row). An empty table gives no rows. Other columns are not read.
     """
     signed, whole = _grouped(docs, F.lit(None), width, percent, bands, rows)
     ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
