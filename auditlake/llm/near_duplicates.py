@@ -222,16 +222,6 @@ def _grouped(docs: DataFrame, key: Column, width: int, percent: int, bands: int,
     return signed, named.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "first")
 
 
-def first_keys(docs: DataFrame, key: str, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key) of one row for each component: the least by id, nulls last, text hash and key. Rows without shingles are all given.
-
-    ``key`` names a column of ``docs`` whose values are different in all rows.
-    """
-    signed, whole = _grouped(docs, F.col(key), width, percent, bands, rows)
-    firsts = whole.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
-    return firsts.union(signed.where(F.col("node").isNull()).select("key"))
-
-
 def later_keys(docs: DataFrame, key: str, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key) of all rows but one for each component: the least by id, nulls last, text hash and key is not given, nor are rows
     without shingles.

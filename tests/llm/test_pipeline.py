@@ -1,9 +1,13 @@
+import hashlib
 import random
 from ast import literal_eval
 from collections import defaultdict
+from pathlib import Path
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from llm.test_near_duplicates import brute as near_brute
 from llm.test_rules_and_sites import measured
@@ -130,3 +134,43 @@ def test_rows_of_null_and_repeated_ids_are_judged_one_by_one(spark, edges, corpu
     hit = {r["doc_id"] for r in contamination(alone, spark.read.parquet(f"{folder}/benchmark.parquet")).where("contaminated").collect()}
     got = [int(r["source"][1:]) for r in stages["decontamination"](spark, docs, folder).collect()]
     assert sorted(got) == sorted(set(range(len(rows))) - hit) and len(hit) == 2
+
+
+def test_suffix_stage_on_edge_rows(spark, edge_docs, edges, corpus):
+    """Rows in order of id, nulls first, then of the text's digest; of equal rows the first stands."""
+    folder, _ = corpus
+    got = dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, edge_docs.select(*COLUMNS), folder).collect()
+    seen, want = set(), []
+    for i, text in sorted(edges, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest())):
+        raw, gone = (text or "").encode(), set()
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone.update(range(p, p + 100))
+            seen.add(raw[p : p + 100])
+        want.append((i, bytes(b for p, b in enumerate(raw) if p not in gone).decode("utf-8", "ignore")))
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(repr, want))
+    assert all(r["n_chars"] == len(r["text"]) and r["lang"] == "en" for r in got)
+
+
+def test_piece_stage_on_edge_rows(spark, edge_docs, edges, corpus):
+    folder, _ = corpus
+    got = dict(corpus_pipeline.STAGES)["pieces"](spark, edge_docs.select(*COLUMNS), folder).collect()
+    model = SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.PIECES))
+
+    def spelt(ids):
+        raw = b"".join(bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace("\u2581", " ").encode() for i in ids for p in [model.id_to_piece(i)])
+        return raw.decode()
+
+    assert sorted(map(repr, ((r["doc_id"], spelt(r["ids"]), r["n_pieces"] == len(r["ids"]), r["lossless"]) for r in got))) == sorted(repr((i, t or "", True, True)) for i, t in edges)
+
+
+def test_a_stage_deletes_what_the_one_before_stored(spark, corpus, monkeypatch):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    first = stored(stages["near_duplicates"](spark, docs, folder))
+    left = [df.stored_at for df in corpus_pipeline._last]
+    assert left and all(Path(p.removeprefix("file:")).exists() for p in left[-1:])
+    second = stored(stages["decontamination"](spark, first, folder))
+    assert not any(Path(p.removeprefix("file:")).exists() for p in left)
+    assert second.count() < first.count() <= docs.count()
