@@ -42,4 +42,14 @@ def written(df: DataFrame) -> DataFrame:
     """The rows written below the shared folder and read again, so that they are worked out once."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def remove(*steps: DataFrame) -> None:
+    """Delete the files of ``written`` rows that nothing reads any more."""
+    for df in steps:
+        if path := getattr(df, "written_at", None):
+            there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)

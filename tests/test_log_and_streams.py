@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_prompts import GOLDEN
 
-from auditlake.operators import audit_log
+from auditlake.operators import audit_log, id_index
 from auditlake.operators.scan import scan
 from auditlake.operators.verdict import audit_prompts
 from auditlake.session import shared_dir
@@ -102,11 +103,54 @@ def test_late_audits_are_not_lost_and_repeated_batches_replace_themselves(spark,
     run(prompt_stream.append_to_log(source, log, checkpoint))
     ids = [r["audit_id"] for r in prompt_stream.read_log(spark, log).select("audit_id").collect()]
     assert len(ids) == len(set(ids)) == 4 * len(GOLDEN)
-    prompt_stream._store_new(spark.read.parquet(path), log, 0)  # the first batch again, now with all there is
+    # The first batch again, now with all there is.
+    prompt_stream._store_new(spark.read.parquet(path), log, prompt_stream.writer_name(spark, checkpoint), 0)
     again = [r["audit_id"] for r in prompt_stream.read_log(spark, log).select("audit_id").collect()]
     assert sorted(again) == sorted(ids)
 
 
+def test_two_writers_and_a_lost_checkpoint_lose_no_audit(spark, audits):
+    log, parts = shared_dir(spark), [audits.filter(f"prompt_id % 3 = {i}") for i in range(3)]
+    for part in parts:  # each with a checkpoint of its own, all begin with batch 0
+        run(prompt_stream.append_to_log(stream_of(spark, part), log, shared_dir(spark)))
+    assert text_rows(prompt_stream.read_log(spark, log).select(audits.columns)) == text_rows(audits)
+    run(prompt_stream.append_to_log(stream_of(spark, audits), log, shared_dir(spark)))  # all again: nothing is new
+    assert text_rows(prompt_stream.read_log(spark, log).select(audits.columns)) == text_rows(audits)
+
+
+def test_ids_are_kept_in_a_state_store(spark, audits):
+    log, checkpoint = shared_dir(spark), shared_dir(spark)
+    run(prompt_stream.append_to_log(stream_of(spark, audits), log, checkpoint))
+    state = spark.read.format("statestore").load(checkpoint)
+    assert {r["id"] for r in state.selectExpr("key.audit_id AS id").collect()} == {r["audit_id"] for r in audits.select("audit_id").collect()}
+
+
+def test_only_folders_that_may_hold_an_id_are_read(spark, audits):
+    log, days = shared_dir(spark), {}
+    for n in range(4):
+        day = audits.filter(f"prompt_id % 4 = {n}").withColumn("created_at", F.expr(f"timestamp'2024-03-0{n + 1} 10:00:00'"))
+        prompt_stream._store_new(day, log, "one", n)
+        days |= {r["audit_id"]: n for r in day.select("audit_id").collect()}
+    for wanted, n in list(days.items())[::5]:
+        asked = spark.createDataFrame([(wanted,)], "audit_id string")
+        folders = prompt_stream.folders_that_may_hold(spark, log, asked)
+        assert f"{log}/writer=one/batch_id={n}/audit_date=2024-03-0{n + 1}" in folders and len(folders) <= 2
+        found = prompt_stream.get_audits(spark, log, asked)
+        assert [r["audit_id"] for r in found.collect()] == [wanted] and len(found.inputFiles()) <= 2
+    nothing = spark.createDataFrame([("no such id",)], "audit_id string")
+    assert prompt_stream.get_audits(spark, log, nothing).count() == 0
+    assert prompt_stream.folders_that_may_hold(spark, shared_dir(spark), nothing) == []
+
+
+def test_sketches_hold_all_ids_and_few_others():
+    rng = np.random.default_rng(1)
+    held, others = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 5000)
+    bits = id_index.sketch(held)
+    assert all(id_index.may_hold(bits, held[i : i + 1]) for i in range(0, 5000, 7)) and not id_index.may_hold(bits, held[:0])
+    assert sum(id_index.may_hold(bits, others[i : i + 1]) for i in range(5000)) < 50
+    assert id_index.may_hold(id_index.sketch(held[:1]), held[:1])
+
+
 def test_history_reads_the_newest_days_only(spark, audits):
     path = shared_dir(spark)
     audit_log.append(audits, path)
