@@ -403,6 +403,16 @@ def stream_late_audits(spark, d):
     return _flat(prompt_stream.read_log(spark, path))
 
 
+def stream_lookup(spark, d):
+    """Every purchase asks the streams' log for the audit of its own prompt; two writers, each with half of the events."""
+    path = shared_dir(spark)
+    prompts, known = derive.event_stream(spark, d), derive.registry(spark, d)
+    for half in (0, 1):
+        _run(prompt_stream.audit_each_batch(prompts.filter(F.col("prompt_id") % 2 == half), known, path, shared_dir(spark)))
+    wanted = prompt_source.accept(derive.purchases(spark, d)).select(verdict.audit_id_of().alias("audit_id"))
+    return _flat(prompt_stream.get_audits(spark, path, wanted))
+
+
 def stream_code_scan(spark, d):
     path, checkpoint = shared_dir(spark), shared_dir(spark)
     findings = code_stream.scan_stream(derive.file_stream(spark, d))
@@ -467,5 +477,6 @@ QUERIES: dict[str, Query] = {
     "stream_audit": stream_audit,
     "stream_dedupe": stream_dedupe,
     "stream_late_audits": stream_late_audits,
+    "stream_lookup": stream_lookup,
     "stream_code_scan": stream_code_scan,
 }

@@ -458,5 +458,6 @@ ORACLE: dict[str, str] = {
     "stream_audit": with_(EVENT_AUDIT, FLAT),
     "stream_dedupe": with_(SECURITY_AUDIT, FLAT),
     "stream_late_audits": with_(SECURITY_AUDIT, FLAT),
+    "stream_lookup": with_(EVENT_AUDIT, FLAT + " WHERE prompt_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')"),
     "stream_code_scan": with_(SCAN, FINDINGS),
 }
