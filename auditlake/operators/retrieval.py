@@ -6,7 +6,8 @@ a word that occurs in every document costs no shuffle. Which side is small decid
 
 * few queries, many documents: tasks keep ``k`` per query, one small shuffle merges them;
 * few documents, many queries: a query's answer is complete in its own row, nothing is shuffled;
-* both large, words: an equi-join of distinct words, frequent ones spread by salt, then counts and ranks;
+* both large, words: all queries are asked for the documents of lowest ord, which are indexed; what they find there says how
+  many words a later document must share, and only the rarest words of a query that such a document can't lack are joined;
 * both large, vectors: the queries are a stated set, taken in blocks of bounded size against all rows.
 """
 
@@ -25,9 +26,12 @@ from pyspark.sql.window import Window
 
 from auditlake.functions import text
 from auditlake.functions.sizing import Size, measure, salted_join, sized_join
+from auditlake.session import written
 
 MAX_SIDE_BYTES = 16 << 20
 MAX_SIDE_ROWS = 4_096
+HEAD_ROWS = 4_096  # documents of lowest ord that all queries are asked for first
+MAX_DENSE_TERMS = 1_024
 _CELLS = 4_000_000  # scores held at once by a task
 _ABSENT = -(1 << 40)
 
@@ -89,6 +93,15 @@ class TermIndex:
         order = np.argsort(terms, kind="stable")
         self.rows = np.repeat(np.arange(len(self.ids)), pc.list_value_length(words).to_numpy())[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
+        # Words of many rows are counted by a matrix product, the others by their postings.
+        widths = np.diff(self.starts)
+        dense = np.argsort(-widths, kind="stable")[:MAX_DENSE_TERMS]
+        dense = dense[widths[dense] >= max(8, len(self.ids) / 64)]
+        self.dense_of = np.full(len(self.vocabulary), -1)
+        self.dense_of[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), len(self.ids)), np.float32)
+        for slot, term in enumerate(dense.tolist()):
+            self.dense[slot, self.rows[self.starts[term] : self.starts[term + 1]]] = 1
 
     def scores(self, part: pa.RecordBatch) -> np.ndarray:
         """Rows of the batch x rows of the index: number of shared words, ``_ABSENT`` for none.
@@ -100,18 +113,39 @@ class TermIndex:
         at = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy())
         terms = pc.index_in(words.flatten(), value_set=self.vocabulary)
         at = at[pc.is_valid(terms).to_numpy(zero_copy_only=False)]
-        terms = terms.drop_null().to_numpy()
+        terms = terms.drop_null().to_numpy().astype(np.int64)
+        counts = self._dense_counts(n, at, self.dense_of[terms])
+        at, terms = (x[self.dense_of[terms] < 0] for x in (at, terms))
         widths = self.starts[terms + 1] - self.starts[terms]
-        counts = np.zeros(n * m, np.int64)
         slices = np.cumsum(widths) // _CELLS
         edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(terms)]
         for a, b in zip(edges, edges[1:]):
             width = widths[a:b]
             step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
             cells = np.repeat(at[a:b], width) * m + self.rows[np.repeat(self.starts[terms[a:b]], width) + step]
-            counts += np.bincount(cells.astype(np.int64), minlength=n * m)
+            if len(cells) * 8 > n * m:
+                counts += np.bincount(cells, minlength=n * m)
+            elif len(cells):
+                cells, many = np.unique(cells, return_counts=True)
+                counts[cells] += many
         return np.where(counts > 0, counts, _ABSENT).reshape(n, m)
 
+    def _dense_counts(self, n: int, at: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Shared words of the frequent kind, rows of the batch one behind another."""
+        m = len(self.ids)
+        if not len(self.dense):
+            return np.zeros(n * m, np.int64)
+        counts = np.empty((n, m), np.int64)
+        at, slot = at[slot >= 0], slot[slot >= 0]
+        step = max(1, _CELLS // len(self.dense))
+        for low in range(0, n, step):
+            high = min(low + step, n)
+            a, b = np.searchsorted(at, [low, high])
+            held = np.zeros((high - low, len(self.dense)), np.float32)
+            held[at[a:b] - low, slot[a:b]] = 1
+            counts[low:high] = held @ self.dense
+        return counts.ravel()
+
 
 class VectorIndex:
     """Unit vectors of the small side (id, vector)."""
@@ -207,12 +241,51 @@ def _few_on_one_side(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: in
     return None, asked
 
 
-def _joined(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Both sides large: each pair that shares a word is counted in an equi-join."""
-    held = rows.select(F.col("id").alias("ord"), F.explode("words").alias("word"))
-    asked = queries.select(F.col("id").alias("query_id"), F.explode("words").alias("word"))
-    counts = salted_join(held, asked, ["word"], F.col("ord")).groupBy("query_id", "ord").agg(F.count("*").alias("score"))
-    return _merge(counts, k)
+def _head(rows: DataFrame) -> tuple[DataFrame, int | None]:
+    """The rows of lowest id that can be indexed and sent to all tasks, and the last id among them."""
+    limit = HEAD_ROWS
+    while True:
+        last = rows.orderBy("id").limit(limit).agg(F.max("id")).first()[0]
+        head = rows.filter(F.col("id") <= F.lit(last))
+        if last is None or limit == 1 or _small(measure(head), 2 * HEAD_ROWS):
+            return head, last
+        limit //= 4
+
+
+def _candidates(tail: DataFrame, queries: DataFrame, least: DataFrame, head: DataFrame) -> DataFrame:
+    """(query_id, ord) of the later rows that may share more than ``least`` (query_id, least) words with a query.
+
+    A row that lacks the query's n - least rarest words shares at most ``least``, so one of those must be there. Rare is what is rare
+    in the head; any order would give right results.
+    """
+    often = head.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("held"))  # as small as the head
+    words = queries.join(least, F.col("id") == F.col("query_id"), "left").select(F.col("id").alias("query_id"), (F.size("words") - F.coalesce("least", F.lit(0))).alias("needed"), F.explode("words").alias("word"))
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("held", F.lit(0)), "word")
+    asked = words.filter("needed > 0").join(F.broadcast(often), "word", "left").withColumn("nth", F.row_number().over(rarest)).filter("nth <= needed")
+    asked = written(asked.select("query_id", "word"))
+    held = tail.select(F.col("id").alias("ord"), F.explode("words").alias("word"))
+    held = sized_join(held, asked.select("word").distinct(), ["word"], F.col("ord"), "left_semi")
+    return salted_join(held, asked, ["word"], F.col("ord")).select("query_id", "ord").distinct()
+
+
+def _pruned(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Both sides large: exact, without the pairs that share frequent words alone.
+
+    Of two rows with as many words the lower ord wins, so a row behind the head must share more words than the query's k-th best
+    in the head.
+    """
+    rows, queries = written(rows), written(queries)
+    head, last = _head(rows)
+    if last is None:
+        return _merge(rows.sparkSession.createDataFrame([], HIT_SCHEMA), k)
+    first = written(_scan_queries(head, queries, TermIndex, k).drop("rank"))
+    tail = rows.filter(F.col("id") > F.lit(last))
+    least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("least"))
+    pairs = written(_candidates(tail, queries, least, head))
+    texts = sized_join(tail, pairs.select(F.col("ord").alias("id")).distinct(), ["id"], F.col("id"), "left_semi")
+    both = pairs.join(texts.select(F.col("id").alias("ord"), F.col("words").alias("held")), "ord").join(queries.select(F.col("id").alias("query_id"), "words"), "query_id")
+    more = both.select("query_id", "ord", F.size(F.array_intersect("held", "words")).cast("long").alias("score"))
+    return _merge(first.unionByName(more), k)
 
 
 def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5, max_rows: int = MAX_SIDE_ROWS) -> DataFrame:
@@ -224,7 +297,7 @@ def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5, max_rows: int
     d = docs.select(F.col("ord").cast("long").alias("id"), text.words(F.col("content")).alias("words")).filter("words is not null")
     q = queries.select(F.col("query_id").cast("long").alias("id"), text.words(F.col("text")).alias("words")).filter("words is not null")
     ranked, _ = _few_on_one_side(d, q, TermIndex, k, max_rows)
-    ranked = _joined(d, q, k) if ranked is None else ranked
+    ranked = _pruned(d, q, k) if ranked is None else ranked
     return ranked.select("query_id", "ord", F.col("score").alias("overlap"), F.col("rank").cast("int").alias("rank"))
 
 

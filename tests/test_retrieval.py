@@ -98,6 +98,50 @@ def test_frequent_words_are_counted_in_bounded_slices():
     assert whole[0, 3] == 3 and whole[0, 4] == 2 and (whole[1] == retrieval._ABSENT).all() and (whole[2] == 1).all()
 
 
+def test_words_of_many_rows_are_counted_by_matrix():
+    rng = random.Random(3)
+    rows = [[w for w in ("every", "often", "half") if rng.random() < 0.7] + [f"w{rng.randrange(30)}", "z"][: rng.randrange(3)] for _ in range(200)]
+    rows = [list(dict.fromkeys(r)) for r in rows]
+    index = retrieval.TermIndex(retrieval.pa.table({"id": list(range(200)), "words": rows}))
+    part = retrieval.pa.RecordBatch.from_pydict({"words": rows[:50]})
+    assert len(index.dense) >= 3
+    want = [[len(set(a) & set(b)) or retrieval._ABSENT for b in rows] for a in rows[:50]]
+    assert index.scores(part).tolist() == want
+
+
+@pytest.mark.parametrize("head", [1, 16, 64, 10_000])
+def test_pruned_search_of_two_large_sides_is_exact(spark, monkeypatch, head):
+    """Frequent and rare words, ties, queries of frequent words alone, and of words that are nowhere or only in the tail."""
+    monkeypatch.setattr(retrieval, "HEAD_ROWS", head)
+    rng = random.Random(head)
+    common = [f"c{i}" for i in range(12)]
+
+    def some(most):
+        return " ".join({*rng.sample(common, rng.randrange(1, 9)), *(f"r{rng.randrange(200)}" for _ in range(rng.randrange(most)))})
+
+    texts = [some(12) + " the" for _ in range(300)] + [None, "", "the", "only here r7"]
+    asked = [some(6) + " the" for _ in range(60)] + ["the", "nowhere", None, "the nowhere", "only r7", "r7"]
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "ord long, content string").repartition(4)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    want = []
+    for q, text in enumerate(asked):
+        found = sorted((-len(set((t or "").split()) & set((text or "").split())), 3 * i) for i, t in enumerate(texts))
+        want += [(q, o, -n, r + 1) for r, (n, o) in enumerate([f for f in found if f[0]][:4])]
+    got = retrieval.keyword_topk(docs, queries, 4, max_rows=0)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_word_in_every_text_forms_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "HEAD_ROWS", 100)
+    docs = spark.createDataFrame([(i, f"the of and w{i} w{i // 2} x{i % 50}") for i in range(3000)], "ord long, content string").repartition(4)
+    queries = spark.createDataFrame([(i, f"the of and w{i * 9} x{i % 50}") for i in range(300)], "query_id long, text string")
+    pairs, one = [], retrieval._candidates
+    monkeypatch.setattr(retrieval, "_candidates", lambda *a: pairs.append(one(*a)) or pairs[-1])
+    hits = retrieval.keyword_topk(docs, queries, 3, max_rows=0)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, retrieval.keyword_topk(docs, queries, 3).collect()))
+    assert pairs[0].count() < 300 * 80  # of 900,000 that share a word
+
+
 def test_vectors_of_different_lengths_are_an_error():
     with pytest.raises(ValueError, match="same length"):
         retrieval._unit(retrieval.pa.array([[1.0], [1.0, 2.0]]))
