@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import rules, text
 from auditlake.operators import (
-    audit_log, code_scan, ignore_audit, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, vector_index, verdict,
+    audit_log, code_scan, ignore_audit, ignore_rules, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, vector_index, verdict,
 )
 from auditlake.operators.scan import scan, scan_snippets, scan_source
 from auditlake.plans import derive
@@ -254,6 +254,10 @@ def env_exposed(spark, d):
     return ignore_audit.exposed_env(derive.config_files(spark, d), derive.ignore_lines(spark, d))
 
 
+def ignore_globs(spark, d):
+    return ignore_rules.with_ignored(derive.glob_files(spark, d), derive.glob_lines(spark, d))
+
+
 def secret_rollup(spark, d):
     found = secret_scan.secret_findings(derive.config_files(spark, d))
     by_root = found.withColumn("root", F.substring_index("file", "/", 1))
@@ -459,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "secret_rollup": secret_rollup,
     "ignore_audit": ignore_audit_report,
     "env_exposed": env_exposed,
+    "ignore_globs": ignore_globs,
     "extract_endpoints": extract_endpoints,
     "extract_models": extract_models,
     "dependency_latest": dependency_latest,

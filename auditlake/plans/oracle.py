@@ -312,6 +312,24 @@ IGNORES = {
     "FROM needs n GROUP BY n.root",
 }
 
+ANY = "(.*/)?"
+#: (text, line, negated, folders alone, pattern) of the lines of derive.GLOB_TEXTS, by hand.
+GLOB_RULES = [
+    (0, 1, False, False, rf"^{ANY}\.env[^/]*$"), (0, 2, True, False, rf"^{ANY}\.env\.example$"), (1, 1, False, False, r"^\.env$"), (2, 1, False, False, rf"^{ANY}config/\.env$"),
+    (3, 1, False, True, rf"^{ANY}secrets$"), (3, 2, True, False, r"^secrets/\.env$"), (4, 1, False, False, rf"^{ANY}[^/]*\.env$"), (4, 2, True, False, rf"^{ANY}prod\.env$"),
+    (5, 1, False, False, rf"^{ANY}[._]env$"), (6, 1, False, False, rf"^{ANY}[^/]*$"), (6, 2, True, True, rf"^{ANY}[^/]*$"), (6, 3, True, False, rf"^{ANY}\.env\.example$"),
+    (7, 1, False, False, r"^app/.+$"), (8, 1, False, False, r"^app/[^/]*$"), (8, 2, True, True, r"^app/config$"), (9, 3, False, False, rf"^{ANY}\.env\.[^/]ocal$"), (9, 4, True, False, rf"^{ANY}nothing$"),
+    (10, 1, False, False, rf"^{ANY}\.env$"), (10, 2, True, False, rf"^{ANY}\.env$"),
+]
+GLOBS = {
+    "rules": "SELECT * FROM (VALUES " + ", ".join(f"({t}, {n}, {neg}, {dirs}, {q(p)})" for t, n, neg, dirs, p in GLOB_RULES) + ") r(kind, line_no, negated, folders, pattern)",
+    "files": f"SELECT 'proj-' || c_custkey AS root, CASE WHEN {derive.IGNORE_WHERE} THEN c_custkey % {len(derive.GLOB_TEXTS)} END AS kind, unnest([{', '.join(map(q, derive.GLOB_FILES))}]) AS name FROM customer",
+    "levels": "SELECT root, kind, name, d, len(string_split(name, '/')) AS depth, array_to_string(string_split(name, '/')[1:d], '/') AS part "
+    "FROM (SELECT *, unnest(range(1, len(string_split(name, '/')) + 1)) AS d FROM files)",
+    "decided": "SELECT root, name, d, arg_max(negated, line_no) AS negated FROM levels JOIN rules USING (kind) "
+    "WHERE regexp_matches(part, pattern) AND (NOT folders OR d < depth) GROUP BY root, name, d",
+}
+
 # ---- retrieval -------------------------------------------------------------------------------------
 
 
@@ -430,7 +448,10 @@ ORACLE: dict[str, str] = {
     "ignore_audit": with_(IGNORES, "SELECT * FROM reports"),
     "env_exposed": with_(
         CONFIG | IGNORES, "SELECT root, path FROM config_files WHERE path LIKE '%/.env' "
-        "AND root NOT IN (SELECT root FROM entries WHERE entry = '.env')"
+        "AND root NOT IN (SELECT root FROM entries WHERE entry = '.env')"  # these roots have no other line that says something of it
+    ),
+    "ignore_globs": with_(
+        GLOBS, "SELECT root, root || '/' || name AS path, (root, name) IN (SELECT (root, name) FROM decided WHERE NOT negated) AS ignored FROM files"
     ),
     "extract_endpoints": with_(INVENTORY, "SELECT * FROM code_endpoints"),
     "extract_models": with_(INVENTORY, "SELECT * FROM code_models"),

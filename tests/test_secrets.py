@@ -1,7 +1,7 @@
 import random
 
 from auditlake.functions.rules import REQUIRED_IGNORES
-from auditlake.operators import ignore_audit, secret_scan
+from auditlake.operators import ignore_audit, ignore_rules, secret_scan
 
 
 def found(files_of, **files):
@@ -62,6 +62,41 @@ def test_ignore_audit(spark):
     assert {r["root"]: r["is_sufficient"] for r in own.collect()} == {"good": True, "bad": False, "none": False}
 
 
+# Fixed values: (rules in order, path, whether it is ignored), as version control documents them.
+GLOBS = [
+    (["*.log"], "a/b.log", True), (["*.log"], "b.log.txt", False), (["/b.log"], "a/b.log", False), (["/b.log"], "b.log", True), (["a/b.log"], "x/a/b.log", False),
+    (["build/"], "build", False), (["build/"], "build/x", True), (["build/"], "a/build/x/y", True), (["build"], "a/build/x", True), (["**/foo"], "foo", True), (["**/foo"], "a/b/foo", True),
+    (["foo/**"], "foo", False), (["foo/**"], "foo/a/b", True), (["a/**/b"], "a/b", True), (["a/**/b"], "a/x/y/b", True), (["a/**/b"], "ax/b", False), (["a**b"], "axxb", True), (["a**b"], "a/b", False),
+    (["fo?"], "foo", True), (["fo?"], "fo/", False), (["[a-c].txt"], "b.txt", True), (["[!a-c].txt"], "b.txt", False), (["[!a-c].txt"], "d.txt", True), (["[^a].txt"], "b.txt", True), (["[].txt"], "[].txt", True), (["[z-a]x"], "bx", False), (["[!z-a]x"], "bx", True),
+    (["*.log", "!keep.log"], "keep.log", False), (["!keep.log", "*.log"], "keep.log", True), (["logs/", "!logs/keep"], "logs/keep", True), (["logs/*", "!logs/keep"], "logs/keep", False),
+    ([r"\#x"], "#x", True), ([r"\!x"], "!x", True), (["a+b(c)"], "a+b(c)", True), (["a.b"], "axb", False), (["é*"], "été", True), (["#x"], "#x", False), (["*"], "any/thing", True), (["x\\"], "y", False),
+    (["**"], "a/b", True), (["/**"], "a", True), (["*/x"], "a/x", True), (["*/x"], "a/b/x", False), (["[a&&b]"], "&", True), (["[[]"], "[", True), (["a]"], "a]", True),
+]
+
+
+def test_ignore_rules(spark):
+    files = spark.createDataFrame([(f"r{i}", f"r{i}/{path}") for i, (_, path, _) in enumerate(GLOBS)], "root string, path string")
+    listing = lines(spark, **{f"r{i}": rules for i, (rules, _, _) in enumerate(GLOBS)})
+    got = {r["root"]: r["ignored"] for r in ignore_rules.with_ignored(files, listing).collect()}
+    assert [(GLOBS[i], got[f"r{i}"]) for i in range(len(GLOBS)) if got[f"r{i}"] != GLOBS[i][2]] == []
+
+
+def test_rules_of_many_files_meet_by_root(spark, monkeypatch):
+    """The salted shape, repeated and null rows."""
+    monkeypatch.setattr("auditlake.functions.sizing.fits", lambda *a, **k: False)
+    files = spark.createDataFrame([("r", f"r/d{i % 7}/f{i}.log") for i in range(200)] * 2 + [("r", None), (None, "x"), ("s", "s/a.log")], "root string, path string")
+    listing = lines(spark, r=["*.log", "!f1?.log", None, "d3/"])
+    got = {r["path"] for r in ignore_rules.ignored_paths(files, listing).collect()}
+    assert got == {f"r/d{i % 7}/f{i}.log" for i in range(200) if not 10 <= i < 20 or i % 7 == 3}
+
+
+def test_required_patterns_by_broader_globs_and_negation(spark):
+    roots = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "root string")
+    listing = lines(spark, a=["*"], b=[".env*", "!.env"], c=["!.env", ".e?v"], d=["/.env"])
+    got = {r["root"]: r["present_patterns"] for r in ignore_audit.audit_ignores(roots, listing, [".env", "venv/"]).collect()}
+    assert got == {"a": [".env", "venv/"], "b": [], "c": [".env"], "d": []}
+
+
 def test_exposed_env_and_rollup(spark):
     files = spark.createDataFrame([("good", "good/.env"), ("bad", "bad/x/.env"), ("bad", "bad/a.env"), ("none", "none/.env")], "root string, path string")
     listing = lines(spark, good=[".env"], bad=["*.pyc"])
