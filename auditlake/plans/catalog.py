@@ -14,6 +14,7 @@ from auditlake.operators import (
 from auditlake.operators.scan import scan, scan_snippets, scan_source
 from auditlake.plans import derive
 from auditlake.session import shared_dir
+from auditlake.sources import edited
 from auditlake.sources import files as tree
 from auditlake.sources import prompts as prompt_source
 from auditlake.sources import requirements
@@ -424,6 +425,20 @@ def stream_code_scan(spark, d):
     return _flat_findings(spark.read.schema(findings.schema).parquet(path))
 
 
+def stream_edits(spark, d):
+    """A tree is scanned as it is written; then a third of the files are edited and a third deleted."""
+    root, state, path, checkpoint = (shared_dir(spark) for _ in range(4))
+    source = derive.files(spark, d)
+    tree.write_tree(source, root)
+    kind = F.length("path") % 3
+    for step in range(2):
+        _run(code_stream.scan_edits(edited.watch_tree(spark, root, state), path, checkpoint))
+        if step == 0:
+            tree.write_tree(source.filter(kind == 0).withColumn("content", F.concat("content", F.lit("\nDEBUG = True\n"))), root)
+            tree.delete_files(source.filter(kind == 1), root)
+    return _flat_findings(code_stream.current_findings(spark, path))
+
+
 QUERIES: dict[str, Query] = {
     "prompt_intake": prompt_intake,
     "prompt_rejects": prompt_rejects,
@@ -484,4 +499,5 @@ QUERIES: dict[str, Query] = {
     "stream_late_audits": stream_late_audits,
     "stream_lookup": stream_lookup,
     "stream_code_scan": stream_code_scan,
+    "stream_edits": stream_edits,
 }

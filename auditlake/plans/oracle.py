@@ -217,6 +217,10 @@ SCANNED = {
     "scanned": "SELECT * FROM files WHERE path LIKE '%.py' AND len(list_intersect(string_split(path, '/'), "
     "['.git', '__pycache__', 'venv', 'env', '.venv', 'node_modules', 'dist', 'build'])) = 0"
 }
+EDITED = (
+    "SELECT path, CASE WHEN length(path) % 3 = 0 THEN content || chr(10) || 'DEBUG = True' || chr(10) ELSE content END AS content "
+    "FROM written WHERE length(path) % 3 <> 1"
+)
 SNIPPETS = {"snippets": "SELECT CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents"} | _lines("snippets") | {
     "findings": _findings()
 }
@@ -481,4 +485,5 @@ ORACLE: dict[str, str] = {
     "stream_late_audits": with_(SECURITY_AUDIT, FLAT),
     "stream_lookup": with_(EVENT_AUDIT, FLAT + " WHERE prompt_id IN (SELECT event_id FROM events WHERE event_type = 'purchase')"),
     "stream_code_scan": with_(SCAN, FINDINGS),
+    "stream_edits": with_({"written": FILES["files"], "files": EDITED} | SCANNED | _lines("scanned") | {k: v for k, v in TREE_SCAN.items() if k != "files"}, FINDINGS),
 }

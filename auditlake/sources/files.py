@@ -193,3 +193,20 @@ def write_tree(files: DataFrame, root: str) -> None:
             yield batch.select(["path"])
 
     files.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+def delete_files(files: DataFrame, root: str) -> None:
+    """Delete the files (path) below ``root``; one that is gone already is no error."""
+    root = qualified(files.sparkSession, root)
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        filesystem, base = open_folder(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                if filesystem.get_file_info(f"{base}/{path}").type == fs.FileType.File:
+                    filesystem.delete_file(f"{base}/{path}")
+            yield batch
+
+    files.select("path").mapInArrow(delete, "path string").write.format("noop").mode("overwrite").save()

@@ -7,6 +7,7 @@ from auditlake.operators import audit_log, id_index
 from auditlake.operators.scan import scan
 from auditlake.operators.verdict import audit_prompts
 from auditlake.session import shared_dir
+from auditlake.sources import edited
 from auditlake.streaming import code_stream, prompt_stream
 
 
@@ -173,3 +174,53 @@ def test_code_stream_equals_batch(spark, files_of):
     findings = code_stream.scan_stream(stream_of(spark, files))
     run(code_stream.write_findings(findings, path, checkpoint))
     assert text_rows(spark.read.schema(findings.schema).parquet(path)) == text_rows(scan(files))
+
+
+def test_edited_files_come_again(spark, tmp_path):
+    root, state, path, checkpoint = tmp_path / "tree", shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    (root / "venv").mkdir(parents=True)
+    (root / "pkg").mkdir()
+
+    def scan_now():
+        run(code_stream.scan_edits(edited.watch_tree(spark, str(root), state), path, checkpoint))
+        found = code_stream.current_findings(spark, path).collect()
+        return sorted((r["file"], r["rule_id"], r["line"]) for r in found)
+
+    assert code_stream.current_findings(spark, path).count() == 0
+    (root / "a.py").write_text("DEBUG = True\n")
+    (root / "pkg/__init__.py").write_text("x = 1\nmd5(x)\n")
+    (root / "_b.py").write_text("DEBUG = True\n")
+    (root / "venv/c.py").write_text("DEBUG = True\n")
+    (root / "notes.txt").write_text("DEBUG = True\n")
+    (root / "bad.py").write_bytes(b"\xff\xfe DEBUG = True")
+    first = [("_b.py", "CFG-001", 1), ("a.py", "CFG-001", 1), ("pkg/__init__.py", "CRYPTO-001", 2)]
+    assert scan_now() == first
+    assert scan_now() == first  # nothing changed
+    (root / "a.py").write_text("\n\nDEBUG = True\nos.system(x)\n")  # edited
+    (root / "_b.py").unlink()  # deleted
+    (root / "d.py").write_text("DEBUG=True")  # new
+    assert scan_now() == [("a.py", "CFG-001", 3), ("a.py", "INJ-005", 4), ("d.py", "CFG-001", 1), ("pkg/__init__.py", "CRYPTO-001", 2)]
+    (root / "a.py").write_text("\n")  # nothing is left to find
+    (root / "_b.py").write_text("DEBUG = True\n")  # there again
+    assert scan_now() == [("_b.py", "CFG-001", 1), ("d.py", "CFG-001", 1), ("pkg/__init__.py", "CRYPTO-001", 2)]
+
+
+def test_edits_are_split_to_tasks_and_old_listings_go(tmp_path, monkeypatch):
+    monkeypatch.setattr(edited, "TASK_FILES", 3)
+    root, state = tmp_path / "tree", tmp_path / "state"
+    root.mkdir()
+    for i in range(10):
+        (root / f"{i}.py").write_text("x")
+    reader = edited.EditReader(str(root), str(state), ".py", "")
+    assert reader.initialOffset() == {"listing": 0} and reader.latestOffset() == {"listing": 1} == reader.latestOffset()
+    parts = reader.partitions({"listing": 0}, {"listing": 1})
+    assert [len(p.changed) for p in parts] == [3, 3, 3, 1]
+    (root / "3.py").write_text("xy")
+    (root / "4.py").unlink()
+    assert reader.latestOffset() == {"listing": 2}
+    parts = edited.EditReader(str(root), str(state), ".py", "").partitions({"listing": 1}, {"listing": 2})
+    assert [(p.changed, p.gone) for p in parts] == [(["3.py"], []), ([], ["4.py"])]
+    (root / "5.py").unlink()
+    reader.latestOffset()
+    reader.commit({"listing": 3})
+    assert sorted(f.name for f in state.iterdir()) == ["2.json.gz", "3.json.gz"]
