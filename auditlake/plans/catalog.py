@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake import schemas
 from auditlake.functions import rules, text
 from auditlake.operators import (
     audit_log, code_scan, ignore_audit, ignore_rules, inventory, prompt_rules, registry as reg, retrieval, secret_scan, syntax, vector_index, verdict,
@@ -16,6 +17,7 @@ from auditlake.plans import derive
 from auditlake.session import shared_dir
 from auditlake.sources import edited
 from auditlake.sources import files as tree
+from auditlake.sources import json_array
 from auditlake.sources import prompts as prompt_source
 from auditlake.sources import requirements
 from auditlake.streaming import code_stream, prompt_stream
@@ -67,6 +69,14 @@ def prompt_bulk_load(spark, d):
     return loaded.select("label", "prompt", "project_id", "author", "branch")
 
 
+def prompt_bulk_array(spark, d):
+    """The same from array files, each cut to ranges of 64 KB."""
+    path = shared_dir(spark)
+    prompt_source.write_labelled(derive.intake(spark, d).withColumn("label", F.upper("project_id")), path, json_lines=False)
+    loaded = json_array.read_array(spark, path, schemas.LABELLED_PROMPT, 64 << 10).select("label", "request.*")
+    return prompt_source.accept(loaded).select("label", "prompt", "project_id", "author", "branch")
+
+
 def source_tree_scan(spark, d):
     root = shared_dir(spark)
     tree.write_tree(derive.files(spark, d), root)
@@ -443,6 +453,7 @@ QUERIES: dict[str, Query] = {
     "prompt_intake": prompt_intake,
     "prompt_rejects": prompt_rejects,
     "prompt_bulk_load": prompt_bulk_load,
+    "prompt_bulk_array": prompt_bulk_array,
     "source_tree_scan": source_tree_scan,
     "snippet_scan": snippet_scan,
     "snippet_scan_files": snippet_scan_files,

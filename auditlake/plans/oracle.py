@@ -390,6 +390,9 @@ ORACLE: dict[str, str] = {
     "prompt_bulk_load": with_(
         INTAKE | ACCEPTED, "SELECT upper(project_id) AS label, prompt, project_id, author, branch FROM prompts"
     ),
+    "prompt_bulk_array": with_(
+        INTAKE | ACCEPTED, "SELECT upper(project_id) AS label, prompt, project_id, author, branch FROM prompts"
+    ),
     "source_tree_scan": with_(FILES | SCANNED | _lines("scanned") | TREE_SCAN, FINDINGS),
     "snippet_scan": with_(SNIPPETS, FINDINGS),
     "snippet_scan_files": with_(SCAN, FINDINGS),

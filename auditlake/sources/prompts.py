@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import schemas
+from auditlake.sources.json_array import read_array, write_arrays
 
 DEFAULT_AUTHOR, DEFAULT_BRANCH = "anonymous", "main"
 
@@ -31,12 +32,13 @@ def reject(prompts: DataFrame) -> DataFrame:
 def read_labelled(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Labelled requests ``{label, request}``: files that hold one array each, or one object per line.
 
-    A file with an array is read by one task; use lines for anything large.
+    Array files are read by many tasks, however large each is.
     """
-    raw = spark.read.schema(schemas.LABELLED_PROMPT).json(path, multiLine=not json_lines)
+    raw = spark.read.schema(schemas.LABELLED_PROMPT).json(path) if json_lines else read_array(spark, path, schemas.LABELLED_PROMPT)
     return raw.select("label", "request.*")
 
 
-def write_labelled(labelled: DataFrame, path: str) -> None:
-    """One JSON object per line."""
-    labelled.select("label", F.struct("prompt", "project_id", "author", "branch").alias("request")).write.json(path)
+def write_labelled(labelled: DataFrame, path: str, json_lines: bool = True) -> None:
+    """One JSON object per line, or files of one array each."""
+    rows = labelled.select("label", F.struct("prompt", "project_id", "author", "branch").alias("request"))
+    rows.write.json(path) if json_lines else write_arrays(rows, path)
