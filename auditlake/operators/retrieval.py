@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditlake import schemas
 from auditlake.functions import text
 from auditlake.functions.sizing import Size, measure, salted_join, sized_join
 from auditlake.session import written
@@ -334,6 +336,26 @@ def doc_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"))
 
 
+def append_documents(docs: DataFrame, path: str) -> None:
+    """Add documents (id, content, metadata) behind those stored at ``path``; ids may repeat, nothing is replaced.
+
+    ``ord`` grows from call to call and within one by partition and row; a folder has one writer at a time.
+    """
+    spark = docs.sparkSession
+    try:
+        last = read_documents(spark, path).agg(F.max("ord")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    place = F.lit(0 if last is None else last + 1) + F.monotonically_increasing_id()
+    docs.select(place.alias("ord"), *schemas.DOC.names[1:]).write.mode("append").parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.DOC).parquet(path)
+
+
 def upsert_documents(docs: DataFrame) -> DataFrame:
     """One document per id, the newest; combines before the shuffle, so many copies of one id are no load."""
     rest = [c for c in docs.columns if c != "id"]

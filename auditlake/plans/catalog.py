@@ -119,6 +119,15 @@ def doc_upsert(spark, d):
     )
 
 
+def doc_append(spark, d):
+    """The documents stored in two calls, their copies counted: appending replaces nothing."""
+    path, docs = shared_dir(spark), derive.docs(spark, d)
+    for half in (0, 1):
+        retrieval.append_documents(docs.filter(F.col("ord") % 2 == half).drop("ord"), path)
+    stored = retrieval.read_documents(spark, path)
+    return stored.groupBy("id").agg(F.count("*").alias("n_docs"), F.count_distinct("ord").alias("n_places"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+
+
 # ---- prompt rules ----------------------------------------------------------------------------------
 
 
@@ -461,6 +470,7 @@ QUERIES: dict[str, Query] = {
     "audit_log_roundtrip": audit_log_roundtrip,
     "audit_log_dedupe": audit_log_dedupe,
     "doc_upsert": doc_upsert,
+    "doc_append": doc_append,
     "rule_raw_sql": _rule(rules.PROMPT_RULES[0]),
     "rule_auth_bypass": _rule(rules.PROMPT_RULES[1]),
     "rule_prompt_secret": _rule(rules.PROMPT_RULES[2]),

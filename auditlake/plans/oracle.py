@@ -399,6 +399,7 @@ ORACLE: dict[str, str] = {
     "requirements_parse": with_(REQUIREMENTS, "SELECT * FROM parsed"),
     "audit_log_roundtrip": with_(AUDIT, FLAT),
     "audit_log_dedupe": with_(AUDIT, FLAT + " WHERE prompt_id < 1000000000000"),
+    "doc_append": "SELECT source || '/' || lang AS id, count(*) AS n_docs, count(*) AS n_places, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source || '/' || lang",
     "doc_upsert": "SELECT source || '/' || lang AS id, max(doc_id) AS ord, CAST(length(arg_max(text, doc_id)) AS BIGINT) AS n_chars, lang "
     "FROM documents GROUP BY source, lang",
     "rule_raw_sql": _rule(1),

@@ -6,7 +6,7 @@ from test_prompts import GOLDEN
 from auditlake.operators import audit_log, id_index
 from auditlake.operators.scan import scan
 from auditlake.operators.verdict import audit_prompts
-from auditlake.session import shared_dir
+from auditlake.session import shared_dir, ship
 from auditlake.sources import edited
 from auditlake.streaming import code_stream, prompt_stream
 
@@ -55,6 +55,18 @@ def test_only_new_ids_are_appended(spark, audits, monkeypatch, small):
     assert text_rows(new.select(audits.columns)) == text_rows(audits.filter("prompt_id >= 5"))
 
 
+def test_requests_without_ids_have_audits_of_their_own(prompts_of, registry):
+    same = prompts_of(["Add an endpoint"] * 3).withColumns({"prompt_id": F.lit(None).cast("long"), "author": F.element_at(F.array(*map(F.lit, "aab")), F.col("prompt_id").cast("int") + 1)})
+    ids = [r["audit_id"] for r in audit_prompts(same, registry).collect()]
+    assert len(ids) == 3 and len(set(ids)) == 2  # two requests are equal in all they came with
+
+
+def test_the_package_is_sent_to_executors_once(spark):
+    ship(spark)
+    ship(spark)
+    assert [f for f in spark.sparkContext._python_includes].count("auditlake.zip") == 1
+
+
 def test_json_columns(audits):
     assert text_rows(audit_log.from_json_columns(audit_log.to_json_columns(audits)).select(audits.columns)) == text_rows(audits)
 

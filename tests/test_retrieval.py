@@ -77,6 +77,15 @@ def test_upsert_keeps_the_newest(spark):
     assert {(r["id"], r["content"]) for r in retrieval.upsert_documents(docs).collect()} == {("a", "new"), ("b", "x")}
 
 
+def test_append_keeps_every_copy_in_order(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    for texts in (["one", "two"], ["three"], ["four", "five"]):
+        retrieval.append_documents(spark.createDataFrame([("same", t, {"k": t}) for t in texts], "id string, content string, metadata map<string,string>").coalesce(1), path)
+    stored = retrieval.read_documents(spark, path)
+    assert [r["content"] for r in stored.orderBy("ord").collect()] == ["one", "two", "three", "four", "five"]
+    assert [r["content"] for r in retrieval.upsert_documents(stored).collect()] == ["five"]
+
+
 def test_nulls_are_left_out_in_every_shape(spark, shape):
     docs = spark.createDataFrame([(0, None), (1, "a b"), (2, "")], "ord long, content string")
     queries = spark.createDataFrame([(0, "a"), (1, None)], "query_id long, text string")
