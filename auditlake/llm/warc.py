@@ -46,15 +46,15 @@ _HEAD = r"""<head\b[^>]*(?:>|\Z)(?:\s+|<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|" + _HEAD, re.I | re.S)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
-_SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
-_LINES = re.compile(r" ?(?:\n ?)+")
+_SPACES = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]")  # all but single blanks, the most frequent
 
 
 def plain_text(page: str) -> str:
     """The visible text: one line per block, entities decoded, no markup, spaces folded."""
     text = _DROP.sub(" ", page)
     text = _TAG.sub("", _BLOCK.sub("\n", text.replace("\n", " ")))
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
+    lines = _SPACES.sub(" ", html.unescape(text)).split("\n")
+    return "\n".join(line for line in (x.strip(" ") for x in lines) if line).strip()
 
 
 def digest(block: bytes) -> str:
@@ -63,7 +63,8 @@ def digest(block: bytes) -> str:
 
 def clean(value) -> str:
     """A header's value: one line."""
-    return re.sub(r"[\r\n]+[ \t]*", " ", str(value)).strip()
+    line = str(value)
+    return (re.sub(r"[\r\n]+[ \t]*", " ", line) if "\n" in line or "\r" in line else line).strip()
 
 
 def record_id(*parts) -> str:
