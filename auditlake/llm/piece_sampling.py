@@ -29,6 +29,7 @@ from auditlake.llm.common import BATCH_BYTES, map_batches, small_batches
 from auditlake.llm.shingles import mix
 
 CHUNK = 1 << 21
+SPLIT = 48  # bytes of a segment from which on cuts are looked for
 LONG = 512  # bytes of a part without cuts from which on a plain loop beats rounds of arrays
 ALPHA = 1.0
 MARK = "▁"
@@ -177,17 +178,21 @@ class Lattices:
         start, ids, length = (np.concatenate(x) for x in (froms, ids, lengths))
         weight = np.where(ids >= 0, pieces.weight[np.maximum(ids, 0)], pieces.byte_weight * length)
         stop = start + length
-        # No piece runs over a cut, so all segmentations meet there and the parts between cuts are filtered by themselves.
-        crossed = np.cumsum(np.bincount(start + 1, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:n] > 0
-        cut = ~crossed
+        # No piece runs over a cut, so all segmentations meet there and the parts between cuts are filtered by themselves. Segments
+        # of a few bytes are parts as they are.
+        cut = np.zeros(n, bool)
+        if (big := sizes > SPLIT).any():
+            crossed = np.cumsum(np.bincount(start + 1, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:n] > 0
+            cut = ~crossed & np.repeat(big, sizes + 1)
+        cut[self.first] = cut[self.last] = True
+        self.nth = np.cumsum(cut) - 1
         self.cuts = np.flatnonzero(cut)
-        part = np.searchsorted(self.cuts, stop) - 1  # the part that a piece is in, by the cut before its end
-        size = np.diff(self.cuts, append=n)[part]
-        long = size > LONG
+        begin = self.cuts[self.nth[stop - 1]]  # the cut before a piece's end
+        long = np.diff(self.cuts, append=n)[self.nth[stop - 1]] > LONG
         # Pieces by their end's place in the part, so that each round needs only earlier ones; those of long parts one by one.
-        order = np.lexsort((stop, np.where(long, 0, stop - self.cuts[part]), long))
+        order = np.lexsort((stop, np.where(long, 0, stop - begin), long) if long.any() else (stop, stop - begin))
         start, stop, ids, weight = start[order], stop[order], ids[order], weight[order]
-        place, quick = (stop - self.cuts[part[order]]), len(start) - int(long.sum())
+        place, quick = (stop - begin[order]), len(start) - int(long.sum())
         mass = np.full(n, -np.inf)
         mass[cut] = 0.0
         share = np.empty(len(start))
@@ -254,7 +259,7 @@ def sample(data: np.ndarray, begin: np.ndarray, key: np.ndarray, offset: np.ndar
     which = np.array([distinct.setdefault(raw[s:e], len(distinct)) for s, e in zip(begin.tolist(), ends.tolist())], np.int64)
     lattices = Lattices(list(distinct), pieces)
     first = lattices.first[which]
-    low, high = np.searchsorted(lattices.cuts, first), np.searchsorted(lattices.cuts, lattices.last[which])
+    low, high = lattices.nth[first], lattices.nth[lattices.last[which]]
     parts = high - low
     segment = np.repeat(np.arange(len(begin)), parts)
     nth = np.arange(len(segment)) - np.repeat(np.cumsum(parts) - parts, parts) + low[segment]
