@@ -210,3 +210,10 @@ def test_text_rules_stay_in_codegen(prompts_of):
 def test_folded_audit_does_not_shuffle_prompts(prompts_of, registry):
     plan = audit_prompts(prompts_of(["x"]), registry, fold=True)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
+
+
+def test_a_model_registered_many_times_gives_a_conflict_each_in_order(spark, prompts_of):
+    known = make_registry(spark, ["User"] * 3 + ["Order"] + ["User"])
+    asked = prompts_of(["Extend User and Order, pin stripe==1.0, get /payments/charge", "nothing"])
+    found = {r["prompt_id"]: [c["affected_component"] for c in r["registry_conflicts"]] for r in reg.joined_conflicts(asked, known).collect()}
+    assert found == {0: ["route:/payments/charge", *["model:User"] * 3, "model:Order", "model:User", "dependency:stripe"]}

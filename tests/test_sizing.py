@@ -47,3 +47,23 @@ def test_fits(sides):
 def test_shared_dir_uses_the_cluster_setting(spark):
     first, second = shared_dir(spark), shared_dir(spark)
     assert first != second and first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_side_not_measured_to_be_small_is_never_broadcast(sides, how):
+    left, right = sides  # Spark's own estimate would broadcast either
+    for joined in (
+        sizing.salted_join(left, right, ["k"], F.col("row"), how),
+        sizing.sized_join(left, right, ["k"], F.col("row"), how, max_bytes=1),
+        sizing.sized_join(left, right, ["k"], how=how, max_bytes=1),
+    ):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, ["k"], how).collect()))
+
+
+def test_known_only_drops_rows_no_join_would_keep(sides, monkeypatch):
+    left, right = sides
+    assert sizing.known_only(left, right, ["k"]).count() == left.filter("k < 40").count()
+    monkeypatch.setattr(sizing, "MAX_FEW_KEYS", 39)
+    assert sizing.known_only(left, right, ["k"]).count() == 900
