@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
-from auditlake.functions.sizing import sized_join
+from auditlake.functions.sizing import known_only, sized_join
 
 _RULES = pa.schema([("root", pa.string()), ("line_no", pa.int32()), ("negated", pa.bool_()), ("folders", pa.bool_()), ("pattern", pa.string())])
 
@@ -99,13 +99,14 @@ def relative(root: Column, path: Column) -> Column:
 def ignored_paths(files: DataFrame, ignore_lines: DataFrame) -> DataFrame:
     """(root, path), each once, of the files (root, path) that their root's rules ignore.
 
-    Rules go to the files if they were measured to be few, else both meet by root, spread by path, so a root with most files
-    is many tasks' work. Two aggregates decide, each combined before it is shuffled.
+    Lines of roots without files are left out before they are compiled, if the files' roots are few. Rules go to the files if
+    they were measured to be few, else both meet by root, spread by path, so a root with most files is many tasks' work. Two
+    aggregates decide, each combined before it is shuffled.
     """
     parts = F.split(relative(F.col("root"), F.col("path")), "/")
     levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     each = files.select("root", "path", F.size(parts).alias("depth"), F.posexplode(levels).alias("level", "name"))
-    met = sized_join(each, compiled(ignore_lines), ["root"], F.col("path"))
+    met = sized_join(each, compiled(known_only(ignore_lines, files, ["root"])), ["root"], F.col("path"))
     said = met.filter(matches("name", F.col("level") < F.col("depth") - 1))
     decided = said.groupBy("root", "path", "level").agg(F.max_by("negated", "line_no").alias("negated"))
     return decided.filter(~F.col("negated")).select("root", "path").distinct()

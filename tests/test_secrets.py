@@ -106,3 +106,12 @@ def test_exposed_env_and_rollup(spark):
     reports = ignore_audit.audit_ignores(files, listing)
     rows = {r["root"]: (r["n_findings"], r["types"]) for r in ignore_audit.rollup(findings, reports).collect()}
     assert rows == {"bad": (3, ["password", "token"]), "good": (0, []), "none": (0, [])}
+
+
+def test_lines_of_roots_without_files_are_not_compiled(spark, monkeypatch):
+    seen, made = [], ignore_rules.compiled
+    monkeypatch.setattr(ignore_rules, "compiled", lambda lines: seen.append(lines) or made(lines))
+    files = spark.createDataFrame([("a", "a/.env"), ("a", "a/b/.env"), (None, ".env")], "root string, path string")
+    lines = spark.createDataFrame([("a", 1, "/.env"), ("b", 1, ".env"), (None, 1, ".env")], "root string, line_no int, line string")
+    assert [tuple(r) for r in ignore_rules.ignored_paths(files, lines).collect()] == [("a", "a/.env")]
+    assert [r["root"] for r in seen[0].collect()] == ["a"]
