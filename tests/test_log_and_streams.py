@@ -236,3 +236,9 @@ def test_edits_are_split_to_tasks_and_old_listings_go(tmp_path, monkeypatch):
     reader.latestOffset()
     reader.commit({"listing": 3})
     assert sorted(f.name for f in state.iterdir()) == ["2.json.gz", "3.json.gz"]
+
+
+def test_ids_of_a_stream_are_kept_in_rocksdb_where_no_store_was_set(spark):
+    spark.conf.unset(prompt_stream._STORE)
+    prompt_stream._once(spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS audit_id"), "1 day")
+    assert spark.conf.get(prompt_stream._STORE) == prompt_stream._ROCKS
