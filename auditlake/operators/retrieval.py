@@ -186,6 +186,12 @@ def _small(size: Size, max_rows: int) -> bool:
     return size.rows <= max_rows and size.bytes <= MAX_SIDE_BYTES
 
 
+def _size(df: DataFrame, max_rows: int) -> Size:
+    """The size of a side; where its rows alone are too many, its bytes are not added up, nor its words worked out for it."""
+    rows = df.count()
+    return Size(rows, 0) if rows > max_rows else measure(df)
+
+
 def _send(df: DataFrame, make: MakeIndex):
     """Index a side that was measured to be small, for all tasks; they open it with ``pickle.loads``."""
     return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(make(df.toArrow())))
@@ -231,16 +237,15 @@ def _merge(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _few_on_one_side(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int, max_rows: int) -> tuple[DataFrame | None, Size]:
-    """The answer if one side is small, and the size of the queries."""
+def _few_on_one_side(rows: DataFrame, queries: DataFrame, make: MakeIndex, k: int, max_rows: int) -> DataFrame | None:
+    """The answer if one side is small."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    asked = measure(queries)
-    if _small(asked, max_rows):
-        return _scan_rows(rows, queries, make, k), asked
-    if _small(measure(rows), max_rows):
-        return _scan_queries(rows, queries, make, k), asked
-    return None, asked
+    if _small(_size(queries, max_rows), max_rows):
+        return _scan_rows(rows, queries, make, k)
+    if _small(_size(rows, max_rows), max_rows):
+        return _scan_queries(rows, queries, make, k)
+    return None
 
 
 def _head(rows: DataFrame) -> tuple[DataFrame, int | None]:
@@ -284,7 +289,7 @@ def _pruned(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     tail = rows.filter(F.col("id") > F.lit(last))
     least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("least"))
     pairs = written(_candidates(tail, queries, least, head))
-    texts = sized_join(tail, pairs.select(F.col("ord").alias("id")).distinct(), ["id"], F.col("id"), "left_semi")
+    texts = sized_join(tail, pairs.select(F.col("ord").alias("id")).distinct(), ["id"], how="left_semi")
     both = pairs.join(texts.select(F.col("id").alias("ord"), F.col("words").alias("held")), "ord").join(queries.select(F.col("id").alias("query_id"), "words"), "query_id")
     more = both.select("query_id", "ord", F.size(F.array_intersect("held", "words")).cast("long").alias("score"))
     return _merge(first.unionByName(more), k)
@@ -296,9 +301,10 @@ def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = 5, max_rows: int
     Overlap counts distinct shared words; documents without any, and null texts, are left out; ties go to the lower
     ord. A side of more than ``max_rows`` rows is not sent to the tasks.
     """
-    d = docs.select(F.col("ord").cast("long").alias("id"), text.words(F.col("content")).alias("words")).filter("words is not null")
-    q = queries.select(F.col("query_id").cast("long").alias("id"), text.words(F.col("text")).alias("words")).filter("words is not null")
-    ranked, _ = _few_on_one_side(d, q, TermIndex, k, max_rows)
+    # A filter on the words themselves would work them out a second time.
+    d = docs.filter(F.col("content").isNotNull()).select(F.col("ord").cast("long").alias("id"), text.words(F.col("content")).alias("words"))
+    q = queries.filter(F.col("text").isNotNull()).select(F.col("query_id").cast("long").alias("id"), text.words(F.col("text")).alias("words"))
+    ranked = _few_on_one_side(d, q, TermIndex, k, max_rows)
     ranked = _pruned(d, q, k) if ranked is None else ranked
     return ranked.select("query_id", "ord", F.col("score").alias("overlap"), F.col("rank").cast("int").alias("rank"))
 
@@ -317,8 +323,9 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int =
     def make(table: pa.Table) -> VectorIndex:
         return VectorIndex(table, digits)
 
-    ranked, size = _few_on_one_side(v, q, make, k, max_rows)
+    ranked = _few_on_one_side(v, q, make, k, max_rows)
     if ranked is None:
+        size = measure(q)
         blocks = 2 * max(-(-size.rows // MAX_SIDE_ROWS), -(-size.bytes // MAX_SIDE_BYTES))
         for b in range(blocks):
             part = _scan_rows(v, q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), make, k)
@@ -329,7 +336,7 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, digits: int =
 
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """The hit documents themselves, metadata unchanged. Few hits are sent to the documents, not the other way."""
-    return sized_join(docs, hits, ["ord"], F.col("ord"))
+    return sized_join(docs, hits, ["ord"])
 
 
 def doc_count(docs: DataFrame) -> DataFrame:

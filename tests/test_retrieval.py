@@ -163,3 +163,14 @@ def test_empty_sides(spark):
     assert retrieval.keyword_topk(queries.selectExpr("query_id AS ord", "text AS content"), queries.limit(0)).count() == 0
     with pytest.raises(ValueError):
         retrieval.keyword_topk(docs, queries, 0)
+
+
+def test_a_side_of_too_many_rows_is_counted_alone(spark, monkeypatch):
+    def measure(df):
+        raise AssertionError("its words were worked out to be measured")
+
+    monkeypatch.setattr(retrieval, "measure", measure)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "", "b c", "c"])], "ord long, content string")
+    queries = docs.withColumnsRenamed({"ord": "query_id", "content": "text"})
+    hits = sorted(map(tuple, retrieval.keyword_topk(docs, queries, 1, max_rows=0).collect()))
+    assert hits == [(0, 0, 2, 1), (3, 3, 2, 1), (4, 3, 1, 1)]
