@@ -170,6 +170,10 @@ def test_a_side_of_too_many_rows_is_counted_alone(spark, monkeypatch):
         raise AssertionError("its words were worked out to be measured")
 
     monkeypatch.setattr(retrieval, "measure", measure)
+    assert retrieval._size(spark.range(6), 5) == retrieval.Size(6, 0)
+
+
+def test_null_texts_are_left_out_of_two_large_sides(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "", "b c", "c"])], "ord long, content string")
     queries = docs.withColumnsRenamed({"ord": "query_id", "content": "text"})
     hits = sorted(map(tuple, retrieval.keyword_topk(docs, queries, 1, max_rows=0).collect()))
