@@ -67,3 +67,13 @@ def test_known_only_drops_rows_no_join_would_keep(sides, monkeypatch):
     assert sizing.known_only(left, right, ["k"]).count() == left.filter("k < 40").count()
     monkeypatch.setattr(sizing, "MAX_FEW_KEYS", 39)
     assert sizing.known_only(left, right, ["k"]).count() == 900
+
+
+def test_short_rows_count_as_a_hashed_relation_holds_them(spark):
+    many = spark.range(400_000).select(F.col("id").alias("k"), F.lit("n").alias("name"))
+    assert sizing.measure(many).bytes < sizing.MAX_BROADCAST_BYTES / 8  # it is the rows, not their payload
+    assert not sizing.fits(many) and sizing.fits(many.limit(50_000))
+    joined = spark.range(10).select(F.col("id").alias("k")).join(many, "k")
+    sized = sizing.sized_join(spark.range(10).select(F.col("id").alias("k")), many, ["k"])
+    assert "BroadcastHashJoin" not in sized._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sized.collect())) == sorted(map(tuple, joined.collect()))
