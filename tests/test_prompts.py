@@ -217,3 +217,10 @@ def test_a_model_registered_many_times_gives_a_conflict_each_in_order(spark, pro
     asked = prompts_of(["Extend User and Order, pin stripe==1.0, get /payments/charge", "nothing"])
     found = {r["prompt_id"]: [c["affected_component"] for c in r["registry_conflicts"]] for r in reg.joined_conflicts(asked, known).collect()}
     assert found == {0: ["route:/payments/charge", *["model:User"] * 3, "model:Order", "model:User", "dependency:stripe"]}
+
+
+def test_conflicts_of_the_joined_shape_are_never_broadcast(prompts_of, registry):
+    found = audit_prompts(prompts_of([g[0] for g in GOLDEN]), registry, fold=False)
+    found.collect()  # the plan that ran
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_audit_row" in plan and "BroadcastHashJoin [_audit_row" not in plan
