@@ -45,6 +45,20 @@ def test_history(audits):
         audit_log.history(audit_log.log_rows(audits), -1)
 
 
+def test_rows_of_the_log_are_shuffled_with_their_conflicts_as_runs(spark, audits, monkeypatch):
+    """Equal conflicts in a row take the space of one in what is shuffled, sorted and joined; the rows come out as they were."""
+    monkeypatch.setattr(audit_log, "fits", lambda *a, **k: False)
+    many = audits.withColumn("conflicts", F.flatten(F.transform("conflicts", lambda c: F.array_repeat(c, 3)))).localCheckpoint()
+    path = shared_dir(spark)
+    audit_log.append(many, path)
+    log = audit_log.read(spark, path)
+    assert text_rows(log.select(many.columns)) == text_rows(many)
+    for found in (audit_log.first_per_id(many.unionByName(many)), audit_log.new_only(many, log.limit(0)), audit_log.get_audits(log, many)):
+        assert text_rows(found.select(many.columns)) == text_rows(many)
+        plan = found._jdf.queryExecution().executedPlan().toString()  # read from below: runs are made before the first shuffle of the conflicts
+        assert "conflict_runs" in plan and "array_repeat" in plan.split("Exchange")[0]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_only_new_ids_are_appended(spark, audits, monkeypatch, small):
     monkeypatch.setattr(audit_log, "fits", lambda *a, **k: small)

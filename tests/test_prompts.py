@@ -224,3 +224,27 @@ def test_conflicts_of_the_joined_shape_are_never_broadcast(prompts_of, registry)
     found.collect()  # the plan that ran
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [_audit_row" in plan and "BroadcastHashJoin [_audit_row" not in plan
+
+
+@pytest.mark.parametrize("places", [[0, 1, 2, 3, 4, 5, 6, 7], [3, 1, 2, 0, 7, 5, 6, 4], [None, 1, 1, None, 1, 0, 0, 2], [None] * 8])
+def test_alternating_registrations_keep_their_order(spark, prompts_of, places):
+    """Names that alternate, that don't, in two cases, of more than one word, without a place: as in the folded shape."""
+    names = ["User", "Order", "User", "user", "User", "Item", "shop.item", "shop.item"]
+    known = make_registry(spark, [])
+    models = spark.createDataFrame([(PROJECT, p, n) for p, n in zip(places, names, strict=True)], "project_id string, ord long, name string")
+    known = reg.Registry(known.endpoints, models, known.dependencies)
+    asked = prompts_of(["user", "order and item", "Extend user, order and shop.item, pin stripe==1.0, get /payments/charge", "shop.item of a user", "nothing"] * 2)
+    folded, joined = (sorted(map(str, audit_prompts(asked, known, fold=fold).collect())) for fold in (True, False))
+    assert joined == folded and sum(len(r["registry_conflicts"]) for r in reg.joined_conflicts(asked, known).collect()) == 2 * (4 + 2 + 10 + 7)
+
+
+def test_a_model_registered_many_times_is_one_entry_until_its_audit_is_stored(spark, prompts_of):
+    """Of 1,000 registrations one entry is stored, shuffled and sorted; the audit still has 1,000 conflicts."""
+    known, asked = make_registry(spark, ["User"] * 1000), prompts_of(["Extend User", "nothing"])
+    (found,) = reg.joined_runs(asked, known).collect()
+    assert [(r["value"]["affected_component"], r["n"]) for r in found["registry_runs"]] == [("model:User", 1000)]
+    audits = audit_prompts(asked, known, fold=False)
+    assert [len(r["conflicts"]) for r in audits.orderBy("prompt_id").collect()] == [1000, 0]
+    assert {r["message"] for r in audits.collect()} == {r["message"] for r in audit_prompts(asked, known, fold=True).collect()}
+    above, below = audits.select("*")._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin", 1)
+    assert "array_repeat" in above and "array_repeat" not in below and "Exchange" in below
