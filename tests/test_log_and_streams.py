@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +258,29 @@ def test_ids_of_a_stream_are_kept_in_rocksdb_where_no_store_was_set(spark):
     spark.conf.unset(prompt_stream._STORE)
     prompt_stream._once(spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS audit_id"), "1 day")
     assert spark.conf.get(prompt_stream._STORE) == prompt_stream._ROCKS
+
+
+def test_a_stream_stores_few_files_a_day(spark, prompts_of, registry, monkeypatch):
+    """The stream's own session has no adaptive execution: each of its tasks would write a file for each day."""
+    monkeypatch.setattr(type(registry), "can_fold", lambda self: False)
+    prompts = prompts_of([f"Modify the User model for ticket {i}" for i in range(200)])
+    prompts = prompts.withColumn("created_at", F.col("created_at") + F.expr("make_interval(0, 0, 0, prompt_id % 5)"))
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    source, log = stream_of(spark, prompts), shared_dir(spark)
+    before = set(base.iterdir())
+    run(prompt_stream.audit_each_batch(source, registry, log, shared_dir(spark)))
+    stored = prompt_stream.read_log(spark, log)
+    assert stored.count() == stored.select("audit_id").distinct().count() == 200
+    batches = len({f.split("/batch_id=")[1].split("/")[0] for f in stored.inputFiles()})
+    assert len(stored.inputFiles()) <= 5 * batches
+    left = [f for f in set(base.iterdir()) - before if f.is_dir() and list(f.glob("*.parquet"))]
+    assert not [f for f in left if "prompt" in spark.read.parquet(str(f)).columns]  # the batch's prompts are not left behind
+
+
+def test_ids_are_asked_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    held, others = rng.integers(-(2**63), 2**63 - 1, 200), rng.integers(-(2**63), 2**63 - 1, 200)
+    monkeypatch.setattr(id_index, "SLICE", 7)
+    bits = id_index.sketch(held)
+    others = np.array([h for h in others if not id_index.may_hold(bits, np.array([h]))])
+    assert not id_index.may_hold(bits, others) and id_index.may_hold(bits, np.append(others, held[-1:]))
